@@ -6,7 +6,6 @@ Group keys that are null are left out, as a pandas group-by does.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,16 +40,10 @@ def non_null_counts(df: DataFrame, by: str) -> DataFrame:
 
 def distinct_history(df: DataFrame, key: str, value: str) -> DataFrame:
     """Count, number of distinct values and the values themselves per group."""
-    return group_profile(
-        df,
-        [key],
-        value,
-        {
-            "count": F.count(value),
-            "nunique": F.count_distinct(value),
-            "unique": F.sort_array(F.collect_set(value)),
-        },
+    history = group_profile(
+        df, [key], value, {"count": F.count(value), "unique": F.sort_array(F.collect_set(value))}
     )
+    return history.select(key, "count", F.size("unique").alias("nunique"), "unique")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:

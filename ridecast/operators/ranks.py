@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = 8  # 2**8 = 256 cells
+LEVELS = 5  # 4**5 = 1024 cells
 SHARDS = 32  # spreads a hot group when ranks are looked up per group
 
 _VALUE, _COUNT = "_value", "_count"
@@ -31,16 +31,19 @@ def value_counts_of(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
     )
 
 
-def _cell(cuts: Column, value: Column, levels: int) -> Column:
-    """Number of cut points not above the value, by binary search in the sorted cuts."""
-    steps = F.array(*[F.lit(1 << level) for level in reversed(range(levels))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda found, step: F.when(
-            F.get(cuts, found + step - F.lit(1)) <= value, found + step
-        ).otherwise(found),
-    )
+def _with_cell(df: DataFrame, levels: int) -> DataFrame:
+    """Add `_cell`, the number of cut points not above the value.
+
+    A four-way search in the sorted cuts, one projection per level: the steps stay in
+    generated code, which a lambda over the array would leave.
+    """
+    kept = [f"`{name}`" for name in df.columns]
+    df = df.selectExpr(*kept, "0 AS _cell")
+    for level in reversed(range(levels)):
+        step = 4**level
+        moves = [f"if(get(_cuts, _cell + {k * step - 1}) <= {_VALUE}, {step}, 0)" for k in (1, 2, 3)]
+        df = df.selectExpr(*kept, f"_cell + {' + '.join(moves)} AS _cell")
+    return df
 
 
 def _same_group(left: str, right: str, by: Sequence[str]) -> list[Column]:
@@ -66,19 +69,19 @@ def values_at_ranks(
     by = list(by)
     # The filter keeps the count alive in this branch too, so that all three branches
     # read one shuffle of the counted values. An aggregate without keys is one row.
-    inner = [i / (1 << levels) for i in range(1, 1 << levels)]
+    size = 4**levels
+    inner = F.split(F.lit(",".join(str(i / size) for i in range(1, size))), ",").cast("array<double>")
     cuts = counts.where(F.col(_COUNT) > 0).agg(
-        F.percentile_approx(_VALUE, inner, 20 << levels).alias("_cuts")
+        F.percentile_approx(_VALUE, inner, 2 * size).alias("_cuts")
     )
     cells = (
-        counts.crossJoin(F.broadcast(cuts))
-        .withColumn("_cell", _cell(F.col("_cuts"), F.col(_VALUE), levels))
+        _with_cell(counts.crossJoin(F.broadcast(cuts)), levels)
         .groupBy(*by, "_cell")
         .agg(
             F.sum(_COUNT).alias("_rows"), F.min(_VALUE).alias("_low"), F.max(_VALUE).alias("_high")
         )
     )
-    # At most 2**levels rows per group.
+    # At most 4**levels rows per group.
     group = Window.partitionBy(*by)
     upto = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     targets = (

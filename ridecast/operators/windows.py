@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridecast.functions.times import hours_between
+from ridecast.functions.times import floor_to_hour, hours_between
 from ridecast.operators.projection import at_most
 
 STATION = "strt_statn"
@@ -123,23 +123,24 @@ def reading_gaps(df: DataFrame, time: str = "DATE", by: Sequence[str] = ()) -> D
     """Hours since the previous reading, per distinct reading time.
 
     Repeated readings of one time are counted in `readings`; their own gap is zero. The
-    lag runs inside calendar months and the first reading of a month takes the last one
-    of the month before it, so a long history never meets in a single task.
+    lag runs inside each hour, and the first reading of an hour takes the last one of the
+    hour before it that has any. So a window holds the distinct times of one hour, or the
+    hours of one history, however many rows a key has.
     """
     by = list(by)
     times = (
         df.where(F.col(time).isNotNull())
         .groupBy(*by, time)
         .agg(F.count(F.lit(1)).alias("readings"))
-        .withColumn("_month", F.year(time) * 12 + F.month(time))
+        .withColumn("_hour", floor_to_hour(F.col(time)))
     )
-    edges = times.groupBy(*by, "_month").agg(F.max(time).alias("_last"))
-    before = F.lag("_last").over(Window.partitionBy(*by).orderBy("_month"))
-    edges = edges.select(*by, "_month", before.alias("_before"))
-    inside = Window.partitionBy(*by, "_month").orderBy(time)
+    edges = times.groupBy(*by, "_hour").agg(F.max(time).alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy(*by).orderBy("_hour"))
+    edges = edges.select(*by, "_hour", before.alias("_before"))
+    inside = Window.partitionBy(*by, "_hour").orderBy(time)
     return (
         times.withColumn("_previous", F.lag(time).over(inside))
-        .join(edges, [*by, "_month"])
+        .join(edges, [*by, "_hour"])
         .select(
             *by,
             time,
