@@ -1,0 +1,130 @@
+import datetime as dt
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from ridecast.operators import profile, projection
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    rng = np.random.default_rng(3)
+    rows = [
+        (i, ["a", "b", None][i % 3], "same", None if i % 7 == 0 else float(np.round(rng.exponential(10), 2)), int(i % 5))
+        for i in range(300)
+    ]
+    return spark.createDataFrame(rows, "id INT, k STRING, c STRING, x DOUBLE, n INT").cache()
+
+
+def test_group_profile_drops_null_keys(data):
+    got = {r.k: (r.x_count, r.x_mean) for r in profile.group_profile(data, ["k"], "x").collect()}
+    groups = data.toPandas().groupby("k").x
+    assert got.keys() == {"a", "b"}
+    for key, group in groups:
+        assert got[key] == (group.count(), pytest.approx(group.mean()))
+
+
+def test_named_aggregates_and_two_keys(data):
+    got = profile.group_profile(data, ["k", "n"], "x", {"top": F.max("x")}).collect()
+    expected = data.toPandas().groupby(["k", "n"]).x.max()
+    assert {(r.k, r.n): r.top for r in got} == expected.to_dict()
+
+
+@pytest.mark.parametrize("percentiles", [(0.25, 0.5, 0.75), (0.0, 0.5, 0.75, 0.95, 0.99), (0.8,)])
+def test_describe_matches_pandas(data, percentiles):
+    got = profile.describe(data, ["x", "n"], percentiles).toPandas().set_index("column")
+    pdf = data.toPandas()[["x", "n"]]
+    expected = pdf.describe(percentiles=sorted({*percentiles, 0.5})).T
+    assert list(got.columns) == list(expected.columns)
+    pd.testing.assert_frame_equal(got.loc[["x", "n"]].astype(float), expected.astype(float), check_names=False, check_index_type=False)
+
+
+def test_describe_of_an_empty_column(frame):
+    row = profile.describe(frame([(None,)], "x DOUBLE"), ["x"]).first()
+    assert row["count"] == 0 and row["50%"] is None
+
+
+def test_transpose(data):
+    wide = profile.group_profile(data, ["k"], "x")
+    rows = projection.transpose(wide, ["k"], ["x_count", "x_mean"]).collect()
+    assert len(rows) == 4 and {r.stat for r in rows} == {"x_count", "x_mean"}
+
+
+def test_info_and_distinct_counts(data):
+    info = {r["column"]: (r.type, r.non_null) for r in profile.info(data).collect()}
+    assert info["x"] == ("double", 300 - 43) and info["k"] == ("string", 200)
+    for approximate in (False, True):
+        rows = {r["column"]: (r.nunique, r.is_constant) for r in profile.distinct_counts(data, ["k", "c", "n"], approximate).collect()}
+        assert rows == {"k": (2, False), "c": (1, True), "n": (5, False)}
+
+
+def test_distinct_history(frame):
+    rows = [("s1", "Existing"), ("s1", "Removed"), ("s1", "Existing"), ("s2", "Existing"), (None, "x"), ("s3", None)]
+    got = {r.s: (r["count"], r.nunique, r.unique) for r in profile.distinct_history(frame(rows, "s STRING, v STRING"), "s", "v").collect()}
+    assert got == {"s1": (3, 2, ["Existing", "Removed"]), "s2": (1, 1, ["Existing"]), "s3": (0, 0, [])}
+
+
+@pytest.mark.parametrize("bins", [1, 7, 10])
+def test_histogram_matches_numpy(data, bins):
+    values = data.toPandas().x.dropna()
+    counts, edges = np.histogram(values, bins=bins)
+    rows = profile.histogram(data, "x", bins).orderBy("bin").collect()
+    assert [r["count"] for r in rows] == counts.tolist()
+    assert [r.low for r in rows] + [rows[-1].high] == pytest.approx(edges.tolist())
+
+
+def test_histogram_of_edge_values(frame):
+    steps = [(i * 0.1,) for i in range(11)]  # values that sit on the edges, up to the last bit
+    rows = profile.histogram(frame(steps, "x DOUBLE"), "x").orderBy("bin").collect()
+    assert [r["count"] for r in rows] == np.histogram([s[0] for s in steps], bins=10)[0].tolist()
+
+
+def test_histogram_of_one_value_and_of_none(frame):
+    rows = profile.histogram(frame([(5.0,), (5.0,)], "x DOUBLE"), "x").orderBy("bin").collect()
+    assert [r["count"] for r in rows] == np.histogram([5.0, 5.0], bins=10)[0].tolist()
+    assert (rows[0].low, rows[-1].high) == (4.5, 5.5)
+    assert profile.histogram(frame([(None,)], "x DOUBLE"), "x").count() == 0
+
+
+def test_value_histogram_and_counts(data):
+    assert {r.k: r["count"] for r in profile.value_histogram(data, "k").collect()} == {"a": 100, "b": 100}
+    assert profile.row_count(data).first()[0] == 300
+    row = profile.non_null_counts(data, "c").first()
+    assert (row.id_count, row.k_count, row.x_count) == (300, 200, 257)
+
+
+def test_target_stats(data):
+    values = data.toPandas().x.dropna()
+    row = profile.target_stats(data, "x").first()
+    assert (row["median"], row["mean"], row["std"]) == pytest.approx((values.median(), values.mean(), values.std()))
+
+
+def test_completeness(frame):
+    t0 = dt.datetime(2012, 1, 1)
+    rows = [(t0,), (t0 + dt.timedelta(hours=1),), (t0 + dt.timedelta(hours=9, minutes=30),)]
+    row = profile.completeness(frame(rows, "DATE TIMESTAMP_NTZ")).first()
+    assert (row.expected_rows, row.actual_rows, row.is_short) == (9.5, 3, True)
+
+
+def test_quality_report(frame):
+    rows = [("closed", 1, 2, "Registered", 1980), ("open", None, None, "Casual", 1990), ("Closed", 3, 4, None, None)]
+    df = frame(rows, "status STRING, strt_statn INT, end_statn INT, subsc_type STRING, birth_date INT")
+    got = {r.rule: r.violations for r in profile.quality_report(df, profile.trip_rules()).collect()}
+    assert got == {"open_trip": 1, "no_start_station": 1, "no_end_station": 1, "birth_date_of_casual": 1}
+
+
+def test_row_filters(frame):
+    df = frame([(1, None, 0.0), (None, 2, 0.5), (3, 4, None), (-1, 4, 0.00001)], "a INT, b INT, x DOUBLE")
+    assert projection.rows_with_any_null(df, ["a", "b"]).count() == 2
+    assert projection.near_zero(df, "x").count() == 2
+    assert projection.positive_key(df, "a").count() == 2
+    assert projection.at_most(df, "x", None).count() == 4 and projection.at_most(df, "x", 0.5).count() == 3
+    assert projection.feature_target(df, ["x", "a"], "b").columns == ["x", "a", "b"]
+
+
+def test_newest_is_a_bounded_top(data):
+    rows = profile.newest(data, "n", "id", 3).collect()
+    assert [r.id for r in rows] == [4, 9, 14]
+    assert "TakeOrderedAndProject" in profile.newest(data, "n", "id", 3)._jdf.queryExecution().executedPlan().toString()
