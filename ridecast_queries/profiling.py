@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ridecast.functions import flags, times
 from ridecast.operators import profile, projection, windows
+from ridecast.operators.ranks import exact_quantiles
 from ridecast.plans import prepare
 from ridecast.sources import driver_tables as src
 from ridecast_queries.preparation import cleaned, stored_training, study, with_fixed
@@ -153,6 +154,29 @@ def target_stats(spark, sf):
     return with_fixed(profile.target_stats(cleaned(spark, sf), "duration_min"), "std")
 
 
+_PROBS = [0.05, 0.5, 0.95, 0.98]
+
+
+def quantile_sql(view: str, value: str, key: str | None = None) -> str:
+    lead, tail = (f"{key}, ", f"WHERE {value} IS NOT NULL GROUP BY {key}") if key else ("", "")
+    return " UNION ALL ".join(
+        f"""SELECT {lead}CAST({p} AS DOUBLE) AS prob, {fp(f"quantile_cont({value}, CAST({p} AS DOUBLE))", "quantile")}
+            FROM {view} {tail}"""
+        for p in _PROBS
+    )
+
+
+@query("duration_quantiles", quantile_sql("raw", "duration"))
+def duration_quantiles(spark, sf):
+    return with_fixed(exact_quantiles(src.trips(spark, sf), "duration", _PROBS), "quantile")
+
+
+@query("duration_quantiles_by_station", quantile_sql("typed", "duration_min", "strt_statn"))
+def duration_quantiles_by_station(spark, sf):
+    trips = prepare.typed_trips(src.trips(spark, sf))
+    return with_fixed(exact_quantiles(trips, "duration_min", _PROBS, ["strt_statn"]), "quantile")
+
+
 def describe_sql(columns: list[str], percentiles: list[float], view: str) -> str:
     def one(column: str) -> str:
         quantiles = ", ".join(
