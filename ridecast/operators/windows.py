@@ -119,10 +119,13 @@ def daily_trend(
     )
 
 
-def reading_gaps(df: DataFrame, time: str = "DATE", by: Sequence[str] = ()) -> DataFrame:
+def reading_gaps(
+    df: DataFrame, time: str = "DATE", by: Sequence[str] = (), each_reading: bool = False
+) -> DataFrame:
     """Hours since the previous reading, per distinct reading time.
 
-    Repeated readings of one time are counted in `readings`; their own gap is zero. The
+    Repeated readings of one time are counted in `readings`; their own gap is zero, and
+    `each_reading` gives them rows of their own. The
     lag runs inside each hour, and the first reading of an hour takes the last one of the
     hour before it that has any. So a window holds the distinct times of one hour, or the
     hours of one history, however many rows a key has.
@@ -138,13 +141,31 @@ def reading_gaps(df: DataFrame, time: str = "DATE", by: Sequence[str] = ()) -> D
     before = F.lag("_last").over(Window.partitionBy(*by).orderBy("_hour"))
     edges = edges.select(*by, "_hour", before.alias("_before"))
     inside = Window.partitionBy(*by, "_hour").orderBy(time)
-    return (
+    gap = f"{time}_delta_hours"
+    gaps = (
         times.withColumn("_previous", F.lag(time).over(inside))
         .join(edges, [*by, "_hour"])
         .select(
             *by,
             time,
             "readings",
-            hours_between(F.coalesce("_previous", "_before"), F.col(time)).alias(f"{time}_delta_hours"),
+            hours_between(F.coalesce("_previous", "_before"), F.col(time)).alias(gap),
         )
     )
+    return _each_reading(gaps, gap) if each_reading else gaps
+
+
+def _each_reading(gaps: DataFrame, gap: str) -> DataFrame:
+    """One row per reading: the first of a time keeps the gap, the others have zero.
+
+    Expanded in chunks, so that no array grows with the number of repeated readings.
+    """
+    chunk = 65_536
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("readings") - 1, F.lit(chunk).cast("bigint")))
+    last = F.least(F.col("_start") + chunk, F.col("readings")) - 1
+    return (
+        gaps.withColumn("_start", starts)
+        .withColumn("_nth", F.explode(F.sequence(F.col("_start"), last)))
+        .withColumn(gap, F.when(F.col("_nth") == 0, F.col(gap)).otherwise(0.0))
+        .drop("readings", "_start", "_nth")
+    )

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ridecast.functions.flags import fixed_point
 from ridecast.operators import sampling
 from ridecast.operators.metrics import regression_scores, score_row, stack_scores
 from ridecast.plans import scoring, search
@@ -89,6 +91,43 @@ def elastic_net_predict(spark, sf):
     return ml.predict(test, ml.fit_elastic_net(train)).select("seq_id", TARGET, "prediction")
 
 
+@query(
+    "elastic_net_one_feature",
+    """WITH z AS (SELECT duration_min AS y, (avg_duration_prev_7days - avg(avg_duration_prev_7days) OVER ())
+                         / stddev_pop(avg_duration_prev_7days) OVER () AS x FROM cleaned),
+            c AS (SELECT covar_pop(x, y) AS xy, var_pop(x) AS xx, avg(y) AS y FROM z)
+       SELECT floor(sign(xy) * greatest(abs(xy) - CAST(0.05 AS DOUBLE), 0) / (xx + CAST(0.05 AS DOUBLE)) * 10000 + CAST(0.5 AS DOUBLE))
+                / 10000 AS coefficient,
+              floor(y * 10000 + CAST(0.5 AS DOUBLE)) / 10000 AS intercept FROM c""",
+)
+def elastic_net_one_feature(spark, sf):
+    """With one standardised feature the solution is a soft threshold, which SQL can say."""
+    df = model_table(spark, sf)
+    stages = [
+        ml.PopulationScaler(inputCol=FEATURES[0], outputCol=ml.SCALED),
+        VectorAssembler(inputCols=[ml.SCALED], outputCol="features"),
+        ml.ElasticNet(alpha=0.1, l1Ratio=0.5),
+    ]
+    linear = Pipeline(stages=stages).fit(df).stages[-1]
+    row = [(float(linear.coefficients[0]), float(linear.intercept))]
+    fitted = spark.createDataFrame(row, "coefficient DOUBLE, intercept DOUBLE")
+    return fitted.select(*[fixed_point(F.col(name), 4).alias(name) for name in fitted.columns])
+
+
+@query(
+    "one_split_tree",
+    f"""SELECT is_registered, count(*) AS trips, {fp("avg(duration_min)", "prediction")} FROM cleaned GROUP BY 1""",
+)
+def one_split_tree(spark, sf):
+    """One tree with one split on a flag predicts the mean of either side."""
+    df = model_table(spark, sf)
+    trees = ml.boosted_trees(ml.BoostParams(1, 1, 0.5))
+    stages = [VectorAssembler(inputCols=["is_registered"], outputCol="features"), trees]
+    scored = ml.predict(df, Pipeline(stages=stages).fit(df))
+    sides = scored.groupBy("is_registered", "prediction").agg(F.count(F.lit(1)).alias("trips"))
+    return with_fixed(sides, "prediction")
+
+
 @query("elastic_net_coefficients")
 def elastic_net_coefficients(spark, sf):
     return ml.coefficients(ml.fit_elastic_net(split(spark, sf)[0]), spark)
@@ -168,6 +207,26 @@ def batch_scoring(spark, sf):
     return scoring.score(src.requests(spark, sf), model)
 
 
+_OUTCOME_SQL = "SELECT request_id, reasons = '' AS is_scored, reasons FROM checked"
+
+
+def outcome(scored):
+    """Which requests got a duration, and why the others did not."""
+    return scored.select(
+        "request_id", F.col("duration").isNotNull().alias("is_scored"), F.array_join("reasons", "; ").alias("reasons")
+    )
+
+
+@query("batch_scoring_outcome", _OUTCOME_SQL)
+def batch_scoring_outcome(spark, sf):
+    return outcome(batch_scoring(spark, sf))
+
+
+@query("stream_scoring_outcome", _OUTCOME_SQL)
+def stream_scoring_outcome(spark, sf):
+    return outcome(stream_scoring(spark, sf))
+
+
 @query("stream_scoring")
 def stream_scoring(spark, sf):
     model = ml.fit_trees(split(spark, sf)[0], _SMALL_TREES)

@@ -301,7 +301,24 @@ def weather_gaps(spark, sf):
 
 @query("describe_gaps", describe_sql(["DATE_delta_hours"], [0.5, 0.8, 0.85, 0.95], f"({_GAPS_SQL}) g"))
 def describe_gaps(spark, sf):
-    return described(windows.reading_gaps(src.weather(spark, sf)), ["DATE_delta_hours"], [0.5, 0.8, 0.85, 0.95])
+    gaps = windows.reading_gaps(src.weather(spark, sf), each_reading=True)
+    return described(gaps, ["DATE_delta_hours"], [0.5, 0.8, 0.85, 0.95])
+
+
+@query(
+    "order_gaps",
+    """SELECT l_returnflag, l_orderkey,
+              l_orderkey - lag(l_orderkey) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey) AS l_orderkey_delta_hours
+       FROM lineitem""",
+)
+def order_gaps(spark, sf):
+    """Many repeated readings: each order number taken as an hour count, several lines per order."""
+    lines = src.table(spark, sf, "lineitem").withColumn(
+        "l_orderkey", F.lit("1900-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("l_orderkey").cast("int"))
+    )
+    gaps = windows.reading_gaps(lines, "l_orderkey", ["l_returnflag"], each_reading=True)
+    start = F.lit("1900-01-01").cast("timestamp_ntz")
+    return gaps.withColumn("l_orderkey", times.hours_between(start, F.col("l_orderkey")).cast("bigint"))
 
 
 @query(

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ridecast.operators import sampling
 from ridecast.operators.metrics import regression_scores
-from ridecast.plans import scoring, search
+from ridecast.plans import prepare, scoring, search
 from ridecast.plans import training as ml
-from ridecast.schemas import FEATURES, REQUEST, TARGET
+from ridecast.schemas import FEATURES, REQUEST, TARGET, TRIPS
 from ridecast.streaming.requests import score_stream
+from tests import fixtures as fx
 
 SMALL = ml.BoostParams(10, 4, 0.3, 1.0, 0, 1, "squared")
 
@@ -222,3 +223,15 @@ def test_stream_equals_batch_and_resumes(spark, trees, tmp_path):
     score_stream(spark, trees, source, sink, state).awaitTermination()
     again = spark.read.parquet(sink)
     assert again.count() == len(batch) + 1 and again.where("request_id = 99").count() == 1
+
+
+def test_preparation_of_arriving_trips(spark, tmp_path):
+    """The stateless part of the preparation runs on a stream as it does on a table."""
+    raw = spark.createDataFrame(fx.edge_trips() + fx.station_trips(), fx.TRIP_DDL)
+    source, sink, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    raw.write.json(source)
+    arriving = prepare.typed_trips(spark.readStream.schema(TRIPS).json(source))
+    arriving.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(sink).awaitTermination()
+    columns = ["seq_id", "start_date", "strt_statn", "duration_min", "is_registered"]
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert rows(spark.read.parquet(sink)) == rows(prepare.typed_trips(raw))

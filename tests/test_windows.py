@@ -116,6 +116,16 @@ def test_reading_gaps(frame):
     assert got == [(t0 + dt.timedelta(hours=h), n, gap) for h, n, gap in expected]
 
 
+def test_a_row_for_each_reading_matches_pandas(spark):
+    t0 = dt.datetime(2012, 1, 1)
+    hours = [0] * 3 + [2] + [7] * 70_000 + [8]
+    df = spark.createDataFrame([(t0 + dt.timedelta(hours=h), n) for h, n in ((0, 3), (2, 1), (7, 70_000), (8, 1))], "DATE TIMESTAMP_NTZ, n INT")
+    df = df.withColumn("_", F.explode(F.expr("sequence(1, n)"))).select("DATE").repartition(3)
+    gaps = windows.reading_gaps(df, each_reading=True).groupBy("DATE_delta_hours").count().collect()
+    expected = pd.Series(hours).diff().value_counts(dropna=False)
+    assert {r.DATE_delta_hours: r["count"] for r in gaps} == {None if pd.isna(k) else k: v for k, v in expected.items()}
+
+
 def test_reading_gaps_per_station(frame):
     rows = [("a", dt.datetime(2012, 1, 1, 1, 10)), ("a", dt.datetime(2012, 1, 1, 1, 40)), ("b", dt.datetime(2012, 1, 1, 2))]
     got = {(r.s, r.t.hour, r.t.minute): r.t_delta_hours for r in windows.reading_gaps(frame(rows, "s STRING, t TIMESTAMP_NTZ"), "t", ["s"]).collect()}
