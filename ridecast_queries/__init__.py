@@ -1,6 +1,9 @@
-"""Registered queries over the given tables, each with its SQL twin where SQL can say it."""
+"""Registered queries over the given tables, each with its SQL twin where SQL can say it.
 
+Importing the modules registers their queries.
+"""
+
+from ridecast_queries import models, preparation, profiling, scoring, tables
 from ridecast_queries.registry import ORACLES, QUERIES
-from ridecast_queries import models, preparation, profiling, scoring, tables  # noqa: F401  (register)
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "models", "preparation", "profiling", "scoring", "tables"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridecast.operators import windows
-from ridecast.plans.prepare import prepare_trips, typed_trips
+from ridecast.plans.prepare import typed_trips
 from tests import fixtures as fx
 
 
