@@ -61,9 +61,9 @@ class PopulationScaler(Estimator, HasInputCol, HasOutputCol):
 class ElasticNet(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
     """Elastic net with the (alpha, l1_ratio) convention on the unscaled label.
 
-    Spark divides the label by its sample deviation before it regularises, which leaves
-    the L1 part as it is and divides the L2 part by that deviation; the parameters are
-    mapped accordingly.
+    Spark's normal solver (one pass over the data, for a few features) divides the label
+    by its population deviation before it regularises, which leaves the L1 part as it is
+    and divides the L2 part by that deviation; the parameters are mapped accordingly.
     """
 
     alpha = Param(Params._dummy(), "alpha", "overall strength", TypeConverters.toFloat)
@@ -76,7 +76,7 @@ class ElasticNet(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
 
     def _fit(self, dataset: DataFrame) -> LinearRegressionModel:
         alpha, ratio = self.getOrDefault(self.alpha), self.getOrDefault(self.l1Ratio)
-        spread = dataset.agg(F.stddev_samp(self.getLabelCol())).first()[0] or 1.0
+        spread = dataset.agg(F.stddev_pop(self.getLabelCol())).first()[0] or 1.0
         l1, l2 = alpha * ratio, alpha * (1.0 - ratio) * spread
         strength = l1 + l2
         return LinearRegression(
@@ -86,6 +86,7 @@ class ElasticNet(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
             regParam=strength,
             elasticNetParam=l1 / strength if strength else 0.0,
             standardization=False,
+            solver="normal",
             maxIter=1000,
             tol=1e-9,
         ).fit(dataset)

@@ -7,7 +7,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ridecast.functions.flags import fixed_point
 from ridecast.operators import sampling
 from ridecast.operators.metrics import regression_scores, score_row, stack_scores
 from ridecast.plans import scoring, search
@@ -93,12 +92,11 @@ def elastic_net_predict(spark, sf):
 
 @query(
     "elastic_net_one_feature",
-    """WITH z AS (SELECT duration_min AS y, (avg_duration_prev_7days - avg(avg_duration_prev_7days) OVER ())
+    f"""WITH z AS (SELECT duration_min AS y, (avg_duration_prev_7days - avg(avg_duration_prev_7days) OVER ())
                          / stddev_pop(avg_duration_prev_7days) OVER () AS x FROM cleaned),
             c AS (SELECT covar_pop(x, y) AS xy, var_pop(x) AS xx, avg(y) AS y FROM z)
-       SELECT floor(sign(xy) * greatest(abs(xy) - CAST(0.05 AS DOUBLE), 0) / (xx + CAST(0.05 AS DOUBLE)) * 10000 + CAST(0.5 AS DOUBLE))
-                / 10000 AS coefficient,
-              floor(y * 10000 + CAST(0.5 AS DOUBLE)) / 10000 AS intercept FROM c""",
+       SELECT {fp("sign(xy) * greatest(abs(xy) - CAST(0.05 AS DOUBLE), 0) / (xx + CAST(0.05 AS DOUBLE))", "coefficient")},
+              {fp("y", "intercept")} FROM c""",
 )
 def elastic_net_one_feature(spark, sf):
     """With one standardised feature the solution is a soft threshold, which SQL can say."""
@@ -111,7 +109,7 @@ def elastic_net_one_feature(spark, sf):
     linear = Pipeline(stages=stages).fit(df).stages[-1]
     row = [(float(linear.coefficients[0]), float(linear.intercept))]
     fitted = spark.createDataFrame(row, "coefficient DOUBLE, intercept DOUBLE")
-    return fitted.select(*[fixed_point(F.col(name), 4).alias(name) for name in fitted.columns])
+    return with_fixed(fitted, "coefficient", "intercept")
 
 
 @query(

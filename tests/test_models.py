@@ -64,8 +64,8 @@ def test_elastic_net_matches_coordinate_descent(spark, table, alpha, ratio):
     model = ml.fit_elastic_net(table, alpha, ratio)
     w, intercept = coordinate_descent(*matrix(table), alpha, ratio)
     got = {r.feature: r.coefficient for r in ml.coefficients(model, spark).collect()}
-    assert [got[name] for name in FEATURES] == pytest.approx(list(w), abs=1e-3)
-    assert got["intercept"] == pytest.approx(intercept, abs=1e-3)
+    assert [got[name] for name in FEATURES] == pytest.approx(list(w), abs=1e-6)
+    assert got["intercept"] == pytest.approx(intercept, abs=1e-6)
 
 
 def test_feature_vector(table):
