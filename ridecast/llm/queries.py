@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridecast.llm import sharding
+from ridecast.llm import packing, sharding, token_files
 from ridecast.llm.scratch import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +32,21 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), shards=24).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "byte", end_id=0)
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = token_files.write_files(
+        read_table(spark, sf_dir, "documents"),
+        token_files.new_folder(spark),
+        public_tokenizers.path("word_bpe_49k.json"),
+        vocabulary_size=49_408,
+        kind="word",
+        end_id=1,
+    )
+    return token_files.read_files(index)
