@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridecast.llm import packing, sharding, token_files
+from ridecast.llm import graph_search, packing, sharding, token_files
 from ridecast.llm.scratch import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         end_id=1,
     )
     return token_files.read_files(index)
+
+
+@query("op8_nearest_neighbours")
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    index = graph_search.build_index(vectors)
+    return graph_search.search_index(index, vectors.where(F.col("vec_id") % 100 == 0), k=10)
