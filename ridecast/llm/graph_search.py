@@ -206,10 +206,10 @@ def search_index(
     """
     asked = _vectors(queries, id_column, vector_column).withColumnRenamed("vec_id", "query_id")
     blocks = max(1, -(-asked.count() // query_block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    shards = index.select("dim", "shard").distinct()
+    asked = asked.withColumn("to_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    shards = index.select(F.col("dim").alias("to_dim"), F.col("shard").alias("to_shard")).distinct()
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.join(shards, "dim")  # each query once for each shard of its length
+    right = asked.join(shards, F.col("dim") == F.col("to_dim"))  # each query once for each shard of its length
 
     def search(graphs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
@@ -238,9 +238,10 @@ def search_index(
                 out += [(query, i, distance) for distance, i in found[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
 
-    keys = ["dim", "shard", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        search, "query_id long, vec_id long, score double"
+    found = (
+        left.groupBy("dim", "shard", "block")
+        .cogroup(right.groupBy("to_dim", "to_shard", "to_block"))
+        .applyInPandas(search, "query_id long, vec_id long, score double")
     )
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
