@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridecast.llm import graph_search, packing, sharding, token_files
-from ridecast.llm.scratch import read_table
+from ridecast.llm import graph_search, language, packing, sharding, token_files
+from ridecast.llm.scratch import held_out_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,3 +57,12 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     index = graph_search.build_index(vectors)
     return graph_search.search_index(index, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = held_out_remainder(F.col("doc_id"), 5) == 0
+    model = language.fit(docs, ~held_out)
+    scored = language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "lang_pred", "score", "rejected")
