@@ -21,8 +21,8 @@ PLAIN = [c for c in map(chr, [9, 10, *range(0x20, 0x7F), *range(0xA1, 0x180)]) i
 LETTERS = "".join(c for c in PLAIN if unicodedata.category(c).startswith("L"))
 NUMBERS = "".join(c for c in PLAIN if unicodedata.category(c).startswith("N"))
 
-#: Most strings kept in a worker's table before it is emptied and filled again.
-KEPT = 600_000
+#: Most strings kept in a worker's table before it is emptied and filled again; about 300 MB.
+KEPT = 1_500_000
 
 
 def _class(characters: str) -> str:
