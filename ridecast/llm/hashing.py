@@ -45,14 +45,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE, lower: bool = True):
-    """All words of texts laid end to end: (hash, text number, first byte, byte after the last).
+def spans(data: np.ndarray, lower: bool = True):
+    """A function from (first, end) places of `data` to the hashes of the bytes between them."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    values = _BYTE[LOWER[data] if lower else data] * _power("up", len(data))
+    np.cumsum(values, dtype=np.uint64, out=sums[1:])
+
+    def of(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        raw = (sums[end] - sums[first]) * _power("down", len(data))[first]
+        return mix(raw + (end - first).astype(np.uint64))
+
+    return of
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE):
+    """(text number, first byte, byte after the last) of every word of texts laid end to end.
 
     `offsets` has a text's start and end; a word never spans two texts.
     """
-    none = np.zeros(0, np.int64)
     if not len(data):
-        return np.zeros(0, np.uint64), none, none, none
+        none = np.zeros(0, np.int64)
+        return none, none, none
     inside = ~separators[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
@@ -64,12 +77,15 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE,
     before = edges[edges > 0] - 1
     ends[before] = inside[before]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    values = _BYTE[LOWER[data] if lower else data] * _power("up", len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values, dtype=np.uint64, out=sums[1:])
-    raw = (sums[last] - sums[first]) * _power("down", len(data))[first]
-    text = np.searchsorted(offsets, first, "right") - 1
-    return mix(raw + (last - first).astype(np.uint64)), text, first, last
+    return np.searchsorted(offsets, first, "right") - 1, first, last
+
+
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE, lower: bool = True):
+    """All words of texts laid end to end: (hash, text number, first byte, byte after the last)."""
+    text, first, last = word_places(data, offsets, separators)
+    if not len(first):
+        return np.zeros(0, np.uint64), text, first, last
+    return spans(data, lower)(first, last), text, first, last
 
 
 def runs(hashes: np.ndarray, text: np.ndarray, n_texts: int, size: int, short: bool = True):
