@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridecast.llm import graph_search, language, packing, quality, sharding, token_files, toxicity
+from ridecast.llm import decontamination, graph_search, language, packing, quality, sharding, token_files, toxicity
 from ridecast.llm.scratch import held_out_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels, ~held_out)
     scored = toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
