@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridecast.llm import decontamination, graph_search, language, line_dedup, packing, quality, sharding, token_files, toxicity
+from ridecast.llm import decontamination, graph_search, language, line_dedup, ngram_join, packing, quality, sharding, token_files, toxicity
 from ridecast.llm.scratch import held_out_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_line_dedup", line_dedup.SQL)
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_lines(read_table(spark, sf_dir, "documents")).drop("doc_hash")
+
+
+@query("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(read_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
