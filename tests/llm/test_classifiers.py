@@ -1,0 +1,167 @@
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from ridecast.llm import language, quality, toxicity
+from ridecast.llm.queries import QUERIES
+from ridecast.llm.scratch import held_out_remainder, text_chunks
+
+SF = "/root/testdata/sf0.01"
+
+
+def labelled(spark, name, column):
+    rows = QUERIES[name](spark, SF).collect()
+    truth = {r["doc_id"]: r[column] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    return rows, truth
+
+
+def test_held_out_rows_are_those_of_the_checksum(spark):
+    df = spark.createDataFrame([(i,) for i in [0, 7, -3, 10**12]], "doc_id long")
+    for r in df.select("doc_id", held_out_remainder(F.col("doc_id"), 5).alias("n")).collect():
+        assert r["n"] == zlib.crc32(str(r["doc_id"]).encode()) % 5
+
+
+def test_language_held_out(spark):
+    rows = QUERIES["op6_language"](spark, SF).collect()
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    held = [r for r in rows if r["held_out"] and truth[r["doc_id"]]]
+    assert len(held) > 100 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.98 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in rows) and sum(r["rejected"] for r in rows) <= 0.01 * len(rows)
+
+
+def test_language_odd_rows(documents):
+    train = [(i, f"the cat and the dog number {i} were there", "en") for i in range(60)] + [(100 + i, f"der hund und die katze nummer {i} waren dort", "de") for i in range(60)]
+    model = language.fit(documents(train), F.lit(True))
+    odd = [(1, None), (2, ""), (3, "123 !!"), (4, "the dog"), (5, "die katze"), (6, "日本語"), (7, "the dog " * 200_000), (None, "the cat")]
+    got = language.predict(documents(odd), model)
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert [rows[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and all(rows[i]["rejected"] and rows[i]["score"] == 0 for i in (1, 2, 3))
+    assert (rows[4]["lang_pred"], rows[5]["lang_pred"], rows[7]["lang_pred"], rows[None]["lang_pred"]) == ("en", "de", "en", "en")
+    assert rows[6]["lang_pred"] in {"en", "de"}
+    assert got.columns[:6] == documents(odd).columns
+    assert language.fit(documents(train).where("false"), F.lit(True)) is None
+    assert {r["lang_pred"] for r in language.predict(documents(odd), None).collect()} == {"und"}
+    assert language.predict(documents(odd).where("false"), model).collect() == []
+
+
+def test_subwords_of_a_text_do_not_depend_on_its_neighbours():
+    texts = ["ab cd", "", "éa", "x", "ab cd"]
+    counts = {}
+    for name, column in (("all", texts), *((str(i), [t]) for i, t in enumerate(texts))):
+        for first, end, data, offsets in text_chunks(pa.array(column)):
+            for i in range(first, end):
+                counts[name, i] = sorted(
+                    int(r) for rows, place in language.subwords(data, offsets) for r, p in zip(rows, place, strict=True) if offsets[i - first] <= p < offsets[i - first + 1]
+                )
+    assert all(counts["all", i] == counts.get((str(i), 0), []) for i in range(5))
+    assert counts["all", 0] == counts["all", 4] != []
+
+
+def test_quality_held_out(spark):
+    rows, truth = labelled(spark, "op2_quality", "quality")
+    held = [r for r in rows if r["held_out"] and truth.get(r["doc_id"]) is not None]
+    assert len(held) > 80 and sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+
+
+def test_quality_never_reads_negatives(documents, spark):
+    good = [(i, f"A calm sentence about topic{i % 7} and weather{i}. Another one follows, with words{i}.") for i in range(120)]
+    bad = [(1000 + i, f"BUY!!! NOW$$$ {'WIN!!! ' * (5 + i % 5)}") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1) for i, _ in good[:60]] + [(i, 0) for i, _ in bad[:20]] + [(2, None)], "doc_id long, quality int")
+    model = quality.fit(documents(good + bad), labels, F.lit(True))
+    assert model.report["prior"] == pytest.approx(60 / 80)
+    got = {r["doc_id"]: r["score"] for r in quality.score(documents(good + bad + [(1, None), (5000, "")]), model).collect()}
+    assert min(got[i] for i, _ in good[60:]) > 0.5 > max(got[i] for i, _ in bad)
+    assert 0 <= got[5000] <= 1
+    swapped = labels.withColumn("quality", F.when(F.col("quality") == 1, 1))
+    assert quality.fit(documents(good + bad), swapped, F.lit(True)) is not None
+    assert quality.fit(documents(good), labels.where("false"), F.lit(True)) is None
+    assert {r["score"] for r in quality.score(documents(good), None).collect()} == {0.5}
+    assert quality.score(documents(good).where("false"), model).collect() == []
+
+
+def test_non_negative_risk_holds_the_unlabelled_part_up():
+    random = np.random.default_rng(0)
+    p, n = random.normal(2, 1, (400, 3)), random.normal(-2, 1, (400, 3))
+    model = quality.fit_arrays(p[:200], np.concatenate([p[200:], n]), 1 / 3)
+    assert (model.log_odds(p) > 0).mean() > 0.95 and (model.log_odds(n) < 0).mean() > 0.95
+
+
+def test_features_of_a_text_do_not_depend_on_its_neighbours():
+    texts = ["Some Words here.", "", "AAA!! bbb\nbbb", "é É 12"]
+    alone = []
+    for t in texts:
+        for _, _, data, offsets in text_chunks(pa.array([t])):
+            alone.append(quality.describe(data, offsets)[0])
+    for _, _, data, offsets in text_chunks(pa.array(texts)):
+        assert np.allclose(quality.describe(data, offsets), alone)
+
+
+def test_toxicity_held_out(spark):
+    rows, truth = labelled(spark, "op10_toxicity", "toxic")
+    held = [r for r in rows if r["held_out"] and truth.get(r["doc_id"]) is not None]
+    right = sum(r["predicted"] == truth[r["doc_id"]] for r in held)
+    assert len(held) > 60 and right >= 0.93 * len(held)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+
+
+def corpus(n=300):
+    words = ["river", "stone", "window", "garden", "summer", "paper", "bridge", "letter"]
+    random = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(n):
+        text = [words[k] for k in random.integers(0, 8, 20)]
+        if i % 4 == 0:
+            text[random.integers(0, 20)] = ["idiot", "moron", "scum"][i // 4 % 3]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 4 == 0)))
+    return rows, labels
+
+
+def test_disguised_words(documents, spark):
+    rows, labels = corpus()
+    model = toxicity.fit(documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    tests = {1: "river 1d10t stone", 2: "garden m0r0n paper", 3: "river s c u m stone", 4: "you idiooot there", 5: "m.o.r.o.n", 6: "paper bridge window", 7: None, 8: "", 9: "call 555-0100 at 10", 10: "river " * 200_000 + "IDIOT", 11: "MORON"}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(documents(list(tests.items())), model).collect()}
+    assert {i for i, s in got.items() if s >= 0.5} == {1, 2, 3, 4, 5, 10, 11}
+    assert got[7] == got[8]
+    assert toxicity.fit(documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int").where("toxic = 0"), F.lit(True)) is None
+    assert {r["score"] for r in toxicity.score(documents(rows), None).collect()} == {0.0}
+    assert toxicity.score(documents(rows).where("false"), model).collect() == []
+
+
+def every_path(lattice):
+    paths = [("", 0.0)]
+    for options in lattice:
+        paths = [(t + letters, c + more) for t, c in paths for letters, more in options]
+    return paths
+
+
+@pytest.mark.parametrize("string", ["1d10t", "st00p1d", "aaab", "x*y", "m0r0n", "5cum", "a", "7r@sh"])
+def test_viterbi_equals_trying_every_path(string):
+    random = np.random.default_rng(2)
+    model = toxicity.language_model(random.integers(0, 50, toxicity.SYMBOLS**3))
+
+    def cost(text, channel):
+        x = y = 0
+        for letter in text + " ":
+            code = ord(letter) - 96 if "a" <= letter <= "z" else 0
+            if code or y:
+                channel -= model[x, y, code]
+                x, y = y, code
+        return channel
+
+    restorer = toxicity.Restorer(model)
+    best = min(cost(t, c) for t, c in every_path(restorer.lattice(string)))
+    decoded = restorer.decode(string)
+    assert min(cost(t, c) for t, c in every_path(restorer.lattice(string)) if t == decoded) == pytest.approx(best)
+
+
+def test_character_counts_cover_all_texts(documents):
+    rows = [(1, "Ab a"), (2, None), (3, "ab"), (4, "")]
+    counts = {r["at"]: r["n"] for r in toxicity.count_characters(documents(rows)).collect()}
+    a, b, size = 1, 2, toxicity.SYMBOLS
+    assert counts == {(a * size + b) * size: 1, b * size * 0 + (b * size + 0) * size + a: 1}

@@ -1,0 +1,78 @@
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ridecast.llm import decontamination
+from ridecast.llm.queries import QUERIES
+
+from .conftest import SF_SMALL
+
+ITEM = "Which of the twelve painted wooden boats reached the northern harbour before the early autumn storm arrived there"
+FILLER = " ".join(f"filler{i % 50}" for i in range(300))
+
+
+def plain_align(a, b):
+    best, h = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+            best = max(best, h[i][j])
+    return best
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=15))
+def test_align_equals_the_plain_table(a, b):
+    score, end_a, end_b = decontamination.align(np.array(a, np.uint64), np.array(b, np.uint64))
+    assert score == plain_align(a, b)
+    assert plain_align(a[:end_a], b[:end_b]) == score
+
+
+def items(spark, rows=((1, ITEM), (2, None), (3, "too short"), (4, "exactly these seven words must all match"))):
+    return spark.createDataFrame(list(rows), "item_id long, text string")
+
+
+def test_copies_edits_and_clean_texts(spark, documents):
+    words = ITEM.split()
+    edited = [w if i % 6 else "changed" for i, w in enumerate(words)]
+    cut = words[:5] + words[7:12] + ["extra"] + words[12:]
+    rows = [
+        (1, ITEM), (2, f"{FILLER} {ITEM.upper()}! {FILLER}"), (3, f"{FILLER}\n{' '.join(edited)}. {FILLER}"), (4, f"{FILLER} {' '.join(cut)}"),
+        (5, FILLER), (6, f"the early autumn storm was a surprise {FILLER}"), (7, None), (8, ""), (9, f"{FILLER} exactly these seven words must all match"),
+        (10, "exactly these seven words must all differ"), (11, f"{FILLER} {' '.join(reversed(words))}"), (12, "too short"), (13, f"{FILLER} " * 200 + ITEM),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.find(documents(rows), items(spark)).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (9, 4), (13, 1)}
+    assert got[2, 1]["score"] == 1.0 and (got[2, 1]["first_word"], got[2, 1]["words"]) == (300, len(words))
+    assert 0.5 <= got[3, 1]["score"] < 1
+    kept = decontamination.decontaminate(documents(rows), items(spark))
+    assert {r["doc_id"] for r in kept.collect()} == {5, 6, 7, 8, 10, 11, 12}
+    assert kept.columns == documents(rows).columns
+
+
+def test_blocks_give_the_same_rows(spark, documents):
+    many = [(i, f"item{i} " + " ".join(f"q{i}x{j}" for j in range(12))) for i in range(12)]
+    rows = [(i, f"{FILLER} {many[i % 12][1]}") for i in range(24)]
+    found = [sorted(map(tuple, decontamination.find(documents(rows), items(spark, many), block_bytes=b).collect())) for b in (1 << 20, 400)]
+    assert found[0] == found[1] and len(found[0]) == 24
+
+
+def test_odd_tables(spark, documents):
+    rows = [(None, ITEM), (1, ITEM), (1, ITEM)]
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in decontamination.find(documents(rows), items(spark)).collect()) == [(0, 1), (1, 1), (1, 1)]
+    assert decontamination.find(documents(rows).where("false"), items(spark)).collect() == []
+    assert decontamination.find(documents(rows), items(spark).where("false")).collect() == []
+    assert [r["doc_id"] for r in decontamination.decontaminate(documents(rows), items(spark)).collect()] == [None]
+
+
+def test_a_passage_in_most_texts_is_still_found(spark, documents):
+    rows = [(i, f"own{i} words{i} {ITEM} more{i}") for i in range(60)] + [(100 + i, f"{FILLER} only{i}") for i in range(20)]
+    assert {r["doc_id"] for r in decontamination.find(documents(rows), items(spark)).collect()} == set(range(60))
+
+
+def test_query_finds_every_whole_item(spark):
+    texts = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()
+    held = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()
+    whole = {(d["doc_id"], b["item_id"]) for d in texts for b in held if b["text"] in (d["text"] or "")}
+    found = {(r["doc_id"], r["item_id"]) for r in QUERIES["op9_decontamination"](spark, SF_SMALL).collect()}
+    assert whole and whole <= found
