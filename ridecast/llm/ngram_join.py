@@ -16,8 +16,10 @@ intersection is at least num / den of the size of their union.
    the bound is verified on the sets themselves.
 4. Components of the verified links.
 
-A candidate group of more than `BLOCK` sets is dealt into blocks, and each pair of blocks is a
-task of its own. Runs are known by 64-bit hashes.
+A candidate group of more than `BLOCK` sets or `BLOCK_RUNS` runs is dealt into blocks, and each
+pair of blocks is a task of its own. Texts are read again for candidates alone; a filter of
+fixed size over the candidates' ids keeps most others out of that shuffle, and the join
+behind it is exact however full the filter gets. Runs are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,11 +38,13 @@ from ridecast.llm import hashing
 from ridecast.llm.components import components
 from ridecast.llm.scratch import text_chunks, written
 
-#: Sets of a candidate group that one task takes whole, and of small groups dealt together.
-BLOCK, SMALL = 2048, 128
-#: Runs of small candidate groups in one task, on the average.
-RUNS_PER_TASK = 1_000_000
+#: Sets and runs of a candidate group that one task takes whole; sets of small groups, which are
+#: dealt together, and their runs in one task on the average.
+BLOCK, BLOCK_RUNS = 2048, 4_000_000
+SMALL, RUNS_PER_TASK = 128, 1_000_000
 LEAF = 8
+#: Bits of the filter that keeps most texts out of the shuffle of candidates (two megabytes).
+FILTER_BITS = 1 << 24
 
 _SECOND = np.uint64(0x5851F42D4C957F2D)
 
@@ -260,7 +264,7 @@ def join_documents(
     least = F.min("rep").over(W.partitionBy("key").orderBy("rep"))
     stars = keyed.withColumn("least", least).where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b"))
     candidates = components(stars, "candidates")
-    links = written(_links(known, candidates, words, num, den), "links")
+    links = written(_links(known, marks, candidates, words, num, den), "links")
     # Equal sets are linked through their class.
     repeated = marks.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same)
     repeated = repeated.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -271,17 +275,45 @@ def join_documents(
     return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
 
-def _links(known: DataFrame, candidates: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    members = candidates.join(sizes.withColumnRenamed("component", "_component"), F.col("component") == F.col("_component")).drop("_component")
-    members = written(members, "candidate-groups")
-    few = members.where(F.col("members") <= SMALL).count()
-    tasks = max(1, -(-few * 300 // RUNS_PER_TASK), min(few // 64, known.sparkSession.sparkContext.defaultParallelism * 4))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    members = members.withColumn("big", F.col("members") > SMALL)
+def _maybe(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) without most of those whose id is not among `ids` (node)."""
+    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    words = ids.select(F.floor(bit / 32).cast("int").alias("at"), (bit % 32).cast("int").alias("bit"))
+    words = words.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()  # at most FILTER_BITS / 32 rows
+    held = np.zeros(FILTER_BITS // 32, np.uint32)
+    for row in words:
+        held[row["at"]] = row["bits"]
+    filled = texts.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = filled.value
+        for batch in batches:
+            at = np.asarray(batch.column(2))
+            keep = (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1
+            kept = batch.filter(pa.array(keep.astype(bool))).select([0, 1])
+            if kept.num_rows:
+                yield kept
+
+    marked = texts.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    return marked.mapInArrow(run, "doc_id long, text string")
+
+
+def _links(known: DataFrame, marks: DataFrame, candidates: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    lengths = marks.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("n_shingles").alias("length"))
+    candidates = written(candidates.join(lengths, F.col("node") == F.col("_doc")).drop("_doc"), "candidate-sets")
+    sizes = candidates.groupBy(F.col("component").alias("_component")).agg(F.count(F.lit(1)).alias("members"), F.sum("length").alias("runs"))
+    members = candidates.join(sizes, F.col("component") == F.col("_component")).drop("_component")
+    few = F.col("members") <= SMALL
+    small = few & (F.col("runs") <= BLOCK_RUNS)
+    members = written(members.withColumn("big", ~small), "candidate-groups")
+    runs = members.where("NOT big").agg(F.sum("length")).first()[0] or 0
+    least = members.sparkSession.sparkContext.defaultParallelism * 4
+    tasks = max(-(-runs // RUNS_PER_TASK), min(runs // 10_000, least), 1)
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("runs") / BLOCK_RUNS)).cast("int")
     members = members.withColumn("task", F.when(F.col("big"), F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(tasks))))
-    members = members.withColumn("part", F.when(F.col("big"), F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")).otherwise(0))
-    other = F.explode(F.when(F.col("big"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0))))
+    members = members.withColumn("blocks", F.when(F.col("big"), blocks).otherwise(1))
+    members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,8 +324,9 @@ def _links(known: DataFrame, candidates: DataFrame, words: int, num: int, den: i
                 rest = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([*rest.columns[1:], pa.array(own, pa.binary())], [*rest.schema.names[1:], "runs"])
 
-    wanted = known.join(members, F.col("doc_id") == F.col("node")).select("text", "big", "task", "part", "members", "component", F.col("node").alias("rep"))
-    sets = wanted.mapInArrow(shingled, "big boolean, task long, part int, members long, component long, rep long, runs binary")
+    wanted = _maybe(known, members.select("node")).join(members, F.col("doc_id") == F.col("node"))
+    wanted = wanted.select("text", "big", "task", "part", "blocks", "component", F.col("node").alias("rep"))
+    sets = wanted.mapInArrow(shingled, "big boolean, task long, part int, blocks int, component long, rep long, runs binary")
     dealt = sets.withColumn("other", other)
     dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     return _verified(dealt.select("big", "task", "i", "j", "part", "component", "rep", "runs"), num, den)
