@@ -28,36 +28,38 @@ from ridecast.llm.scratch import written
 LEAST_WORDS = 8
 
 
-def _words(line: Column) -> Column:
-    """Words between white space, as an array without empty ones."""
-    return F.filter(F.split(F.translate(line, "\t\r\x0b\f", "    "), " "), lambda w: w != "")
+def _canonical(line: Column) -> Column:
+    """The words of a line with one space between; most lines are like that already."""
+    white = "\t\r\x0b\f"
+    odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    for sign in white:
+        odd |= line.contains(sign)
+    words = F.filter(F.split(F.translate(line, white, "    "), " "), lambda w: w != "")
+    return F.when(odd, F.array_join(words, " ")).otherwise(line)
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Every line that has a word: its document, its place and its words."""
+    """Every line with its document and place."""
     text = F.col(text_column)
-    places = docs.where(text.isNotNull()).select(
+    return docs.where(text.isNotNull()).select(
         F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("doc_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")
     )
-    return places.select("doc_id", "doc_hash", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
 
 
-def _halves(words: Column) -> Column:
+def _halves(line: Column, size: Column) -> Column:
     """Keys of the first and last k words. k depends on the number of words alone, and a line one
     word short of the next k has the keys of both, so lines a word apart have a common k."""
-    size = F.size(words)
 
     def keys(n: Column) -> list[Column]:
         k = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double") + 0.25)) - 1).cast("int")
-        return [
-            F.xxhash64(F.lit("first"), k, F.slice(words, F.lit(1), k)),
-            F.xxhash64(F.lit("last"), k, F.slice(words, size - k + 1, k)),
-        ]
-
-    return F.when(size >= LEAST_WORDS, F.array_distinct(F.array(*keys(size), *keys(size + 1)))).otherwise(
-        # A line one word short of the least has no near line.
-        F.array().cast("array<bigint>")
-    )
+        first, last = (F.call_function("substring_index", line, F.lit(" "), x) for x in (k, -k))
+        return [F.xxhash64(F.lit("first"), k, first), F.xxhash64(F.lit("last"), k, last)]
+
+    next_k = F.array_distinct(F.array(*keys(size), *keys(size + 1)))
+    one_k = F.array(*keys(size))
+    # size + 1 is a power of two: the only sizes with two lengths of half.
+    both = size.bitwiseAND(size + 1) == 0
+    return F.when(size < LEAST_WORDS, F.array().cast("array<bigint>")).when(both, next_k).otherwise(one_k)
 
 
 def _emitted(lines: DataFrame) -> DataFrame:
@@ -120,18 +122,13 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     lines = _lines(docs, id_column, text_column)
     place = F.struct("doc_id", "doc_hash", "line_no")
+    line = F.col("line")
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    seen = lines.withColumn("line", _canonical(line)).withColumn("size", F.when(line == "", 0).otherwise(spaces + 1))
     seen = written(
-        lines.select(
-            "doc_id",
-            "doc_hash",
-            "line_no",
-            F.size("words").alias("size"),
-            F.xxhash64("words").alias("h"),
-            F.hash("words").alias("g"),
-            _halves(F.col("words")).alias("halves"),
-        ),
+        seen.select("doc_id", "doc_hash", "line_no", "size", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), _halves(line, F.col("size")).alias("halves")),
         "lines",
-    )
+    ).where("size > 0")
     identity = ["h", "g", "size"]
     distinct = seen.groupBy(*identity).agg(
         F.min(place).alias("first"), F.max(place).alias("last"), F.first("halves").alias("halves")
@@ -143,7 +140,10 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     wanted = wanted.select(*[F.col(f"first.{c}").alias(f"_{c}") for c in ("doc_id", "doc_hash", "line_no")])
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("doc_hash") == F.col("_doc_hash")) & (F.col("line_no") == F.col("_line_no"))
     candidates = written(
-        lines.join(wanted, same, "left_semi").select(place.alias("first"), "words").dropDuplicates(["first"]), "candidate-lines"
+        lines.join(wanted, same, "left_semi")
+        .select(place.alias("first"), F.split(_canonical(line), " ").alias("words"))
+        .dropDuplicates(["first"]),
+        "candidate-lines",
     )
     keys = written(_emitted(candidates), "line-keys")
     wholes = keys.where("whole IS NOT NULL").select("first", F.col("whole").alias("key"))
