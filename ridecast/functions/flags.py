@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # The texts a request may use for a boolean.
 TRUE_TEXTS = ["1", "1.0", "on", "t", "true", "y", "yes"]
 FALSE_TEXTS = ["0", "0.0", "off", "f", "false", "n", "no"]
+# A decimal number as text: no suffix, no hexadecimal digits, no word.
+_NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def minutes(seconds: Column) -> Column:
@@ -50,13 +52,11 @@ def to_boolean(text: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """A request's number, or null when the text is none; true and false count as 1 and 0."""
-    number = F.coalesce(
-        F.trim(text).try_cast("double"),
-        F.when(F.lower(F.trim(text)) == "true", F.lit(1.0)).when(
-            F.lower(F.trim(text)) == "false", F.lit(0.0)
-        ),
-    )
-    return F.when(~F.isnan(number), number)
+    word = F.trim(text)
+    number = F.when(word.rlike(_NUMBER), word.try_cast("double"))
+    flag = F.when(F.lower(word) == "true", F.lit(1.0)).when(F.lower(word) == "false", F.lit(0.0))
+    finite = F.when(F.abs(number) < F.lit(float("inf")), number)
+    return F.coalesce(finite, flag)
 
 
 def to_whole_number(text: Column) -> Column:

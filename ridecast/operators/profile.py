@@ -16,7 +16,9 @@ from ridecast.operators.ranks import exact_quantiles, quantile_row
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(keys))
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
+    return df
 
 
 def group_profile(
@@ -38,12 +40,20 @@ def non_null_counts(df: DataFrame, by: str) -> DataFrame:
     return group_profile(df, [by], by, {f"{name}_count": F.count(name) for name in others})
 
 
+def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The distinct non-null values of each group with their counts, one row each."""
+    return _keyed(df, [key, value]).groupBy(key, value).agg(F.count(F.lit(1)).alias("count"))
+
+
 def distinct_history(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Count, number of distinct values and the values themselves per group."""
-    history = group_profile(
-        df, [key], value, {"count": F.count(value), "unique": F.sort_array(F.collect_set(value))}
-    )
-    return history.select(key, "count", F.size("unique").alias("nunique"), "unique")
+    """Count, number of distinct values and the values themselves per group.
+
+    For a column of few values, as a group's values end in one row; `value_counts` is the
+    form without that bound. Values are counted before they meet.
+    """
+    counted = _keyed(df, [key]).groupBy(key, value).agg(F.count(value).alias("_rows"))
+    values = counted.groupBy(key).agg(F.sum("_rows").alias("count"), F.sort_array(F.collect_list(value)).alias("unique"))
+    return values.select(key, "count", F.size("unique").alias("nunique"), "unique")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:

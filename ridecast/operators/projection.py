@@ -25,7 +25,7 @@ def drop_columns(df: DataFrame, columns: Sequence[str], strict: bool = True) ->
 
 def with_station(df: DataFrame, station: str = "strt_statn") -> DataFrame:
     """Rows that have a start station, with the id as an integer."""
-    return df.dropna(subset=[station]).withColumn(station, F.col(station).cast("int"))
+    return df.where(F.col(station).isNotNull()).withColumn(station, F.col(station).cast("int"))
 
 
 def at_most(df: DataFrame, column: str, cap: float | None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ridecast.functions import flags
 from ridecast.plans.prepare import with_weekday_cycle
 from ridecast.schemas import FEATURES
+from ridecast.sources.files import RAW
 
 _TYPED = "_typed"
 
@@ -23,6 +24,7 @@ def validate(raw: DataFrame) -> DataFrame:
     """Typed request fields, `is_valid` and the `reasons` of a rejection.
 
     A value that does not fit is null, so a rejected row can never be scored by chance.
+    A record that was no JSON has that one reason (its text is in `raw`).
     """
     typed = {
         "avg_duration_prev_7days": flags.to_number(F.col("avg_duration_prev_7days")),
@@ -42,13 +44,13 @@ def validate(raw: DataFrame) -> DataFrame:
     others = [name for name in raw.columns if name not in typed]
     return (
         raw.withColumn(_TYPED, F.struct(*[column.alias(name) for name, column in typed.items()]))
-        .withColumn("reasons", F.array_compact(problems))
+        .withColumn("reasons", F.array_compact(problems) if RAW not in raw.columns else F.when(F.col(RAW).isNotNull(), F.array(F.lit("body: not valid JSON"))).otherwise(F.array_compact(problems)))
         .select(*others, f"{_TYPED}.*", (F.size("reasons") == 0).alias("is_valid"), "reasons")
     )
 
 
 def accepted(validated: DataFrame) -> DataFrame:
-    return validated.where("is_valid").drop("is_valid", "reasons")
+    return validated.where("is_valid").drop("is_valid", "reasons", RAW)
 
 
 def rejected(validated: DataFrame) -> DataFrame:

@@ -126,10 +126,15 @@ TUNED_TREES = BoostParams(20, 10, 0.5, 1.0, 5, 3, "absolute")
 PLAIN_TREES = BoostParams(10, 10, 0.01, 0.75, 0, 1, "squared")
 
 
-def boosted_trees(params: BoostParams, seed: int = SEED) -> GBTRegressor:
-    """Spark's boosted trees with the nearest meaning of each parameter.
-
-    `gamma` becomes the least gain of a split and `min_child_weight` the least number of
+def boosted_trees(params: BoostParams, rows: int, seed: int = SEED) -> GBTRegressor:
+    """Spark's boosted trees with the meaning the searched parameters have, for `rows` training rows.
+
+    `gamma` is the least *total* reduction of the loss by a split. Spark's gain is a
+    reduction of variance per row of the node, so the least gain is 2 * gamma / rows; that is
+    exact at the root, and deep nodes are pruned less than the total form would.
+    `learning_rate` shrinks each tree. With the squared loss Spark fits a tree to twice the
+    residual, so its step is half the rate. Spark's first tree counts in full whatever the
+    rate, which matters for rates as small as 0.01. `min_child_weight` is the least number of
     rows in a node (at least 1).
     """
     return GBTRegressor(
@@ -137,9 +142,9 @@ def boosted_trees(params: BoostParams, seed: int = SEED) -> GBTRegressor:
         labelCol=TARGET,
         maxIter=params.n_estimators,
         maxDepth=params.max_depth,
-        stepSize=params.learning_rate,
+        stepSize=params.learning_rate / 2 if params.loss == "squared" else params.learning_rate,
         subsamplingRate=params.subsample,
-        minInfoGain=float(params.gamma),
+        minInfoGain=2.0 * params.gamma / max(1, rows),
         minInstancesPerNode=max(1, int(params.min_child_weight)),
         lossType=params.loss,
         seed=seed,
@@ -149,7 +154,7 @@ def boosted_trees(params: BoostParams, seed: int = SEED) -> GBTRegressor:
 def fit_trees(train: DataFrame, params: BoostParams, seed: int = SEED) -> PipelineModel:
     """Fit features and boosted trees; long boosting cuts its lineage in the shared folder."""
     ensure_checkpoint_dir(train.sparkSession)
-    return model_pipeline(boosted_trees(params, seed)).fit(train)
+    return model_pipeline(boosted_trees(params, train.count(), seed)).fit(train)
 
 
 def fit_elastic_net(train: DataFrame, alpha: float = 0.1, l1_ratio: float = 0.5) -> PipelineModel:

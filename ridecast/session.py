@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +23,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(64 * 1024 * 1024),
 }
 
-_local_folder: dict[str, str] = {}
+# Paths below the shared folder that this process has handed out, by application.
+_handed_out: dict[str, list[str]] = {}
+# Tables that are written once and read by many jobs, by application and name.
+_kept: dict[tuple, DataFrame | str] = {}
 
 
 def build_session(app_name: str = "ridecast", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,23 +42,17 @@ def build_session(app_name: str = "ridecast", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by `spark.checkpoint.dir`.
 
-    Only a `local[...]` session may go without the setting (tests, one machine); it
-    gets one temporary folder for its lifetime.
+    Where that is unset it is a folder in the warehouse, which the cluster shares as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _local_folder:
-        _local_folder[context.applicationId] = tempfile.mkdtemp(prefix="ridecast-")
-    return _local_folder[context.applicationId]
+    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ridecast"
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for a written table or a stream's state."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _handed_out.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -69,6 +66,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table `name` of an input, written at its first use in the application."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _kept:
+        _kept[key] = materialise(build(), name)
+    return _kept[key]
+
+
+def kept_path(spark: SparkSession, name: str, source: str, build: Callable[[str], None]) -> str:
+    """The same for something that is no table, a saved model say: `build` writes to the path."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _kept:
+        path = new_shared_path(spark, name)
+        build(path)
+        _kept[key] = path
+    return _kept[key]
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what this process has written below the shared folder; DataFrames that read it end."""
+    application = spark.sparkContext.applicationId
+    for path in _handed_out.pop(application, []):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for key in [k for k in _kept if k[0] == application]:
+        del _kept[key]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give iterative fits a reliable place to cut their lineage."""
     if not spark.conf.get("spark.checkpoint.dir", None):

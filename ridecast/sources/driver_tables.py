@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ridecast.functions.times import floor_to_hour
 from ridecast.schemas import REQUEST, REQUEST_FIELDS, TRIPS, WEATHER, struct
 
-WEATHER_FROM, WEATHER_TO = "2024-01-03 00:00:00", "2024-01-25 00:00:00"
+# Days at either end of the events that the weather does not cover.
+DAYS_BEFORE, DAYS_AFTER = 2, 6
 
 
 # The columns used here; a declared schema spares the job that reads the file footers.
@@ -34,7 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event is a trip from the user's station; some values are missing or bad on purpose."""
+    """Every event is a trip from the user's station; some values are missing or bad on purpose.
+
+    Some trips are open, and some casual riders have a year of birth.
+    """
     events = table(spark, sf_dir, "events")
     seconds = F.floor(F.col("value") * 4.0).cast("int") * 15
     member = F.col("event_type").isin("purchase", "signup")
@@ -42,7 +46,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(
         event.alias("seq_id"),
         (event + 1_000_000).alias("hubway_id"),
-        F.lit("closed").alias("status"),
+        F.when(event % 13 == 0, "open").otherwise("closed").alias("status"),
         F.when(event % 97 == 0, F.lit(None)).when(event % 89 == 0, -60).otherwise(seconds).alias("duration"),
         F.col("ts").alias("start_date"),
         F.nullif(user, F.lit(3)).cast("int").alias("strt_statn"),
@@ -51,7 +55,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("B"), (event % 500).cast("string")).alias("bike_nr"),
         F.when(member, "Registered").otherwise("Casual").alias("subsc_type"),
         F.when(member, F.concat(F.lit("'0"), (user % 2000 + 1000).cast("string"))).alias("zip_code"),
-        F.when(member, F.lit(1950) + user % 50).cast("int").alias("birth_date"),
+        F.when(member | (event % 17 == 0), F.lit(1950) + user % 50).cast("int").alias("birth_date"),
         F.when(member, F.when(user % 2 == 0, "Female").otherwise("Male")).alias("gender"),
     )
 
@@ -68,12 +72,15 @@ def weather_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reading per hour with a purchase, over a part of the period."""
-    events = table(spark, sf_dir, "events").where(
-        (F.col("event_type") == "purchase")
-        & (F.col("ts") >= F.lit(WEATHER_FROM).cast("timestamp_ntz"))
-        & (F.col("ts") < F.lit(WEATHER_TO).cast("timestamp_ntz"))
+    """One reading per hour with a purchase, without the first and the last days of the events."""
+    events = table(spark, sf_dir, "events")
+    # A global aggregate is one row, whatever the input.
+    period = events.agg(
+        F.date_add(F.min("ts").cast("date"), DAYS_BEFORE).alias("_from"), F.date_sub(F.max("ts").cast("date"), DAYS_AFTER).alias("_to")
     )
+    day = F.col("ts").cast("date")
+    events = events.where(F.col("event_type") == "purchase").crossJoin(F.broadcast(period))
+    events = events.where((day >= F.col("_from")) & (day <= F.col("_to")))
     cents = F.sum(F.floor(F.col("value")).cast("bigint"))
     hourly = events.groupBy(floor_to_hour(F.col("ts")).alias("DATE")).agg(
         cents.alias("_cents"), F.count(F.lit(1)).alias("_events")

@@ -8,23 +8,37 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ridecast.operators import sampling
-from ridecast.operators.metrics import regression_scores, score_row, stack_scores
-from ridecast.plans import scoring, search
+from ridecast.operators.metrics import regression_scores, stack_scores
+from ridecast.plans import scoring
 from ridecast.plans import training as ml
-from ridecast.schemas import FEATURES, TARGET
-from ridecast.session import materialise, new_shared_path
+from ridecast.schemas import FEATURES, METRICS, TARGET
+from ridecast.session import kept_path, new_shared_path, written_once
 from ridecast.sources import driver_tables as src
 from ridecast.streaming.requests import score_stream
 from ridecast_queries.preparation import cleaned, with_fixed
 from ridecast_queries.registry import fp, query
 from ridecast_queries.scoring import written_requests
+from ridecast_queries.tables import share_sql
 
 _KEY = ["seq_id"]
 
 
 def model_table(spark, sf):
     """The cleaned training table, written once because every fit reads it many times."""
-    return materialise(cleaned(spark, sf).select("seq_id", *FEATURES, TARGET), "model-table")
+    return written_once(spark, "model-table", sf, lambda: cleaned(spark, sf).select("seq_id", *FEATURES, TARGET))
+
+
+_SETS = {"squared": ml.SQUARED_TREES, "absolute": ml.ABSOLUTE_TREES, "tuned": ml.TUNED_TREES, "plain": ml.PLAIN_TREES}
+
+
+def fitted(spark, sf, name):
+    """A model fitted once on the training part, saved in the shared folder and loaded from there."""
+
+    def build(path):
+        train = split(spark, sf)[0]
+        ml.save_model(ml.fit_elastic_net(train) if name == "linear" else ml.fit_trees(train, _SETS[name]), path)
+
+    return ml.load_model(kept_path(spark, f"{name}-model", sf, build))
 
 
 def split(spark, sf):
@@ -119,7 +133,7 @@ def elastic_net_one_feature(spark, sf):
 def one_split_tree(spark, sf):
     """One tree with one split on a flag predicts the mean of either side."""
     df = model_table(spark, sf)
-    trees = ml.boosted_trees(ml.BoostParams(1, 1, 0.5))
+    trees = ml.boosted_trees(ml.BoostParams(1, 1, 0.5), df.count())
     stages = [VectorAssembler(inputCols=["is_registered"], outputCol="features"), trees]
     scored = ml.predict(df, Pipeline(stages=stages).fit(df))
     sides = scored.groupBy("is_registered", "prediction").agg(F.count(F.lit(1)).alias("trips"))
@@ -131,77 +145,130 @@ def elastic_net_coefficients(spark, sf):
     return ml.coefficients(ml.fit_elastic_net(split(spark, sf)[0]), spark)
 
 
-def _scores_of(spark, sf, params, name):
+@query(
+    "two_split_trees",
+    f"""WITH a AS (SELECT is_registered AS r, avg(duration_min) AS m FROM cleaned GROUP BY 1)
+        SELECT is_registered, count(*) AS trips, {fp("any_value(m)", "prediction")}
+        FROM cleaned JOIN a ON is_registered = r GROUP BY 1""",
+)
+def two_split_trees(spark, sf):
+    """The first tree leaves no residual on a flag, so a second one changes nothing."""
+    df = model_table(spark, sf)
+    return _flag_trees(df, ml.BoostParams(2, 1, 0.5), ["is_registered"])
+
+
+def _flag_trees(df, params, features):
+    stages = [VectorAssembler(inputCols=features, outputCol="features"), ml.boosted_trees(params, df.count())]
+    scored = ml.predict(df, Pipeline(stages=stages).fit(df))
+    sides = scored.groupBy(*features, "prediction").agg(F.count(F.lit(1)).alias("trips"))
+    return with_fixed(sides, "prediction")
+
+
+# Two flags that every trip has; a depth of one makes each tree a split on one of them.
+_FLAGS = "(SELECT CAST(seq_id % 2 AS INTEGER) AS a, CAST(seq_id % 3 = 0 AS INTEGER) AS b, 8.0 * (seq_id % 2) + 3.0 * CAST(seq_id % 3 = 0 AS INTEGER) AS y FROM cleaned)"
+
+
+def _flagged(spark, sf):
+    key = F.col("seq_id")
+    a, b = (key % 2).cast("int"), (key % 3 == 0).cast("int")
+    return model_table(spark, sf).select("seq_id", a.alias("a"), b.alias("b"), (a * 8.0 + b * 3.0).alias(TARGET))
+
+
+@query(
+    "shrunken_second_tree",
+    f"""WITH t AS (SELECT *, avg(y) OVER (PARTITION BY a) AS first FROM {_FLAGS} f),
+            u AS (SELECT *, avg(y - first) OVER (PARTITION BY b) AS second FROM t)
+       SELECT a, b, count(*) AS trips, {fp("any_value(first + CAST(0.3 AS DOUBLE) * second)", "prediction")} FROM u GROUP BY 1, 2""",
+)
+def shrunken_second_tree(spark, sf):
+    """The second tree adds its mean residual times the learning rate."""
+    return _flag_trees(_flagged(spark, sf), ml.BoostParams(2, 1, 0.3), ["a", "b"])
+
+
+_GAIN = f"""WITH g AS (SELECT count(*) * (var_pop(y) - avg(v)) / 2 AS total
+                      FROM (SELECT y, var_pop(y) OVER (PARTITION BY a) AS v FROM {_FLAGS} f) x)"""
+
+
+@query(
+    "split_at_gamma",
+    f"""SELECT side, CASE WHEN side = 'below' THEN CAST(3 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS nodes,
+              {fp("total * CASE WHEN side = 'below' THEN CAST(0.99 AS DOUBLE) ELSE CAST(1.01 AS DOUBLE) END", "gamma")}
+       FROM ({_GAIN} SELECT total FROM g) t, (VALUES ('below'), ('above')) s(side)""",
+)
+def split_at_gamma(spark, sf):
+    """A split is made just below its total reduction of the loss, and not just above."""
+    df = _flagged(spark, sf).select("a", TARGET)
+    sides = df.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.var_pop(TARGET).alias("v")).agg(F.sum(F.col("n") * F.col("v")), F.sum("n")).first()
+    n = sides[1]
+    total = (n * df.agg(F.var_pop(TARGET)).first()[0] - sides[0]) / 2
+    rows = []
+    for side, gamma in (("below", total * 0.99), ("above", total * 1.01)):
+        stages = [VectorAssembler(inputCols=["a"], outputCol="features"), ml.boosted_trees(ml.BoostParams(1, 1, 0.5, gamma=gamma), n)]
+        tree = Pipeline(stages=stages).fit(df).stages[-1].trees[0]
+        rows.append((side, tree.numNodes, float(gamma)))
+    return with_fixed(spark.createDataFrame(rows, "side STRING, nodes BIGINT, gamma DOUBLE"), "gamma")
+
+
+def _scores_of(spark, sf, name):
     """Scores on the test part and on the training part, to see overfitting."""
     parts = sampling.with_split(model_table(spark, sf), _KEY, 0.2, ml.SEED)
-    model = ml.fit_trees(parts.where(F.col("split") == "train"), params)
-    scores = regression_scores(ml.predict(parts, model), TARGET, "prediction", ["split"])
+    scored = ml.baseline(parts) if name == "baseline" else ml.predict(parts, fitted(spark, sf, name))
+    pairs = scored.select("split", TARGET, "prediction").persist()
+    scores = regression_scores(pairs, TARGET, "prediction", ["split"])
     return scores.select(F.lit(name).alias("model"), *scores.columns)
 
 
 @query("trees_squared")
 def trees_squared(spark, sf):
-    return _scores_of(spark, sf, ml.SQUARED_TREES, "squared")
+    return _scores_of(spark, sf, "squared")
 
 
 @query("trees_absolute")
 def trees_absolute(spark, sf):
-    return _scores_of(spark, sf, ml.ABSOLUTE_TREES, "absolute")
+    return _scores_of(spark, sf, "absolute")
 
 
 @query("trees_tuned")
 def trees_tuned(spark, sf):
-    return _scores_of(spark, sf, ml.TUNED_TREES, "tuned")
+    return _scores_of(spark, sf, "tuned")
 
 
 @query("trees_plain")
 def trees_plain(spark, sf):
-    return _scores_of(spark, sf, ml.PLAIN_TREES, "plain")
+    return _scores_of(spark, sf, "plain")
 
 
 @query("model_comparison")
 def model_comparison(spark, sf):
-    train, test = split(spark, sf)
-    linear = ml.predict(test, ml.fit_elastic_net(train))
-    return stack_scores(
-        score_row(ml.baseline(test), TARGET, "prediction", "baseline"),
-        score_row(linear, TARGET, "prediction", "linear"),
-    )
-
-
-# A search of a few small sets; the full one is `search.GRID` with `search.DRAWS` draws.
-_SMALL_GRID = {
-    "n_estimators": [5, 10], "max_depth": [3, 5], "learning_rate": [0.1, 0.5], "subsample": [0.75, 1.0],
-    "gamma": [0, 1], "min_child_weight": [1, 3],
-}
-
-
-@query("random_search")
-def random_search(spark, sf):
-    drawn = search.draw_parameters(search.parameter_grid(spark, _SMALL_GRID), 2)
-    folds = sampling.hash_folds(model_table(spark, sf), _KEY, search.FOLDS, ml.SEED)
-    return search.search_results(search.random_search(folds, drawn))
-
-
-_SMALL_TREES = ml.BoostParams(10, 5, 0.5, 1.0, 0, 3, "squared")
+    """Baseline, linear, squared and tuned model, each on the test and the training part."""
+    tables = [_scores_of(spark, sf, name) for name in ("baseline", "linear", "squared", "tuned")]
+    return stack_scores(*[t.select(F.concat_ws(" ", "model", "split").alias("id"), *METRICS) for t in tables])
 
 
 @query("feature_use")
 def feature_use(spark, sf):
-    return ml.feature_use(ml.fit_trees(split(spark, sf)[0], _SMALL_TREES), spark)
+    return ml.feature_use(fitted(spark, sf, "tuned"), spark)
 
 
-@query("model_roundtrip")
+@query(
+    "model_roundtrip",
+    f"""SELECT count(*) AS trips, CAST(0 AS BIGINT) AS changed FROM cleaned
+        WHERE {share_sql("split", seed=ml.SEED)} < CAST(0.2 AS DOUBLE)""",
+)
 def model_roundtrip(spark, sf):
+    """How many predictions a saved and loaded model changes."""
     train, test = split(spark, sf)
-    path = new_shared_path(spark, "model")
-    ml.save_model(ml.fit_elastic_net(train), path)
-    return ml.predict(test, ml.load_model(path)).select("seq_id", TARGET, "prediction")
+    model, path = ml.fit_elastic_net(train), new_shared_path(spark, "model")
+    ml.save_model(model, path)
+    both = ml.predict(test, model).withColumnRenamed("prediction", "_before")
+    both = ml.predict(both, ml.load_model(path))
+    changed = F.count_if(~F.col("_before").eqNullSafe(F.col("prediction")))
+    return both.agg(F.count(F.lit(1)).alias("trips"), changed.alias("changed"))
 
 
 @query("batch_scoring")
 def batch_scoring(spark, sf):
-    model = ml.fit_trees(split(spark, sf)[0], _SMALL_TREES)
+    model = fitted(spark, sf, "tuned")
     return scoring.score(src.requests(spark, sf), model)
 
 
@@ -227,7 +294,7 @@ def stream_scoring_outcome(spark, sf):
 
 @query("stream_scoring")
 def stream_scoring(spark, sf):
-    model = ml.fit_trees(split(spark, sf)[0], _SMALL_TREES)
+    model = fitted(spark, sf, "tuned")
     sink = new_shared_path(spark, "scored")
     score_stream(spark, model, written_requests(spark, sf), sink, new_shared_path(spark, "scored-state")).awaitTermination()
     return spark.read.parquet(sink)

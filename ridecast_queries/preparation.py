@@ -10,7 +10,7 @@ from ridecast.functions import flags, times
 from ridecast.operators import cleaning, joins, projection, windows
 from ridecast.plans import prepare
 from ridecast.schemas import FEATURES, TARGET, TRAINING
-from ridecast.session import materialise
+from ridecast.session import written_once
 from ridecast.sources import driver_tables as src
 from ridecast_queries.registry import fp, query
 
@@ -20,8 +20,21 @@ def training(spark, sf):
 
 
 def stored_training(spark, sf):
-    """The training table as the preparation leaves it to the studies: written once, read by column."""
-    return materialise(training(spark, sf), "training-table")
+    """The training table as the preparation leaves it to the studies: written once, read by column.
+
+    The station averages and the hourly weather are written before it. Tables that are read
+    back have a size that Spark's broadcast check can see, so the trips are not shuffled
+    where those are small.
+    """
+
+    def build():
+        raw = src.trips(spark, sf)
+        averages = windows.station_trailing_avg(prepare.typed_trips(raw), 7, 90.0)
+        averages = written_once(spark, "station-averages", sf, lambda: averages)
+        weather = written_once(spark, "weather", sf, lambda: src.weather(spark, sf))
+        return prepare.training_table(raw, weather, averages)
+
+    return written_once(spark, "training-table", sf, build)
 
 
 def cleaned(spark, sf):

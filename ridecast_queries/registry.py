@@ -15,7 +15,8 @@ ORACLES: dict[str, str] = {}
 # The views the operators run on, in SQL; each may use the ones above it.
 VIEWS = {
     "raw": """
-        SELECT event_id AS seq_id, event_id + 1000000 AS hubway_id, 'closed' AS status,
+        SELECT event_id AS seq_id, event_id + 1000000 AS hubway_id,
+               CASE WHEN event_id % 13 = 0 THEN 'open' ELSE 'closed' END AS status,
                CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 0 THEN -60
                     ELSE CAST(floor(value * 4) AS INTEGER) * 15 END AS duration,
                ts AS start_date, CAST(nullif(user_id, 3) AS INTEGER) AS strt_statn,
@@ -24,7 +25,7 @@ VIEWS = {
                'B' || (event_id % 500) AS bike_nr,
                CASE WHEN event_type IN ('purchase', 'signup') THEN 'Registered' ELSE 'Casual' END AS subsc_type,
                CASE WHEN event_type IN ('purchase', 'signup') THEN '''0' || (user_id % 2000 + 1000) END AS zip_code,
-               CASE WHEN event_type IN ('purchase', 'signup')
+               CASE WHEN event_type IN ('purchase', 'signup') OR event_id % 17 = 0
                     THEN CAST(1950 + user_id % 50 AS INTEGER) END AS birth_date,
                CASE WHEN event_type IN ('purchase', 'signup')
                     THEN CASE WHEN user_id % 2 = 0 THEN 'Female' ELSE 'Male' END END AS gender
@@ -41,7 +42,9 @@ VIEWS = {
                     ELSE CAST(sum(CAST(floor(value) AS BIGINT)) AS DOUBLE) / 100 END AS "HPCP",
                CASE WHEN count(*) = 1 THEN 1 ELSE 0 END AS has_trace
         FROM events
-        WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-25'
+        WHERE event_type = 'purchase'
+          AND CAST(ts AS DATE) >= (SELECT CAST(min(ts) AS DATE) + 2 FROM events)
+          AND CAST(ts AS DATE) <= (SELECT CAST(max(ts) AS DATE) - 6 FROM events)
         GROUP BY 1""",
     "days90": """
         SELECT strt_statn, start_date_trunc, sum(duration_min) AS tot, count(duration_min) AS n

@@ -38,13 +38,27 @@ def accepted_features(raw):
 
 @query("request_json_scan", _SCAN_SQL)
 def request_json_scan(spark, sf):
-    return files.read_requests(spark, written_requests(spark, sf))
+    return files.read_requests(spark, written_requests(spark, sf)).drop(files.RAW)
 
 
 @query("request_bodies", _SCAN_SQL)
 def request_bodies(spark, sf):
     body = F.to_json(F.struct(*REQUEST_FIELDS)).alias("body")
-    return files.parse_request_bodies(src.requests(spark, sf).select("request_id", body))
+    return files.parse_request_bodies(src.requests(spark, sf).select("request_id", body)).drop(files.RAW)
+
+
+@query(
+    "malformed_bodies",
+    """SELECT request_id, CASE WHEN request_id % 10 = 0 THEN 'no json ' || request_id END AS raw,
+              CASE WHEN request_id % 10 = 0 THEN 'body: not valid JSON' ELSE reasons END AS reasons FROM checked""",
+)
+def malformed_bodies(spark, sf):
+    """Every tenth body is no JSON: it keeps its text and gets one reason."""
+    number = F.col("request_id")
+    broken = F.concat(F.lit("no json "), number.cast("string"))
+    body = F.when(number % 10 == 0, broken).otherwise(F.to_json(F.struct(*REQUEST_FIELDS))).alias("body")
+    parsed = files.parse_request_bodies(src.requests(spark, sf).select("request_id", body))
+    return joined_reasons(scoring.validate(parsed)).select("request_id", files.RAW, "reasons")
 
 
 @query("request_validation", _CHECK_SQL)
@@ -85,7 +99,7 @@ def streamed(spark, sf, transform):
 
 @query("stream_request_validation", _CHECK_SQL)
 def stream_request_validation(spark, sf):
-    return streamed(spark, sf, lambda raw: joined_reasons(scoring.validate(raw)))
+    return streamed(spark, sf, lambda raw: joined_reasons(scoring.validate(raw))).drop(files.RAW)
 
 
 @query("stream_request_features", _FEATURE_SQL)

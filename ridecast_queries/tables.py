@@ -9,8 +9,8 @@ from ridecast.operators import metrics, sampling
 from ridecast.operators.windows import station_trailing_avg
 from ridecast.plans import prepare, search
 from ridecast.plans.training import baseline
-from ridecast.schemas import METRICS, STATIONS, TARGET, TRAINING, TRIPS, WEATHER
-from ridecast.session import new_shared_path
+from ridecast.schemas import METRICS, SEARCH, STATIONS, TARGET, TRAINING, TRIPS, WEATHER
+from ridecast.session import materialise, new_shared_path
 from ridecast.sources import driver_tables as src
 from ridecast.sources import files
 from ridecast_queries.preparation import cleaned, training, with_fixed
@@ -158,6 +158,21 @@ def search_table(spark, sf):
     return with_fixed(search.search_results(_set_scores(spark, sf)), *_spread_names())
 
 
+@query(
+    "search_file_roundtrip",
+    f"""SELECT max_depth AS regressor__max_depth, n_estimators AS regressor__n_estimators, {_SPREAD}
+        FROM ({_FOLD_SQL}) f GROUP BY 1, 2""",
+)
+def search_file_roundtrip(spark, sf):
+    """Search results written to the results file and read back."""
+    results = with_fixed(search.search_results(_set_scores(spark, sf)), *_spread_names())
+    path = new_shared_path(spark, "search-csv")
+    absent = [f for f in SEARCH.fields if f.name not in results.columns]
+    full = results.withColumns({f.name: F.lit(0).cast(f.dataType) for f in absent}).select(*SEARCH.names)
+    files.write_csv(full, path)
+    return files.read_search(spark, path).drop(*[f.name for f in absent])
+
+
 @query(
     "search_top10",
     f"""SELECT max_depth, n_estimators, {fp("medae_avg", "medae_avg")} FROM (
@@ -169,14 +184,11 @@ def search_top10(spark, sf):
     return with_fixed(best.select(*_SETS, "medae_avg"), "medae_avg")
 
 
-_MODELS = ("A", "N", "R")
-
-
 def _score_tables(spark, sf):
-    pairs = src.score_pairs(spark, sf)
-    tables = [metrics.score_row(pairs.where(F.col("model") == m), "y", "y_hat", m) for m in _MODELS]
-    twin = metrics.score_row(pairs.where(F.col("model") == "A"), "y", "y_hat", "A again")
-    return [*tables, tables[0], twin]
+    """The scores of every model, scored once by group, and again under another id."""
+    scores = metrics.regression_scores(src.score_pairs(spark, sf), "y", "y_hat", ["model"])
+    scores = materialise(scores.withColumnRenamed("model", "id"), "model-scores")
+    return [scores, scores, scores.withColumn("id", F.concat("id", F.lit(" again")))]
 
 
 _BY_MODEL = scores_sql("pairs", "y", "y_hat", "model")
@@ -185,7 +197,7 @@ _BY_MODEL = scores_sql("pairs", "y", "y_hat", "model")
 @query(
     "stack_scores",
     f"""WITH s AS ({_BY_MODEL}) SELECT model AS id, mae, medae, mse, rmse, r2 FROM s
-        UNION ALL SELECT 'A again', mae, medae, mse, rmse, r2 FROM s WHERE model = 'A'""",
+        UNION ALL SELECT model || ' again', mae, medae, mse, rmse, r2 FROM s""",
 )
 def stack_scores(spark, sf):
     return with_fixed(metrics.stack_scores(*_score_tables(spark, sf)), *METRICS)
@@ -197,9 +209,19 @@ def stack_scores_by_value(spark, sf):
     return with_fixed(stacked, *METRICS).select(*METRICS)
 
 
-@query("sample_15")
+def hash_sql(kind: str, key: str = "seq_id", seed: int = 1, salt: str = "") -> str:
+    """The SQL twin of `sampling.row_hash` for one key."""
+    return f"CAST('0x' || substr(md5('{kind}|{salt}|{seed}|' || {key}), 1, 12) AS BIGINT)"
+
+
+def share_sql(kind: str, seed: int = 1, salt: str = "") -> str:
+    return f"{hash_sql(kind, seed=seed, salt=salt)} / CAST({1 << 48} AS DOUBLE)"
+
+
+@query("sample_15", f"SELECT * FROM ({_TRAINING_SQL}) t WHERE {share_sql('sample')} < CAST(0.15 AS DOUBLE)")
 def sample_15(spark, sf):
-    return sampling.sample_fraction(training(spark, sf), 0.15, _KEY, seed=1)
+    drawn = sampling.sample_fraction(training(spark, sf), 0.15, _KEY, seed=1)
+    return with_fixed(drawn, "dow_sin", "dow_cos").select(*TRAINING.names)
 
 
 @query(
@@ -212,9 +234,13 @@ def sample_15_exact(spark, sf):
     return drawn.agg(rows.alias("rows_drawn"), (rows - F.count_distinct("seq_id")).alias("repeated"))
 
 
-@query("split_80_20")
+@query(
+    "split_80_20",
+    f"SELECT *, CASE WHEN {share_sql('split')} < CAST(0.2 AS DOUBLE) THEN 'test' ELSE 'train' END AS split FROM ({_TRAINING_SQL}) t",
+)
 def split_80_20(spark, sf):
-    return sampling.with_split(training(spark, sf), _KEY, 0.2, seed=1)
+    marked = sampling.with_split(training(spark, sf), _KEY, 0.2, seed=1)
+    return with_fixed(marked, "dow_sin", "dow_cos").select(*TRAINING.names, "split")
 
 
 @query(
@@ -228,9 +254,106 @@ def split_80_20_exact(spark, sf):
     return marked.groupBy("split").agg(F.count(F.lit(1)).alias("trips"))
 
 
-@query("folds_4")
+@query("folds_4", f"SELECT *, CAST({hash_sql('fold')} % 4 AS INTEGER) AS fold FROM ({_TRAINING_SQL}) t")
 def folds_4(spark, sf):
-    return sampling.hash_folds(training(spark, sf), _KEY, 4, seed=1)
+    folds = sampling.hash_folds(training(spark, sf), _KEY, 4, seed=1)
+    return with_fixed(folds, "dow_sin", "dow_cos").select(*TRAINING.names, "fold")
+
+
+@query(
+    "sampling_chain",
+    f"""WITH s AS (SELECT seq_id, {hash_sql("split")} AS h FROM typed WHERE {share_sql("sample")} < CAST(0.5 AS DOUBLE)),
+            f AS (SELECT seq_id, {share_sql("split")} < CAST(0.2 AS DOUBLE) AS test FROM s),
+            v AS (SELECT seq_id, {share_sql("split", salt="validation")} < CAST(0.25 AS DOUBLE) AS valid FROM f WHERE NOT test),
+            e AS (SELECT seq_id, row_number() OVER (ORDER BY h, seq_id)
+                                 <= CAST(ceil(count(*) OVER () * CAST(0.2 AS DOUBLE)) AS BIGINT) AS exact_test FROM s)
+       SELECT f.seq_id, CASE WHEN f.test THEN 'test' ELSE 'train' END AS split, e.exact_test,
+              CASE WHEN f.test THEN NULL WHEN v.valid THEN 'test' ELSE 'train' END AS validation,
+              CAST({hash_sql("fold", key="f.seq_id")} % 4 AS INTEGER) AS fold
+       FROM f LEFT JOIN v ON f.seq_id = v.seq_id JOIN e ON f.seq_id = e.seq_id""",
+)
+def sampling_chain(spark, sf):
+    """A sample that is split twice, split exactly, and dealt into folds."""
+    drawn = sampling.sample_fraction(prepare.typed_trips(src.trips(spark, sf)), 0.5, _KEY, seed=1).select("seq_id")
+    exact = sampling.with_split(drawn, _KEY, 0.2, seed=1, exact=True).select("seq_id", (F.col("split") == "test").alias("exact_test"))
+    marked = sampling.with_split(drawn, _KEY, 0.2, seed=1)
+    train = marked.where(F.col("split") == "train").drop("split")
+    inner = sampling.with_split(train, _KEY, 0.25, seed=1, salt="validation").withColumnRenamed("split", "validation")
+    folds = sampling.hash_folds(marked, _KEY, 4, seed=1)
+    return folds.join(inner, "seq_id", "left").join(exact, "seq_id").select("seq_id", "split", "exact_test", "validation", "fold")
+
+
+@query(
+    "sampling_chain_shares",
+    """SELECT part, CAST(0 AS BIGINT) AS repeated, TRUE AS within_bounds FROM (VALUES ('sample'), ('split of sample'),
+              ('split of train'), ('fold 0 of test'), ('sample of test')) t(part)""",
+)
+def sampling_chain_shares(spark, sf):
+    """Each step of a chain takes its own share of what the step before left, within five deviations."""
+    trips = prepare.typed_trips(src.trips(spark, sf)).select("seq_id")
+    drawn = sampling.sample_fraction(trips, 0.5, _KEY, seed=1)
+    train, test = sampling.train_test(drawn, _KEY, 0.2, seed=1)
+    inner = sampling.train_test(train, _KEY, 0.25, seed=1, salt="validation")[1]
+    fold = sampling.hash_folds(test, _KEY, 4, seed=1).where("fold = 0").drop("fold")
+    again = sampling.sample_fraction(sampling.train_test(trips, _KEY, 0.2, seed=1)[1], 0.5, _KEY, seed=1)
+    steps = [
+        ("sample", trips, drawn, 0.5),
+        ("split of sample", drawn, test, 0.2),
+        ("split of train", train, inner, 0.25),
+        ("fold 0 of test", test, fold, 0.25),
+        ("sample of test", sampling.train_test(trips, _KEY, 0.2, seed=1)[1], again, 0.5),
+    ]
+    rows = F.count(F.lit(1))
+    out = None
+    for name, whole, part, share in steps:
+        counts = part.agg(rows.alias("part_rows"), (rows - F.count_distinct("seq_id")).alias("repeated"))
+        row = whole.agg(rows.alias("whole_rows")).crossJoin(F.broadcast(counts))
+        spread = F.sqrt(F.col("whole_rows") * F.lit(share * (1 - share)))
+        near = F.abs(F.col("part_rows") - F.col("whole_rows") * F.lit(share)) <= 5.0 * spread + 1
+        row = row.select(F.lit(name).alias("part"), "repeated", near.alias("within_bounds"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "search_draws",
+    """SELECT CAST(60 AS BIGINT) AS draws, CAST(0 AS BIGINT) AS repeated, CAST(864 AS BIGINT) AS sets, CAST(0 AS BIGINT) AS outside,
+              count(*) AS trips FROM typed""",
+)
+def search_draws(spark, sf):
+    """The 60 draws from the full grid, next to the number of trips they would be fitted on."""
+    grid = search.parameter_grid(spark)
+    drawn = search.draw_parameters(grid)
+    rows = F.count(F.lit(1))
+    counts = drawn.agg(rows.alias("draws"), (rows - F.count_distinct(*grid.columns)).alias("repeated"))
+    outside = drawn.join(grid, grid.columns, "left_anti").agg(rows.alias("outside"))
+    trips = prepare.typed_trips(src.trips(spark, sf)).agg(rows.alias("trips"))
+    return counts.crossJoin(grid.agg(rows.alias("sets"))).crossJoin(outside).crossJoin(F.broadcast(trips))
+
+
+@query(
+    "csv_roundtrip_text",
+    """SELECT doc_id AS id, source AS terminal, replace(replace(text, chr(10), ' '), chr(13), ' ') AS station,
+              CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE ' "a", b\\ ' END AS municipal, lang AS status
+       FROM documents""",
+)
+def csv_roundtrip_text(spark, sf):
+    """Whole documents as station names: quotes, commas, backslashes, blanks, empty text and nulls."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    third = F.col("doc_id") % 3
+    rows = docs.select(
+        F.col("doc_id").cast("int").alias("id"),
+        F.col("source").alias("terminal"),
+        F.translate("text", "\n\r", "  ").alias("station"),
+        F.when(third == 0, F.lit(None)).when(third == 1, "").otherwise(' "a", b\\ ').alias("municipal"),
+        F.lit(0.5).alias("lat"),
+        F.lit(0.5).alias("lng"),
+        F.col("lang").alias("status"),
+    ).select(*STATIONS.names)
+    path = new_shared_path(spark, "text-csv")
+    files.write_csv(rows, path)
+    back = files.read_stations(spark, path)
+    return back.select(F.col("id").cast("bigint").alias("id"), "terminal", "station", "municipal", "status")
 
 
 @query(

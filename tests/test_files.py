@@ -49,7 +49,60 @@ def test_missing_column_and_bad_value_fail(spark, tmp_path):
     bad = write(tmp_path / "b.csv", "id,terminal,station,municipal,lat,lng,status", "one,t,s,m,1.0,2.0,Existing")
     with pytest.raises(Exception):
         files.read_stations(spark, bad).collect()
-    assert files.read_stations(spark, bad, mode="DROPMALFORMED").collect() == []
+
+
+def test_a_fraction_is_no_whole_number(spark, tmp_path):
+    line = "1,8,closed,9,7/28/2011 10:12:00,23.7,7/28/2011 10:12:00,23,B,Registered,,1976,Male"
+    with pytest.raises(Exception, match="strt_statn is not a whole number: 23.7"):
+        files.read_trips(spark, write(tmp_path / "trips.csv", TRIP_HEADER, line)).collect()
+
+
+TEXTS = ['Fan "Pier", East', 'say ""x""', " padded ", "", None, "back\\slash", "'quoted'", '"', "a,b", "#1", "\ttab\t"]
+
+
+def test_text_round_trip(spark, tmp_path):
+    rows = [(i, "t", text, text, 1.0, 2.0, "Existing") for i, text in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, schemas.STATIONS)
+    files.write_csv(df, str(tmp_path / "a"))
+    back = files.read_stations(spark, str(tmp_path / "a")).orderBy("id").collect()
+    assert [r.station for r in back] == TEXTS and [r.municipal for r in back] == TEXTS
+
+
+def test_line_breaks_need_multi_line(spark, tmp_path):
+    df = spark.createDataFrame([(1, "t", "two\nlines, \"q\"", "m", 1.0, 2.0, "Existing")], schemas.STATIONS)
+    with pytest.raises(Exception, match="line break"):
+        files.write_csv(df, str(tmp_path / "a"))
+    files.write_csv(df, str(tmp_path / "b"), multi_line=True)
+    assert files.read_stations(spark, str(tmp_path / "b"), multi_line=True).collect() == df.collect()
+
+
+def test_malformed_requests_keep_their_text(spark, tmp_path):
+    from ridecast.plans import scoring
+
+    good = '{"request_id": 1, "avg_duration_prev_7days": "3", "HPCP": 0, "dow": 1, "is_registered": true, "has_trace": false}'
+    path = write(tmp_path / "requests.json", good, "not json", '{"dow": ')
+    batch = scoring.validate(files.read_requests(spark, path)).select("request_id", "raw", "reasons", "is_valid")
+    rows = {r.raw: r for r in batch.collect()}
+    assert rows[None].is_valid and rows[None].request_id == 1
+    for text in ("not json", '{"dow": '):
+        assert rows[text].reasons == ["body: not valid JSON"] and not rows[text].is_valid
+    stream = files.stream_requests(spark, str(tmp_path)).writeStream.format("memory").queryName("malformed").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    again = scoring.validate(spark.table("malformed")).select("request_id", "raw", "reasons", "is_valid")
+    assert sorted(map(str, again.collect())) == sorted(map(str, batch.collect()))
+    bodies = spark.createDataFrame([(1, good), (2, "not json"), (3, None)], "id INT, body STRING")
+    parsed = {r.id: r for r in scoring.validate(files.parse_request_bodies(bodies)).collect()}
+    assert parsed[1].is_valid and parsed[2].raw == "not json" and parsed[2].reasons == ["body: not valid JSON"]
+    assert len(parsed[3].reasons) == 5
+
+
+def test_numbers_of_requests(spark):
+    from ridecast.functions import flags
+
+    texts = ["1d", "2f", "0x10", "NaN", "Infinity", "1e999", " 1.5 ", "-2", ".5", "5.", "1e2", "true", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    got = [r.n for r in rows.select("i", flags.to_number(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert got == [None] * 6 + [1.5, -2.0, 0.5, 5.0, 100.0, 1.0, None, None]
 
 
 def test_weather_csv(spark, tmp_path):
@@ -112,8 +165,8 @@ def test_requests_and_bodies(spark, tmp_path):
         '{"request_id": 2, "dow": "5", "is_registered": "yes"}',
     )
     rows = files.read_requests(spark, path).orderBy("request_id").collect()
-    assert tuple(rows[0]) == (1, "13.5", "0.2", "5", "false", "false")
-    assert tuple(rows[1]) == (2, None, None, "5", "yes", None)
+    assert tuple(rows[0])[:6] == (1, "13.5", "0.2", "5", "false", "false") and rows[0].raw is None
+    assert tuple(rows[1])[:6] == (2, None, None, "5", "yes", None)
     bodies = spark.createDataFrame([(9, '{"HPCP": 0.2, "dow": 5}')], "offset INT, body STRING")
     row = files.parse_request_bodies(bodies).first()
     assert (row.offset, row.HPCP, row.dow, row.has_trace) == (9, "0.2", "5", None)

@@ -114,10 +114,24 @@ def test_trees_beat_linear_beats_baseline(parts, trees):
 
 @pytest.mark.parametrize("params", [ml.SQUARED_TREES, ml.ABSOLUTE_TREES, ml.TUNED_TREES, ml.PLAIN_TREES])
 def test_parameter_mapping(params):
-    trees = ml.boosted_trees(params)
-    assert (trees.getMaxIter(), trees.getMaxDepth(), trees.getStepSize()) == (params.n_estimators, params.max_depth, params.learning_rate)
+    trees = ml.boosted_trees(params, rows=2000)
+    assert (trees.getMaxIter(), trees.getMaxDepth()) == (params.n_estimators, params.max_depth)
+    assert trees.getStepSize() == params.learning_rate / (2 if params.loss == "squared" else 1)
     assert trees.getLossType() == params.loss and trees.getMinInstancesPerNode() >= 1
-    assert trees.getSubsamplingRate() == params.subsample and trees.getMinInfoGain() == params.gamma
+    assert trees.getSubsamplingRate() == params.subsample and trees.getMinInfoGain() == 2 * params.gamma / 2000
+
+
+def test_studied_sets_keep_splitting_and_beat_the_linear_model(parts):
+    train, test = parts
+    score = lambda df: regression_scores(df.select(TARGET, "prediction").cache(), TARGET, "prediction").first()
+    scores = {}
+    for name, params in (("squared", ml.SQUARED_TREES), ("absolute", ml.ABSOLUTE_TREES), ("tuned", ml.TUNED_TREES)):
+        model = ml.fit_trees(train, params)
+        # Boosting may end when nothing is left to explain, but not at the first tree.
+        assert sum(tree.numNodes > 1 for tree in model.stages[-1].trees) >= params.n_estimators // 2, name
+        scores[name] = score(ml.predict(test, model))
+    linear = score(ml.predict(test, ml.fit_elastic_net(train)))
+    assert scores["tuned"].mae < linear.mae < score(ml.baseline(test)).mae
 
 
 def test_save_and_load(spark, parts, trees, tmp_path):

@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__ as contract
 
 SF_DIR = "/root/testdata/sf0.001"
+# The training-text queries have tests of their own, which go with their package.
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -37,7 +38,7 @@ def test_every_oracle_has_a_query():
     assert ORACLES.keys() <= QUERIES.keys()
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(n for n in ORACLES if not n.startswith("op")))
 def test_query_equals_its_sql(spark, duck, name):
     df = QUERIES[name](spark, SF_DIR)
     columns = sorted(df.columns)
@@ -53,7 +54,7 @@ def test_entry(spark):
     assert df.count() == 935 and df.where("avg_duration_prev_7days IS NOT NULL").count() > 600
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"trees_squared", "trees_absolute", "trees_tuned", "trees_plain", "random_search"}))
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(ORACLES) if not n.startswith("op") and n != "pipeline"))
 def test_query_without_sql_returns_rows(spark, name):
     assert QUERIES[name](spark, SF_DIR).count() > 0
 

@@ -32,7 +32,7 @@ def test_exact_size(data, fraction):
 
 
 def test_exact_sample_takes_the_smallest_hashes(data):
-    by_hash = [r.id for r in data.orderBy(sampling.row_hash(KEY, 1)).limit(150).collect()]
+    by_hash = [r.id for r in data.orderBy(sampling.row_hash(KEY, 1, sampling.SAMPLE)).limit(150).collect()]
     assert ids(sampling.sample_exact(data, 150 / 1003, KEY, seed=1)) == sorted(by_hash)
 
 
@@ -77,3 +77,23 @@ def test_contiguous_folds_do_not_gather_the_table(data):
     marked.collect()
     plan = marked._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def within(n, whole, share):
+    return abs(n - whole * share) <= 5 * math.sqrt(whole * share * (1 - share)) + 1
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_chains_take_their_own_share(data, exact):
+    sample = sampling.sample_exact if exact else sampling.sample_fraction
+    drawn = sample(data, 0.5, KEY, seed=1).cache()
+    train, test = sampling.train_test(drawn, KEY, 0.2, seed=1, exact=exact)
+    assert within(test.count(), drawn.count(), 0.2) and train.count() + test.count() == drawn.count()
+    inner = sampling.train_test(train, KEY, 0.25, seed=1, exact=exact, salt="validation")[1]
+    assert within(inner.count(), train.count(), 0.25)
+    whole = sampling.train_test(data, KEY, 0.2, seed=1, exact=exact)[0]
+    assert within(sample(whole, 0.3, KEY, seed=1).count(), whole.count(), 0.3)
+    folds = [r["count"] for r in sampling.hash_folds(train, KEY, 4, seed=1).groupBy("fold").count().collect()]
+    assert len(folds) == 4 and all(within(n, train.count(), 0.25) for n in folds)
+    again = sample(drawn, 0.5, KEY, seed=1, salt="again")
+    assert within(again.count(), drawn.count(), 0.5)
