@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from ridecast.llm.scratch import written
 
 LEAST_WORDS = 8
+#: Bits of the filter that keeps lines without a candidate out of the shuffle of their texts: one
+#: broadcast row of two megabytes, whatever the input.
+FILTER_BITS = 1 << 23
 
 
 def _canonical(line: Column) -> Column:
@@ -87,6 +90,27 @@ def _emitted(lines: DataFrame) -> DataFrame:
     )
 
 
+def _maybe(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`lines` without most of those whose place is not among the places of `wanted`.
+
+    The filter only spares work: the join behind it decides, however full the filter gets.
+    """
+
+    def place(prefix: str, part: int) -> Column:
+        bit = F.pmod(F.xxhash64(*[f"{prefix}{c}" for c in ("doc_id", "doc_hash", "line_no")]), F.lit(FILTER_BITS))
+        return (F.floor(bit / 32) if part == 0 else bit % 32).cast("int")
+
+    words = wanted.select(place("_", 0).alias("at"), place("_", 1).alias("bit"))
+    words = words.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    every = lines.sparkSession.range(FILTER_BITS // 32).select(F.col("id").cast("int").alias("word"))
+    every = every.join(words, F.col("word") == F.col("at"), "left")
+    ordered = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    row = written(every.agg(F.transform(ordered, lambda x: x["bits"]).alias("_bits")), "line-filter")
+    marked = lines.withColumns({"_word": place("", 0), "_bit": place("", 1)})
+    set_bit = F.expr("shiftright(get(_bits, _word), _bit) % 2 <> 0")
+    return marked.join(F.broadcast(row), set_bit, "left_semi").drop("_word", "_bit")
+
+
 def _earlier(rows: DataFrame, key: str, targets: DataFrame) -> DataFrame:
     """(first, match): rows joined by key with the earliest target of the key, if it is earlier."""
     least = targets.groupBy(F.col("key").alias("_key")).agg(F.min("first").alias("match"))
@@ -139,8 +163,10 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     wanted = halves.join(shared, F.col("half") == F.col("_half"), "left_semi").select("first").distinct()
     wanted = wanted.select(*[F.col(f"first.{c}").alias(f"_{c}") for c in ("doc_id", "doc_hash", "line_no")])
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("doc_hash") == F.col("_doc_hash")) & (F.col("line_no") == F.col("_line_no"))
+    wanted = written(wanted, "wanted-lines")
     candidates = written(
-        lines.join(wanted, same, "left_semi")
+        _maybe(lines, wanted)
+        .join(wanted, same, "left_semi")
         .select(place.alias("first"), F.split(_canonical(line), " ").alias("words"))
         .dropDuplicates(["first"]),
         "candidate-lines",
