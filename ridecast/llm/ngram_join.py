@@ -16,10 +16,12 @@ intersection is at least num / den of the size of their union.
    the bound is verified on the sets themselves.
 4. Components of the verified links.
 
-A candidate group of more than `BLOCK` sets or `BLOCK_RUNS` runs is dealt into blocks, and each
-pair of blocks is a task of its own. Texts are read again for candidates alone; a filter of
-fixed size over the candidates' ids keeps most others out of that shuffle, and the join
-behind it is exact however full the filter gets. Runs are known by 64-bit hashes.
+A candidate group of more than `BLOCK` sets or `BLOCK_RUNS` runs is cut by the bands of its sizes,
+and a large band into parts by a hash. Links are within a band or between neighbours, so each
+such pair of parts is a task of its own, and sets of far sizes never meet. Texts are read
+again for candidates alone; a filter of fixed size over the candidates' ids keeps most others
+out of that shuffle, and the join behind it is exact however full the filter gets. Runs are
+known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -134,12 +136,45 @@ def keys_of(runs: np.ndarray, of: np.ndarray, n: int, bands: Bands) -> list[np.n
     return np.split(keys, np.cumsum(np.bincount(owner, minlength=n))[:-1])
 
 
-def _sketched(docs: DataFrame, words: int, num: int, den: int, with_keys: bool) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2) of every row, with the candidate keys if asked for."""
+class IdFilter:
+    """A fixed number of bits over ids: all its ids are known, and some others are taken for known."""
+
+    def __init__(self, ids: DataFrame):
+        bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+        words = ids.select(F.floor(bit / 32).cast("int").alias("at"), (bit % 32).cast("int").alias("bit"))
+        words = words.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+        held = np.zeros(FILTER_BITS // 32, np.uint32)
+        for row in words.collect():  # at most FILTER_BITS / 32 rows
+            held[row["at"]] = row["bits"]
+        self.held = ids.sparkSession.sparkContext.broadcast(held)
+
+    @staticmethod
+    def marked(texts: DataFrame) -> DataFrame:
+        """Rows (doc_id, text) with the bit of their id."""
+        return texts.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+
+    def select(self, batches: Iterator[pa.RecordBatch], known: bool) -> Iterator[pa.RecordBatch]:
+        """Rows (doc_id, text) of marked rows that are known, or that are not."""
+        bits = self.held.value
+        for batch in batches:
+            at = np.asarray(batch.column(2))
+            inside = ((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
+            kept = batch.filter(pa.array(inside == known)).select([0, 1])
+            if kept.num_rows:
+                yield kept
+
+
+def _sketched(
+    docs: DataFrame, words: int, num: int, den: int, with_keys: bool, ids: IdFilter | None = None, known: bool = True
+) -> DataFrame:
+    """(doc_id, n_shingles, f1, f2) of rows, with the candidate keys if asked for.
+
+    With a filter, of those rows alone whose ids it knows, or does not know.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
-        for batch in batches:
+        for batch in ids.select(batches, known) if ids else batches:
             for first, end, data, offsets in text_chunks(batch.column(1)):
                 n = end - first
                 runs, of = sets_of(data, offsets, words)
@@ -154,7 +189,7 @@ def _sketched(docs: DataFrame, words: int, num: int, den: int, with_keys: bool)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_shingles long, f1 long, f2 long" + (", keys array<long>" if with_keys else "")
-    return docs.mapInArrow(run, schema)
+    return (IdFilter.marked(docs) if ids else docs).mapInArrow(run, schema)
 
 
 class RTree:
@@ -229,18 +264,17 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int)
 
 
 def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of representatives from rows (big, task, i, j, part, component, rep, runs)."""
+    """Links (a, b) of representatives from rows (kind, task, low, high, side, component, rep, runs)."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         for _, group in frame.groupby("component", sort=False):
             reps = group["rep"].to_numpy()
             sets = [np.frombuffer(x, "<u8") for x in group["runs"]]
-            side = group["part"].to_numpy() if group["i"].iloc[0] != group["j"].iloc[0] else np.zeros(len(reps), np.int32)
-            out += [(reps[a], reps[b]) for a, b in spanning_links(sets, side, num, den)]
+            out += [(reps[a], reps[b]) for a, b in spanning_links(sets, group["side"].to_numpy(), num, den)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("big", "task", "i", "j").applyInPandas(run, "a long, b long")
+    return rows.groupBy("kind", "task", "low", "high").applyInPandas(run, "a long, b long")
 
 
 def join_documents(
@@ -258,75 +292,100 @@ def join_documents(
     known = rows.where(F.col("doc_id").isNotNull())
     marks = written(_sketched(rows, words, num, den, False), "sets")
     same = ["n_shingles", "f1", "f2"]
-    sketched = _sketched(known, words, num, den, True).where("n_shingles > 0")
-    classes = sketched.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
+    repeated = marks.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same)
+    repeated = repeated.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    repeated = written(repeated.select(*[F.col(c).alias(f"_{c}") for c in same], "rep"), "repeated-sets")
+    of_class = [F.col(c) == F.col(f"_{c}") for c in same]
+    copies = marks.join(repeated, of_class, "left_semi").select(F.col("doc_id").alias("node")).where("node IS NOT NULL")
+    # Keys of sets that other documents have as well meet by set first; the rest go straight on.
+    ids = IdFilter(copies)
+    maybe, single = (_sketched(known, words, num, den, True, ids, flag).where("n_shingles > 0") for flag in (True, False))
+    classes = maybe.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).select("rep", "keys")
+    keyed = classes.unionByName(single.select(F.col("doc_id").alias("rep"), "keys")).select("rep", F.explode("keys").alias("key"))
     least = F.min("rep").over(W.partitionBy("key").orderBy("rep"))
     stars = keyed.withColumn("least", least).where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b"))
     candidates = components(stars, "candidates")
     links = written(_links(known, marks, candidates, words, num, den), "links")
     # Equal sets are linked through their class.
-    repeated = marks.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same)
-    repeated = repeated.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     reached = components(links, "linked")
     reached = reached.select(F.col("node").alias("_node"), "component")
-    of_class = marks.join(repeated.select(*[F.col(c).alias(f"_{c}") for c in same], "rep"), [F.col(c) == F.col(f"_{c}") for c in same], "left")
-    placed = of_class.withColumn("rep", F.coalesce("rep", "doc_id")).join(reached, F.col("rep") == F.col("_node"), "left")
+    placed = marks.join(repeated, of_class, "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(reached, F.col("rep") == F.col("_node"), "left")
     return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
 
-def _maybe(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) without most of those whose id is not among `ids` (node)."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    words = ids.select(F.floor(bit / 32).cast("int").alias("at"), (bit % 32).cast("int").alias("bit"))
-    words = words.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()  # at most FILTER_BITS / 32 rows
-    held = np.zeros(FILTER_BITS // 32, np.uint32)
-    for row in words:
-        held[row["at"]] = row["bits"]
-    filled = texts.sparkSession.sparkContext.broadcast(held)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = filled.value
-        for batch in batches:
-            at = np.asarray(batch.column(2))
-            keep = (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1
-            kept = batch.filter(pa.array(keep.astype(bool))).select([0, 1])
-            if kept.num_rows:
-                yield kept
+def _dealt(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Members (node, component, length) with the tasks that compare them.
 
-    marked = texts.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-    return marked.mapInArrow(run, "doc_id long, text string")
+    Groups of a few sets share tasks; larger ones have a task of their own; those beyond the
+    bounds are cut into parts of bands of sizes, and each member goes to the tasks of its part
+    with itself, with the other parts of its band, and with those of the bands beside.
+    """
+    sizes = members.groupBy(F.col("component").alias("_component")).agg(F.count(F.lit(1)).alias("members"), F.sum("length").alias("runs"))
+    members = members.join(sizes, F.col("component") == F.col("_component")).drop("_component")
+    whole = (F.col("members") <= BLOCK) & (F.col("runs") <= BLOCK_RUNS)
+    kind = F.when(whole & (F.col("members") <= SMALL), 0).when(whole, 1).otherwise(2)
+    members = written(members.withColumn("kind", kind), "candidate-groups")
+    few = members.where("kind = 0")
+    runs = few.agg(F.sum("length")).first()[0] or 0
+    least = members.sparkSession.sparkContext.defaultParallelism * 4
+    tasks = max(-(-runs // RUNS_PER_TASK), min(runs // 10_000, least), 1)
+    one = {"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long"), "side": F.lit(0)}
+    alone = members.where("kind < 2").withColumns(one)
+    alone = alone.withColumn("task", F.when(F.col("kind") == 0, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.col("component")))
+
+    bands = Bands(num, den)
+    bands.up_to(int(members.agg(F.max("length")).first()[0] or 1))
+    lower = F.array(*[F.lit(x).cast("long") for x in bands.lower])
+    cut = members.where("kind = 2").withColumn("band", F.size(F.filter(lower, lambda x: x <= F.col("length"))).cast("long"))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / (BLOCK // 2), F.sum("length") / (BLOCK_RUNS // 2)))
+    counted = written(cut.groupBy("component", "band").agg(parts.alias("parts")), "candidate-bands")
+    for name, step in (("own", 0), ("above", 1), ("below", -1)):
+        side = counted.select(F.col("component").alias("_component"), (F.col("band") - step).alias("_band"), F.col("parts").alias(name))
+        cut = cut.join(side, (F.col("component") == F.col("_component")) & (F.col("band") == F.col("_band")), "left").drop("_component", "_band")
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("node"), F.col("own")))
+
+    def place(band: Column, part: Column) -> Column:
+        return band * (1 << 40) + part
+
+    def others(parts: str, make) -> Column:
+        count = F.coalesce(F.col(parts), F.lit(0).cast("long"))
+        numbers = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(numbers, make)
+
+    band, part = F.col("band"), F.col("part")
+    mine = place(band, part)
+
+    def pair(low: Column, high: Column, side: Column) -> Column:
+        return F.struct(low.alias("low"), high.alias("high"), side.cast("int").alias("side"))
+
+    targets = F.concat(
+        others("own", lambda o: pair(F.least(mine, place(band, o)), F.greatest(mine, place(band, o)), (part > o))),
+        others("above", lambda o: pair(mine, place(band + 1, o), F.lit(False))),
+        others("below", lambda o: pair(place(band - 1, o), mine, F.lit(True))),
+    )
+    cut = cut.withColumn("_target", F.explode(targets)).withColumn("task", F.col("component"))
+    columns = ["node", "component", "kind", "task", "low", "high", "side"]
+    return alone.select(*columns).unionByName(cut.select("*", "_target.*").select(*columns))
 
 
 def _links(known: DataFrame, marks: DataFrame, candidates: DataFrame, words: int, num: int, den: int) -> DataFrame:
     lengths = marks.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("n_shingles").alias("length"))
-    candidates = written(candidates.join(lengths, F.col("node") == F.col("_doc")).drop("_doc"), "candidate-sets")
-    sizes = candidates.groupBy(F.col("component").alias("_component")).agg(F.count(F.lit(1)).alias("members"), F.sum("length").alias("runs"))
-    members = candidates.join(sizes, F.col("component") == F.col("_component")).drop("_component")
-    few = F.col("members") <= SMALL
-    small = few & (F.col("runs") <= BLOCK_RUNS)
-    members = written(members.withColumn("big", ~small), "candidate-groups")
-    runs = members.where("NOT big").agg(F.sum("length")).first()[0] or 0
-    least = members.sparkSession.sparkContext.defaultParallelism * 4
-    tasks = max(-(-runs // RUNS_PER_TASK), min(runs // 10_000, least), 1)
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("runs") / BLOCK_RUNS)).cast("int")
-    members = members.withColumn("task", F.when(F.col("big"), F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(tasks))))
-    members = members.withColumn("blocks", F.when(F.col("big"), blocks).otherwise(1))
-    members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    members = written(candidates.join(lengths, F.col("node") == F.col("_doc")).drop("_doc"), "candidate-sets")
+    ids = IdFilter(members.select("node"))
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return ids.select(batches, True)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(0)):
+            for first, end, data, offsets in text_chunks(batch.column(1)):
                 runs, of = sets_of(data, offsets, words)
                 edges = np.searchsorted(of, np.arange(end - first + 1))
                 own = [runs[a:b].astype("<u8").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                rest = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*rest.columns[1:], pa.array(own, pa.binary())], [*rest.schema.names[1:], "runs"])
-
-    wanted = _maybe(known, members.select("node")).join(members, F.col("doc_id") == F.col("node"))
-    wanted = wanted.select("text", "big", "task", "part", "blocks", "component", F.col("node").alias("rep"))
-    sets = wanted.mapInArrow(shingled, "big boolean, task long, part int, blocks int, component long, rep long, runs binary")
-    dealt = sets.withColumn("other", other)
-    dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    return _verified(dealt.select("big", "task", "i", "j", "part", "component", "rep", "runs"), num, den)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(own, pa.binary())], ["rep", "runs"])
+
+    texts = IdFilter.marked(known).mapInArrow(maybe, "doc_id long, text string")
+    texts = texts.join(members.select("node"), F.col("doc_id") == F.col("node"), "left_semi")
+    sets = texts.mapInArrow(shingled, "rep long, runs binary")
+    dealt = _dealt(members, num, den).join(sets, F.col("node") == F.col("rep"))
+    return _verified(dealt.select("kind", "task", "low", "high", "side", "component", "rep", "runs"), num, den)
