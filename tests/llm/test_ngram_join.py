@@ -74,11 +74,16 @@ def test_query_equals_brute_force(spark):
     assert got(QUERIES["op1_ngram_join"](spark, SF_SMALL)) == brute(texts, 4, 85, 100)
 
 
-def test_large_groups_in_blocks(documents, monkeypatch):
+@pytest.mark.parametrize("runs", [500, 4_000_000])
+def test_large_groups_in_blocks(documents, monkeypatch, runs):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     monkeypatch.setattr(ngram_join, "SMALL", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_RUNS", runs)
     rows = near_copies(3, 2, 70, 60, 3)
     rows += [(500 + i, rows[0][1]) for i in range(40)]
+    # Sizes over many bands, each set near the next.
+    words = [f"v{i}" for i in range(200)]
+    rows += [(1000 + n, " ".join(words[:n])) for n in range(20, 200, 5)]
     assert got(ngram_join.join_documents(documents(rows), 4, 85, 100)) == brute(rows, 4, 85, 100)
 
 
