@@ -219,7 +219,8 @@ def fit(
 
     wanted = draw(11) < min(1.0, positive_rows / counts["good"])
     good = known.where(F.col("_label") == 1).withColumnRenamed("_id", id_column).where(wanted).select(F.col(id_column).alias("_id"))
-    positives = usable.join(good, F.col(id_column) == F.col("_id")).select(F.lit("p").alias("kind"), F.col(text_column).alias("text"))
+    # The drawn ids are the sample, of about `positive_rows` rows whatever the input.
+    positives = usable.join(F.broadcast(good), F.col(id_column) == F.col("_id")).select(F.lit("p").alias("kind"), F.col(text_column).alias("text"))
     web = usable.where(draw(12) < min(1.0, unlabelled_rows / counts["n"])).select(
         F.lit("u").alias("kind"), F.col(text_column).alias("text")
     )

@@ -249,7 +249,8 @@ def fit(
     rates = {1: min(1.0, toxic_rows / sizes[1]), 0: min(1.0, clean_rows / sizes[0])}
     draw = F.pmod(F.xxhash64("_id", F.lit(13)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     drawn = known.where(draw < F.when(F.col("_label") == 1, rates[1]).otherwise(rates[0]))
-    sample = usable.join(drawn, F.col(id_column) == F.col("_id")).select("_label", F.lower(F.col(text_column)).alias("text"))
+    # The drawn ids are the sample, of about the given numbers of rows whatever the input.
+    sample = usable.join(F.broadcast(drawn), F.col(id_column) == F.col("_id")).select("_label", F.lower(F.col(text_column)).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(characters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
