@@ -11,25 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridecast.llm import decontamination, language, line_dedup, ngram_join, packing
-from ridecast.llm.scratch import held_out_remainder, read_table, written
+from ridecast.llm.scratch import held_out_remainder, read_table, ship, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the model learns from four fifths of them."""
+    ship(spark)
     model = language.fit(docs, held_out_remainder(F.col("doc_id"), 5) != 0)
     return language.predict(docs, model).where(~F.col("rejected")).select(*COLUMNS)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that repeat an earlier one; documents that had no other line go."""
+    ship(spark)
     left = line_dedup.drop_repeated_lines(docs)
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies (five words, 0.8)."""
+    ship(spark)
     groups = ngram_join.join_documents(docs, words=5, num=80, den=100)
     others = written(
         groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct(), "near-copies"
@@ -39,11 +42,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    ship(spark)
     return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 ids."""
+    ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte", end_id=0)
 
 

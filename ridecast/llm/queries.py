@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridecast.llm import decontamination, graph_search, language, line_dedup, ngram_join, packing, quality, sharding, token_files, toxicity
-from ridecast.llm.scratch import held_out_remainder, read_table
+from ridecast.llm.scratch import held_out_remainder, read_table, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +20,15 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
-        QUERIES[name] = function
+        @wraps(function)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = shipped
         if sql is not None:
             ORACLES[name] = sql
-        return function
+        return shipped
 
     return register
 

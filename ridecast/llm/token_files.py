@@ -25,13 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridecast.llm.scratch import written
+from ridecast.llm.scratch import file_system, written
 from ridecast.llm.token_ids import encoder
 from ridecast.session import new_shared_path
 
@@ -70,10 +69,6 @@ def unpack_bits(data: bytes, bits: int) -> np.ndarray:
     return np.ascontiguousarray(lanes.T).reshape(-1)
 
 
-def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 class Writer:
     """Streams documents into one file; `close` gives (documents, ids)."""
 
@@ -194,7 +189,7 @@ def write_files(
                 for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                     if writer is None:
                         name = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}.bin"
-                        system, path = _file_system(name)
+                        system, path = file_system(name)
                         system.create_dir(path.rpartition("/")[0], recursive=True)
                         writer = Writer(system.open_output_stream(path), bits)
                     writer.add(doc_id, np.frombuffer(encode(text) + end, "<u4"))
@@ -216,7 +211,7 @@ def read_files(index: DataFrame, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                system, path = _file_system(row["file"])
+                system, path = file_system(row["file"])
                 with system.open_input_file(path) as file:
                     columns: list[list] = [[] for _ in range(5 if with_ids else 4)]
                     for doc_id, start, ids in Reader(file).documents():
