@@ -6,7 +6,7 @@ check allows it, and otherwise sorted and merged, where AQE splits a hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridecast.functions.times import weather_key
@@ -18,8 +18,16 @@ def attach_station_avg(trips: DataFrame, averages: DataFrame) -> DataFrame:
     return trips.join(averages, [STATION, DAY], "left")
 
 
+def with_unique_hours(weather: DataFrame) -> DataFrame:
+    """The weather, refusing an hour that has more than one reading (it would repeat trips)."""
+    readings = F.count(F.lit(1)).over(Window.partitionBy("DATE"))
+    refusal = F.raise_error(F.concat(F.lit("more than one reading at "), F.col("DATE").cast("string")))
+    checked = F.when(readings > 1, refusal.cast(weather.schema["DATE"].dataType)).otherwise(F.col("DATE"))
+    return weather.withColumn("DATE", checked)
+
+
 def join_weather(trips: DataFrame, weather: DataFrame) -> DataFrame:
-    """Left join on the lagged hour. A repeated hour repeats its trips."""
+    """Left join on the lagged hour. A repeated hour repeats its trips (see `with_unique_hours`)."""
     keyed = trips.withColumn("date_to_merge_weather_data", weather_key(F.col("start_date")))
     return keyed.join(weather, F.col("date_to_merge_weather_data") == F.col("DATE"), "left")
 

@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ridecast.functions.flags import fixed_point
 from ridecast.operators import sampling
 from ridecast.operators.metrics import regression_scores, stack_scores
 from ridecast.plans import scoring
@@ -98,10 +99,46 @@ def pipeline_features(spark, sf):
     return with_fixed(columns, ml.SCALED, ml.LOGGED, "dow_sin", "dow_cos")
 
 
-@query("elastic_net_predict")
+def _elastic_net_sql() -> str:
+    """Coordinate descent on the covariances of the training part, as common table expressions."""
+    n = range(1, 7)
+    columns = ['ln(1 + "HPCP")', "is_registered", "dow_sin", "dow_cos", "has_trace"]
+    x = ", ".join(["(avg_duration_prev_7days - m) / d AS x1", *[f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(columns, 2)]])
+    pairs = [(i, j) for i in n for j in n if i <= j]
+    covariances = ", ".join([f"covar_pop(x{i}, x{j}) AS c{i}{j}" for i, j in pairs] + [f"covar_pop(x{i}, y) AS r{i}, avg(x{i}) AS a{i}" for i in n])
+    steps = []
+    for i in n:
+        # Coefficients that this round has changed already are `u`, the others `w`.
+        rest = " - ".join([f"r{i}", *[f"c{min(i, k)}{max(i, k)} * {'u' if k < i else 'w'}{k}" for k in n if k != i]])
+        steps.append(f"sign({rest}) * greatest(abs({rest}) - CAST(0.05 AS DOUBLE), 0) / (c{i}{i} + CAST(0.05 AS DOUBLE)) AS u{i}")
+    return f"""WITH RECURSIVE marked AS (SELECT *, {share_sql("split", seed=ml.SEED)} < CAST(0.2 AS DOUBLE) AS test FROM cleaned),
+        s AS (SELECT avg(avg_duration_prev_7days) AS m, stddev_pop(avg_duration_prev_7days) AS d FROM marked WHERE NOT test),
+        f AS (SELECT seq_id, test, duration_min AS y, {x} FROM marked CROSS JOIN s),
+        g AS (SELECT {covariances}, avg(y) AS ay FROM f WHERE NOT test),
+        cd(step, {", ".join(f"w{i}" for i in n)}) AS (
+          SELECT 0, {", ".join("CAST(0 AS DOUBLE)" for _ in n)}
+          UNION ALL SELECT step + 1, {", ".join(steps)} FROM cd CROSS JOIN g WHERE step < 400),
+        fit AS (SELECT cd.*, ay - ({" + ".join(f"w{i} * a{i}" for i in n)}) AS b FROM cd CROSS JOIN g WHERE step = 400)"""
+
+
+def _rounded(expression: str, name: str, digits: int) -> str:
+    scale = f"CAST({10**digits} AS DOUBLE)"
+    return f"floor(({expression}) * {scale} + CAST(0.5 AS DOUBLE)) / {scale} AS {name}"
+
+
+def _sum_sql() -> str:
+    return " + ".join(["b", *[f"w{i} * x{i}" for i in range(1, 7)]])
+
+
+@query(
+    "elastic_net_predict",
+    f"""{_elastic_net_sql()} SELECT seq_id, y AS duration_min, {_rounded(_sum_sql(), "prediction", 2)} FROM f CROSS JOIN fit WHERE test""",
+)
 def elastic_net_predict(spark, sf):
+    """Predictions at two decimals: the two solvers end within 1e-6 of each other."""
     train, test = split(spark, sf)
-    return ml.predict(test, ml.fit_elastic_net(train)).select("seq_id", TARGET, "prediction")
+    predicted = ml.predict(test, ml.fit_elastic_net(train)).select("seq_id", TARGET, "prediction")
+    return predicted.withColumn("prediction", fixed_point(F.col("prediction"), 2))
 
 
 @query(
@@ -140,9 +177,16 @@ def one_split_tree(spark, sf):
     return with_fixed(sides, "prediction")
 
 
-@query("elastic_net_coefficients")
+_NAMED = [*[(name, f"w{i}") for i, name in enumerate(FEATURES, 1)], ("intercept", "b")]
+
+
+@query(
+    "elastic_net_coefficients",
+    _elastic_net_sql() + " " + " UNION ALL ".join(f"SELECT '{name}' AS feature, {_rounded(w, 'coefficient', 4)} FROM fit" for name, w in _NAMED),
+)
 def elastic_net_coefficients(spark, sf):
-    return ml.coefficients(ml.fit_elastic_net(split(spark, sf)[0]), spark)
+    fitted_here = ml.coefficients(ml.fit_elastic_net(split(spark, sf)[0]), spark)
+    return fitted_here.withColumn("coefficient", fixed_point(F.col("coefficient"), 4))
 
 
 @query(

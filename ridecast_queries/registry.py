@@ -135,7 +135,10 @@ def with_views(body: str) -> str:
     views = ", ".join(f"{name} AS ({view})" for name, view in VIEWS.items() if name in needed)
     if not views:
         return body
-    return f"WITH {views}, {body.lstrip()[5:]}" if body.lstrip().startswith("WITH ") else f"WITH {views} {body}"
+    body = body.lstrip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {body[15:]}"
+    return f"WITH {views}, {body[5:]}" if body.startswith("WITH ") else f"WITH {views} {body}"
 
 
 def fp(expression: str, name: str | None = None) -> str:

@@ -137,3 +137,23 @@ def test_hot_station_day_is_split_by_aqe(spark):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_repeated_weather_hours_are_refused(spark):
+
+
+    hours = [dt.datetime(2012, 1, 1, h) for h in (1, 2, 2)]
+    weather = spark.createDataFrame([(h, 0.1, 0) for h in hours], "DATE TIMESTAMP_NTZ, HPCP DOUBLE, has_trace INT")
+    assert joins.with_unique_hours(weather.distinct()).count() == 2
+    with pytest.raises(Exception, match="more than one reading at 2012-01-01 02"):
+        joins.with_unique_hours(weather).collect()
+
+
+def test_null_filters_reach_the_file(spark, tmp_path):
+    from ridecast.operators import profile
+
+    spark.createDataFrame([(1, 2.0), (None, 3.0)], "strt_statn INT, x DOUBLE").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for out in (projection.with_station(df), profile.group_profile(df, ["strt_statn"], "x")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [IsNotNull(strt_statn)]" in plan
