@@ -66,24 +66,23 @@ def _halves(line: Column, size: Column) -> Column:
 
 
 def _emitted(lines: DataFrame) -> DataFrame:
-    """For each deleted word of each line (first, words): `hole`, the other words in their places,
+    """For each deleted word of each line (line, words): `hole`, the other words in their places,
     and `rest`, the sequence without it; and `whole`, the sequence itself, once a line.
 
     A sequence's hash is the sum of its words' hashes with their places, in two halves of
     32 bits, so a deletion changes the sum by what running sums know."""
-    words = lines.select("first", F.size("words").alias("size"), F.posexplode("words").alias("at", "word"))
+    words = lines.select("line", F.size("words").alias("size"), F.posexplode("words").alias("at", "word"))
     here, before = F.xxhash64("word", F.col("at")), F.xxhash64("word", F.col("at") - 1)
     parts = {"h1": F.shiftrightunsigned(here, 32), "h2": here.bitwiseAND(F.lit(0xFFFFFFFF)),
              "b1": F.shiftrightunsigned(before, 32), "b2": before.bitwiseAND(F.lit(0xFFFFFFFF))}
-    words = words.select("first", "size", "at", *[c.alias(n) for n, c in parts.items()])
-    line = W.partitionBy("first")
+    words = words.select("line", "size", "at", *[c.alias(n) for n, c in parts.items()])
+    line = W.partitionBy("line")
     upto = line.orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     total = {n: F.sum(n).over(line.orderBy("at").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) for n in parts}
     after = {n: total[n] - F.sum(n).over(upto) for n in ("b1", "b2")}
     until = {n: F.sum(n).over(upto) - F.col(n) for n in ("h1", "h2")}
     return words.select(
-        "first",
-        "at",
+        "line",
         F.xxhash64(F.lit("hole"), total["h1"] - F.col("h1"), total["h2"] - F.col("h2"), "at", "size").alias("hole"),
         F.xxhash64(F.lit("seq"), until["h1"] + after["b1"], until["h2"] + after["b2"], F.col("size") - 1).alias("rest"),
         F.when(F.col("at") == 0, F.xxhash64(F.lit("seq"), total["h1"], total["h2"], "size")).alias("whole"),
@@ -112,9 +111,9 @@ def _maybe(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _earlier(rows: DataFrame, key: str, targets: DataFrame) -> DataFrame:
-    """(first, match): rows joined by key with the earliest target of the key, if it is earlier."""
-    least = targets.groupBy(F.col("key").alias("_key")).agg(F.min("first").alias("match"))
-    return rows.join(least, F.col(key) == F.col("_key")).where(F.col("match") < F.col("first")).select("first", "match")
+    """(line, match): rows joined by key with the earliest target of the key, if it is earlier."""
+    least = targets.groupBy(F.col("key").alias("_key")).agg(F.min("line").alias("match"))
+    return rows.join(least, F.col(key) == F.col("_key")).where(F.col("match") < F.col("line")).select("line", "match")
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -171,22 +170,24 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
         .dropDuplicates(["first"]),
         "candidate-lines",
     )
-    keys = written(_emitted(candidates), "line-keys")
-    wholes = keys.where("whole IS NOT NULL").select("first", F.col("whole").alias("key"))
+    # Numbers in the order of the lines stand for their places from here on.
+    ordered = written(candidates.orderBy("first").withColumn("line", F.monotonically_increasing_id()), "ordered-lines")
+    keys = written(_emitted(ordered), "line-keys")
+    wholes = keys.where("whole IS NOT NULL").select("line", F.col("whole").alias("key"))
     pairs = (
-        _earlier(keys, "hole", keys.select("first", F.col("hole").alias("key")))
+        _earlier(keys, "hole", keys.select("line", F.col("hole").alias("key")))
         .unionByName(_earlier(keys, "rest", wholes))
-        .unionByName(_earlier(wholes, "key", keys.select("first", F.col("rest").alias("key"))))
+        .unionByName(_earlier(wholes, "key", keys.select("line", F.col("rest").alias("key"))))
         .distinct()
     )
-    texts = candidates.select(F.col("first").alias("_first"), "words")
+    own = ordered.select(F.col("line").alias("_line"), "first", F.col("words").alias("own"))
+    other = ordered.select(F.col("line").alias("_other"), F.col("first").alias("match_first"), "words")
     checked = (
-        pairs.join(texts, F.col("first") == F.col("_first"))
-        .select("first", "match", F.col("words").alias("own"))
-        .join(texts, F.col("match") == F.col("_first"))
+        pairs.join(own, F.col("line") == F.col("_line"))
+        .join(other, F.col("match") == F.col("_other"))
         .where(_distance(F.col("own"), F.col("words")) <= 1)
     )
-    near = checked.groupBy(F.col("first").alias("_first")).agg(F.min("match").alias("match"))
+    near = checked.groupBy(F.col("first").alias("_first")).agg(F.min("match_first").alias("match"))
     earliest = distinct.join(near, F.col("first") == F.col("_first"), "left").select(
         *identity, "first", "last", F.coalesce("match", "first").alias("earliest"), F.col("match").isNotNull().cast("int").alias("distance")
     )
