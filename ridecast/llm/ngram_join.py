@@ -42,8 +42,8 @@ from ridecast.llm.scratch import text_chunks, written
 
 #: Sets and runs of a candidate group that one task takes whole; sets of small groups, which are
 #: dealt together, and their runs in one task on the average.
-BLOCK, BLOCK_RUNS = 2048, 4_000_000
-SMALL, RUNS_PER_TASK = 128, 1_000_000
+BLOCK, BLOCK_RUNS = 2048, 2_000_000
+SMALL, RUNS_PER_TASK = 128, 500_000
 LEAF = 8
 #: Bits of the filter that keeps most texts out of the shuffle of candidates (two megabytes).
 FILTER_BITS = 1 << 24

@@ -18,6 +18,7 @@ import ridecast
 from ridecast.session import materialise, new_shared_path
 
 _shipped: set[str] = set()
+ROWS_SETTING, ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -26,7 +27,13 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once an application, so that they need no copy of their own."""
+    """Give the Python workers this package, once an application, so that they need no copy of their own.
+
+    Rows of text are wide: unless the session has its own bound, batches between the JVM and
+    the workers get fewer rows, which bounds the memory of both.
+    """
+    if spark.conf.get(ROWS_SETTING) == "10000":  # Spark's default
+        spark.conf.set(ROWS_SETTING, ROWS_PER_BATCH)
     application = spark.sparkContext.applicationId
     if application in _shipped:
         return
@@ -57,7 +64,7 @@ def held_out_remainder(doc_id: Column, modulus: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
-def text_chunks(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow text column into runs of rows of about `most_bytes` bytes.
 
     Yields (first row, end row, bytes, offsets); a null text has no bytes. One text longer
