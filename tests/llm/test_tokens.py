@@ -47,7 +47,7 @@ def test_ids_are_the_librarys_for_any_text(text, kind):
 
 def test_ids_after_the_table_was_emptied(monkeypatch):
     monkeypatch.setattr("ridecast.llm.token_ids.KEPT", 3)
-    ours, theirs = IdEncoder(BYTE, "byte"), library(BYTE)
+    ours, theirs = IdEncoder(WORD, "word"), library(WORD)
     for text in ("one two three four five", "six seven", "one two"):
         assert ours.ids(text) == theirs(text)
 
