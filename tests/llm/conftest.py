@@ -1,7 +1,5 @@
 import pytest
 
-from ridecast.llm.scratch import text_chunks  # noqa: F401  (the package must be there)
-
 SF_SMALL = "/root/testdata/sf0.001"
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
