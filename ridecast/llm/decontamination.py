@@ -1,9 +1,10 @@
 """Training texts that hold a benchmark item, whole, edited or paraphrased.
 
-Runs of three words of an item are its seeds, but only the rarer half of them by the number
-of training texts they occur in: a seed that half of all texts have finds nothing. Where a
-text has a seed, the words around it are aligned with the item's words by Smith-Waterman
-(match 2, mismatch and gap -1), and the score is set against that of the item itself.
+Runs of three words of an item are its seeds, all of them however many training texts have
+them: an edited copy may hold only common ones. Where a text has a seed and the words around
+it hold enough of the item's words to reach the least score, they are aligned with the item's
+words by Smith-Waterman (match 2, mismatch and gap -1), and the score is set against that of
+the item itself.
 
 The benchmark is a stated query set. It meets the texts in blocks of bounded size, each
 broadcast to the tasks that read the texts, so a benchmark of any size can be used.
@@ -64,11 +65,13 @@ class Items:
         self.ids = [r[0] for r in rows]
         self.size = size
         self.words: list[np.ndarray] = []
+        self.known: list[np.ndarray] = []  # each item's distinct words, ascending
         seeds, owners, places = [], [], []
         for number, (_, text) in enumerate(rows):
             data = np.frombuffer(text.encode(), np.uint8)
             words, of, _, _ = hashing.words(data, np.array([0, len(data)]), NO_WORD, lower=False)
             self.words.append(words)
+            self.known.append(np.unique(words))
             run, _, at = hashing.runs(words, of, 1, size, short=False)
             seeds.append(run)
             owners.append(np.full(len(run), number))
@@ -78,17 +81,6 @@ class Items:
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.owners, self.places = seeds[order].astype(np.uint64), owners[order], places[order]
 
-    def keep_rare(self, counts: dict[int, int]) -> None:
-        """Leave the rarer half of each item's seeds, and all that no text has."""
-        counted = np.array([counts.get(int(s), 0) for s in self.seeds.view(np.int64)])
-        order = np.lexsort((self.seeds, counted, self.owners))
-        owner = self.owners[order]
-        first = np.searchsorted(owner, np.arange(len(self.ids) + 1))
-        rank = np.arange(len(order)) - first[owner]
-        half = (np.diff(first)[owner] + 1) // 2
-        keep = np.sort(order[(rank < half) | (counted[order] == 0)])
-        self.seeds, self.owners, self.places = self.seeds[keep], self.owners[keep], self.places[keep]
-
     def hits(self, runs: np.ndarray) -> np.ndarray:
         """Which runs are seeds."""
         if not len(self.seeds) or not len(runs):
@@ -96,6 +88,12 @@ class Items:
         at = np.minimum(np.searchsorted(self.seeds, runs), len(self.seeds) - 1)
         return np.flatnonzero(self.seeds[at] == runs)
 
+    def _may_reach(self, owner: int, words: np.ndarray) -> bool:
+        """Whether words hold enough of an item's words for an accepted score; false only if no alignment can have it."""
+        known, size = self.known[owner], len(self.words[owner])
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        return accepted(MATCH * min(size, np.count_nonzero(known[at] == words)), size)
+
     def search(self, runs: np.ndarray, places: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
         """(item id, score, first word, words) of one text: the best place of each item in it.
 
@@ -109,7 +107,7 @@ class Items:
         for owner, found in sorted(near.items()):
             item, best = self.words[owner], (0, 0, 0)
             size = len(item)
-            slack = size // 2 + self.size
+            slack = size  # an accepted alignment leaves out at most as many words of the text as the item has
             windows: list[list[int]] = []
             for place, at in sorted(found):
                 low, high = max(0, place - at - slack), min(len(words), place - at + size + slack)
@@ -118,6 +116,8 @@ class Items:
                 else:
                     windows.append([low, high])
             for low, high in windows:
+                if not self._may_reach(owner, words[low:high]):
+                    continue
                 score, item_end, end = align(item, words[low:high])
                 if score > best[0] and accepted(score, size):
                     # The same alignment backwards from its end gives its first word.
@@ -155,24 +155,8 @@ def find(
 def _find_block(texts: DataFrame, items: Items, spark) -> DataFrame:
     held = spark.sparkContext.broadcast(items)  # one block of the benchmark
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = held.value
-        for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(0)):
-                words, text, _, _ = hashing.words(data, offsets, NO_WORD, lower=False)
-                runs, of, _ = hashing.runs(words, text, end - first, items.size, short=False)
-                hit = items.hits(runs)
-                if len(hit):
-                    pairs = np.unique(np.rec.fromarrays([of[hit], runs[hit]]))
-                    seeds, n = np.unique(pairs["f1"], return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"seed": seeds.view(np.int64), "n": n})
-
-    counted = texts.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    items.keep_rare({r["seed"]: r["n"] for r in counted.collect()})  # at most one row for each seed of the block
-    rare = spark.sparkContext.broadcast(items)
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = rare.value
+        items = held.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out: list[tuple] = []
@@ -181,8 +165,8 @@ def _find_block(texts: DataFrame, items: Items, spark) -> DataFrame:
                 runs, of, at = hashing.runs(words, text, end - first, items.size, short=False)
                 hit = items.hits(runs)
                 begin = np.searchsorted(text, np.arange(end - first + 1))
-                for number in np.unique(of[hit]):
-                    mine = hit[of[hit] == number]
+                numbers, starts = np.unique(of[hit], return_index=True)  # hits ascend by text
+                for number, mine in zip(numbers, np.split(hit, starts[1:]), strict=False):
                     own = words[begin[number] : begin[number + 1]]
                     out += [(ids[first + number], *x) for x in items.search(runs[mine], at[mine] - begin[number], own)]
             if out:

@@ -76,3 +76,39 @@ def test_query_finds_every_whole_item(spark):
     whole = {(d["doc_id"], b["item_id"]) for d in texts for b in held if b["text"] in (d["text"] or "")}
     found = {(r["doc_id"], r["item_id"]) for r in QUERIES["op9_decontamination"](spark, SF_SMALL).collect()}
     assert whole and whole <= found
+
+
+def edits(lengths=(15, 18, 37, 59)):
+    """Items of their own words each, and the same with every 4th, 5th or 6th word changed, from every offset."""
+    for number, (size, every, offset) in enumerate((n, k, o) for n in lengths for k in (4, 5, 6) for o in range(k)):
+        words = [f"i{number}w{j}" for j in range(size)]
+        edited = [f"changed{j}" if j % every == offset else w for j, w in enumerate(words)]
+        score = plain_align(words, edited)
+        assert score >= max(16, size)  # by the rule of `accepted` all of them are held
+        yield number, " ".join(words), " ".join(edited), score / (2 * size)
+
+
+def test_evenly_edited_copies_are_found_alone_and_beside_exact_copies(spark, documents):
+    cases = list(edits())
+    benchmark = items(spark, [(n, whole) for n, whole, _, _ in cases])
+    alone = [(n, f"{FILLER} {edited} {FILLER}") for n, _, edited, _ in cases]
+    beside = [(1000 + n, whole) for n, whole, _, _ in cases]
+    expected = {(n, n, score) for n, _, _, score in cases}
+    assert {tuple(r)[:3] for r in decontamination.find(documents(alone), benchmark).collect()} == expected
+    expected |= {(1000 + n, n, 1.0) for n, _, _, _ in cases}
+    assert {tuple(r)[:3] for r in decontamination.find(documents(alone + beside), benchmark).collect()} == expected
+
+
+def test_thousands_of_equal_edited_copies_are_found(spark, documents):
+    number, whole, edited, score = next(edits((18,)))
+    rows = [(i, f"{edited} own{i}") for i in range(4000)] + [(5000 + i, f"{FILLER} only{i}") for i in range(500)]
+    got = decontamination.find(documents(rows), items(spark, [(number, whole)])).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(4000)) and {r["score"] for r in got} == {score}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=3, max_size=20), st.lists(st.integers(0, 9), max_size=60))
+def test_words_that_can_reach_the_score_are_aligned(item, text):
+    held = decontamination.Items([(1, " ".join(f"w{x}" for x in item)), (2, " ".join(f"w{x}" for x in text))])
+    if decontamination.accepted(plain_align(item, text), len(item)):
+        assert held._may_reach(0, held.words[1])
