@@ -190,3 +190,18 @@ def test_token_files_odd_rows(documents, tmp_path):
     assert [r[1] for r in rows] == list(np.cumsum([0, 2, 1, 4001, 1, 2]))
     empty = token_files.write_files(documents(texts).where("false"), str(tmp_path / "none"), WORD, 49_408)
     assert token_files.read_files(empty).collect() == []
+
+
+LONG_BLANKS = ["x " + " " * 2_000_000 + " y", "x " + "\n" * 2_000_000 + " y", "\t \n" * 400_000, (" " * 99_999 + "x") * 12]
+
+
+@pytest.mark.parametrize("kind", ["byte", "word"])
+def test_ids_of_long_white_space(kind):
+    ours, theirs = ENCODERS[kind]
+    for text in LONG_BLANKS:
+        assert ours.ids(text) == theirs(text)
+
+
+def test_packing_long_white_space(documents):
+    texts = list(enumerate([*LONG_BLANKS, "a b"]))
+    check_pieces(packing.pack(documents(texts), BYTE).collect(), texts)
