@@ -3,9 +3,13 @@
 A text is the mean of the embeddings of its subwords: runs of two to four bytes of a word,
 its edges marked, hashed to a fixed number of rows. Embeddings and softmax are trained by
 stochastic gradient descent in numpy on a bounded sample of labelled rows; part of the
-sample is kept back to calibrate the temperature of the probabilities and the bound below
-which a text is rejected. Scoring reads whole texts, and one small table (row by language,
-the product of embeddings and softmax weights) goes to the tasks.
+sample is kept back to calibrate the temperature of the probabilities and the bounds below
+which a text is rejected: of its probability, and of its familiarity, the mean logarithm of its
+subwords' shares in the learned texts of its language. A softmax can be sure of a text of no
+learned language, so the second bound is set between the kept-back texts in their own
+language and the same texts in the best other one. Scoring reads whole texts, and two small
+tables (row by language: the product of embeddings and softmax weights, the logarithms of
+the shares) go to the tasks.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ from ridecast.llm.scratch import text_chunks
 ROWS_BITS, DIMENSIONS = 16, 16
 SAMPLE_PER_LANGUAGE = 400
 UNKNOWN = "und"
+#: Share of right calibration answers that may be below a bound; of out-of-language ones that may be above.
+LOW, HIGH = 0.005, 0.05
+#: Added to every subword's share: that of one not learned.
+UNSEEN = 1e-7
 
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
 
@@ -83,12 +91,16 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.0  # a text with a lower probability is rejected
+    familiar: np.ndarray | None = None  # hashed row by language: logarithm of its share
+    least_familiar: float = -np.inf  # a text with a lower mean of them is rejected
     bits: int = ROWS_BITS
     report: dict = field(default_factory=dict)
 
-    def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        total, count = _sums(self.table, data, offsets, self.bits)
-        return total / np.maximum(count, 1)[:, None] + self.bias
+    def logits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text its logits and its familiarity, by language."""
+        total, count = _sums(np.hstack([self.table, self.familiar]), data, offsets, self.bits)
+        means = total / np.maximum(count, 1)[:, None]
+        return means[:, : len(self.languages)] + self.bias, means[:, len(self.languages) :]
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -136,9 +148,25 @@ def fit_arrays(
     model.temperature = float(min(losses, key=losses.get))
     chances = _softmax(logits / model.temperature)
     right = chances.argmax(1) == truth
-    # Half the lowest probability of a right answer: what is surer than that stays.
-    model.least = float(min(0.5, chances.max(1)[right].min() / 2)) if right.any() else 0.0
-    model.report = {"checked": len(check), "right": float(right.mean()), "loss": float(losses[model.temperature])}
+    model.least = float(min(0.5, np.quantile(chances.max(1)[right], LOW) / 2)) if right.any() else 0.0
+    shares = np.zeros((1 << bits, len(languages)))
+    for i in train:
+        shares[rows[i], labels[i]] += counts[i] / counts[i].sum()
+    shares /= np.maximum(shares.sum(0), 1e-12)
+    model.familiar = np.log(shares + UNSEEN).astype(np.float32)
+    known = np.stack([(model.familiar[rows[i]] * (counts[i] / counts[i].sum())[:, None]).sum(0) for i in check])
+    own = known[np.arange(len(check)), truth]
+    others = known.copy()
+    others[np.arange(len(check)), truth] = np.log(UNSEEN)  # alone if there is one language
+    inside = float(np.quantile(own[right], LOW)) if right.any() else -np.inf
+    outside = float(np.quantile(others.max(1), 1 - HIGH))
+    # Half way between the two, and never above what right answers have.
+    model.least_familiar = min(inside, (inside + outside) / 2)
+    model.report = {
+        "checked": len(check), "right": float(right.mean()), "loss": float(losses[model.temperature]), "least": model.least,
+        "least_familiar": model.least_familiar, "own_rejected": float((own < model.least_familiar).mean()),
+        "other_rejected": float((others.max(1) < model.least_familiar).mean()),
+    }
     return model
 
 
@@ -205,7 +233,7 @@ def predict(
 
     A null text, or one without a letter, is "und" with score 0 and rejected, as is every row
     if there is no model. Any other text gets a learned language; it is rejected if its
-    calibrated probability is below the model's bound. Columns of `docs` that have a
+    calibrated probability or its familiarity is below the model's bound. Columns of `docs` that have a
     result's name are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x hashed rows, fixed size
@@ -216,16 +244,18 @@ def predict(
             column = batch.column(batch.num_columns - 1)
             plain = batch.select(list(range(batch.num_columns - 1)))
             known = np.asarray(column.is_valid())
-            names, chances = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            names, chances, strange = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
             if model is not None and known.any():
                 for first, end, data, offsets in text_chunks(column):
-                    p = _softmax(model.logits(data, offsets) / model.temperature)
+                    logits, familiar = model.logits(data, offsets)
+                    p = _softmax(logits / model.temperature)
                     best = p.argmax(1)
+                    strange[first:end] = familiar[np.arange(len(best)), best] < model.least_familiar
                     for i in np.flatnonzero(known[first:end]):
                         names[first + i] = model.languages[best[i]]
                         chances[first + i] = p[i, best[i]]
             least = model.least if model is not None else 0.0
-            rejected = [name == UNKNOWN or c < least for name, c in zip(names, chances, strict=True)]
+            rejected = [name == UNKNOWN or c < least or bool(s) for name, c, s in zip(names, chances, strange, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*plain.columns, pa.array(names), pa.array(chances), pa.array(rejected)],
                 [*plain.schema.names, lang_column, score_column, rejected_column],

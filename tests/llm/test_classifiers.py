@@ -47,6 +47,24 @@ def test_language_odd_rows(documents):
     assert language.predict(documents(odd).where("false"), model).collect() == []
 
 
+@pytest.mark.parametrize("unlearned", [[], ["de"], ["en"], ["es"], ["fr"], ["de", "es", "fr"]])
+def test_unlearned_languages_and_gibberish_are_rejected(spark, unlearned):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(r"length(text) >= 100")
+    held_out = held_out_remainder(F.col("doc_id"), 5) == 0
+    model = language.fit(docs.where(~F.col("lang").isin(unlearned)) if unlearned else docs, ~held_out)
+    clean = [r for r in language.predict(docs.where(held_out), model).collect() if r["lang"]]
+    learned = [r["rejected"] for r in clean if r["lang"] not in unlearned]
+    others = [r["rejected"] for r in clean if r["lang"] in unlearned]
+    assert len(learned) > 30 and np.mean(learned) <= 0.02
+    if len(model.languages) > 1:
+        assert not others or np.mean(others) >= 0.9
+    random = np.random.default_rng(3)
+    noise = ["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz  "), 300)) for _ in range(50)] + ["日本語の文章です", "это предложение на русском языке"]
+    strange = spark.createDataFrame([(i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    assert all(r["rejected"] for r in language.predict(strange, model).collect())
+    assert model.report["own_rejected"] <= 0.02
+
+
 def test_subwords_of_a_text_do_not_depend_on_its_neighbours():
     texts = ["ab cd", "", "éa", "x", "ab cd"]
     counts = {}
