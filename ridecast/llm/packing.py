@@ -82,18 +82,20 @@ def pack(
     id_column: str = "doc_id",
     text_column: str = "text",
     with_ids: bool = False,
+    special_as_text: bool = False,
 ) -> DataFrame:
     """One row per piece: its document, place and checksum, and its ids if `with_ids`.
 
     A document is the ids of its whole text and `end_id`; a null or empty text is `end_id`
     alone. Rows with equal or null ids are packed like any other; an empty table gives no
-    rows; other columns are ignored, whatever their names. A retried task gives the same
+    rows; other columns are ignored, whatever their names. A special token's string is that
+    token, or ordinary text if `special_as_text`. A retried task gives the same
     pieces, since its order is that of the rows it reads.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, kind).ids
+        encode = encoder(vocabulary, kind, special_as_text).ids
         packer = BestFit(length, most_open)
         base = TaskContext.get().partitionId() << TASK_BITS
         for batch in batches:

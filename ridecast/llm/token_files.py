@@ -169,12 +169,14 @@ def write_files(
     end_id: int = 1,
     id_column: str = "doc_id",
     text_column: str = "text",
+    special_as_text: bool = False,
 ) -> DataFrame:
     """Encode every whole text, append `end_id`, and write files in ascending id order.
 
     Returns the index, a written table: part, file, docs, ids, base (ids of all earlier
     files). A null or empty text is `end_id` alone; a null id comes first; equal ids are
-    ordered by text. An empty table makes no file and an empty index.
+    ordered by text. An empty table makes no file and an empty index. A special token's string
+    is that token, or ordinary text if `special_as_text`.
     `folder` is a place all executors reach: a path, or an address that pyarrow opens.
     """
     bits = width(vocabulary_size)
@@ -182,7 +184,7 @@ def write_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, name, part = None, "", TaskContext.get().partitionId()
-        encode = encoder(vocabulary, kind).ids
+        encode = encoder(vocabulary, kind, special_as_text).ids
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 rows = batch.slice(first, 512)

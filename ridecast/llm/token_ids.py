@@ -11,7 +11,8 @@ take a shorter way to them:
   a table of words. Its pattern fails on white space of about a million characters, so a text
   with a long run of it does not go this way.
 
-Any other text goes to the tokenizers library whole.
+Any other text goes to the tokenizers library whole, and so does one that holds the string of
+an added token, unless such strings are to be ordinary text.
 """
 
 from __future__ import annotations
@@ -84,11 +85,15 @@ def _byte_ranks(path: str) -> dict[bytes, int]:
 
 class IdEncoder:
     """Texts to ids. `kind` is "byte" (byte-level words, nothing dropped) or "word" (lower
-    case, white space dropped). Strings of special tokens in a text are ordinary text."""
+    case, white space dropped). Strings of special tokens in a text are ordinary text, or those
+    tokens if `special_as_text` is false, as in the library's plain call."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.path, self.known = path, None
+        self.path, self.known, self.special_as_text = path, None, special_as_text
+        with open(path, encoding="utf-8") as file:
+            added = [token["content"] for token in json.load(file)["added_tokens"]]
+        self.added = [] if special_as_text else added
         self._whole: Tokenizer | None = None
         if kind == "byte":
             self.ranked = tiktoken.Encoding("bytes", pat_str=PATTERNS["byte"], mergeable_ranks=_byte_ranks(path), special_tokens={})
@@ -96,6 +101,7 @@ class IdEncoder:
         else:
             # The same model for one word: no normalising, no splitting, only bytes to characters.
             word = self._load()
+            word.encode_special_tokens = True
             word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             word.normalizer = normalizers.Sequence([])
             self.known = _Known(re.compile(PATTERNS["word"]).findall, word.encode)
@@ -103,7 +109,7 @@ class IdEncoder:
 
     def _load(self) -> Tokenizer:
         tokenizer = Tokenizer.from_file(self.path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = self.special_as_text
         return tokenizer
 
     @property
@@ -129,16 +135,16 @@ class IdEncoder:
         """The ids as little-endian unsigned 32-bit numbers; none for a null or empty text."""
         if not text:
             return b""
-        if _NOT_PLAIN.search(text):
+        if _NOT_PLAIN.search(text) or any(a in text for a in self.added):
             return self._whole_ids(text)
         return self.plain_ids(text)
 
 
-_encoders: dict[tuple[str, str], IdEncoder] = {}
+_encoders: dict[tuple[str, str, bool], IdEncoder] = {}
 
 
-def encoder(path: str, kind: str) -> IdEncoder:
+def encoder(path: str, kind: str, special_as_text: bool = False) -> IdEncoder:
     """The Python worker's encoder for a vocabulary file."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = IdEncoder(path, kind)
-    return _encoders[path, kind]
+    if (path, kind, special_as_text) not in _encoders:
+        _encoders[path, kind, special_as_text] = IdEncoder(path, kind, special_as_text)
+    return _encoders[path, kind, special_as_text]

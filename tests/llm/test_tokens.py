@@ -205,3 +205,32 @@ def test_ids_of_long_white_space(kind):
 def test_packing_long_white_space(documents):
     texts = list(enumerate([*LONG_BLANKS, "a b"]))
     check_pieces(packing.pack(documents(texts), BYTE).collect(), texts)
+
+
+SPECIAL = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|> <| endoftext|>", "日本 <|endoftext|>", "plain", " " * 200_000 + "<|endoftext|>"]
+
+
+def plain_call(path):
+    t = Tokenizer.from_file(path)
+    return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize(("path", "kind"), [(BYTE, "byte"), (WORD, "word")])
+def test_special_tokens_are_those_of_the_plain_call(path, kind):
+    ours, theirs = IdEncoder(path, kind, special_as_text=False), plain_call(path)
+    for text in [*SPECIAL, *ODD]:
+        assert ours.ids(text) == theirs(text), text[:40]
+
+
+def test_operators_keep_special_tokens_unless_told(documents, tmp_path):
+    texts, end = list(enumerate(SPECIAL)), np.array([0], "<u4").tobytes()
+    for as_text, ids in ((False, plain_call(BYTE)), (True, library(BYTE))):
+        got = defaultdict(bytes)
+        for r in sorted(packing.pack(documents(texts), BYTE, with_ids=True, special_as_text=as_text).collect(), key=lambda r: (r["doc_id"], r["piece"])):
+            got[r["doc_id"]] += r["ids"]
+        assert got == {i: ids(t) + end for i, t in texts}
+    assert packing.pack(documents(texts[:1]), BYTE, with_ids=True).first()["ids"] == np.array([64, 220, 50256, 275, 0], "<u4").tobytes()
+    for name, options, ids in (("a", {}, plain_call(WORD)), ("b", {"special_as_text": True}, library(WORD))):
+        index = token_files.write_files(documents(texts), str(tmp_path / name), WORD, 49_408, **options)
+        rows = sorted(map(tuple, token_files.read_files(index).collect()))
+        assert [r[3] for r in rows] == [zlib.crc32(ids(t) + np.array([1], "<u4").tobytes()) for _, t in texts]
