@@ -30,6 +30,8 @@ LEAST_SCORE, LEAST_WORDS = 0.5, 8
 BLOCK_BYTES = 8 << 20
 
 MATCH, MISS, GAP = 2, -1, -1
+#: A score's place in the table's numbers, above the number of matching words.
+UNIT = 1 << 32
 
 NO_WORD = hashing.NO_LETTER.copy()
 NO_WORD[48:58] = False
@@ -39,23 +41,31 @@ SCHEMA = "doc_id long, item_id long, score double, first_word long, words long"
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment of two sequences of hashes: (score, end in item, end in words)."""
+    score, _, item_end, end = align_most(item, words)
+    return score, item_end, end
+
+
+def align_most(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int, int]:
+    """(score, matching words, end in item, end in words) of the best local alignment with the most matching words."""
     best = (0, 0, 0)
-    slope = -GAP * np.arange(len(words) + 1)
+    slope = -GAP * UNIT * np.arange(len(words) + 1)
     row = np.zeros(len(words) + 1, np.int64)
     for i, word in enumerate(item):
         step = np.zeros_like(row)
-        step[1:] = np.maximum(row[:-1] + np.where(words == word, MATCH, MISS), row[1:] + GAP)
+        step[1:] = np.maximum(row[:-1] + np.where(words == word, MATCH * UNIT + 1, MISS * UNIT), row[1:] + GAP * UNIT)
         np.maximum(step, 0, out=step)
         # A gap in the item: the best of all places to the left, less one for each word passed.
         row = np.maximum.accumulate(step + slope) - slope
         top = int(row.argmax())
         if row[top] > best[0]:
             best = (int(row[top]), i + 1, top)
-    return best
+    return *divmod(best[0], UNIT), *best[1:]
 
 
-def accepted(score: int, size: int, least_score: float = LEAST_SCORE, least_words: int = LEAST_WORDS) -> bool:
-    return score >= max(MATCH * min(size, least_words), least_score * MATCH * size)
+def accepted(score: int, size: int, matching: int | None = None, least_score: float = LEAST_SCORE, least_words: int = LEAST_WORDS) -> bool:
+    """Whether an alignment counts; without its number of `matching` words, the least that its score needs."""
+    matching = -(-score // MATCH) if matching is None else matching
+    return matching >= min(size, least_words) and score >= least_score * MATCH * size
 
 
 class Items:
@@ -92,7 +102,8 @@ class Items:
         """Whether words hold enough of an item's words for an accepted score; false only if no alignment can have it."""
         known, size = self.known[owner], len(self.words[owner])
         at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-        return accepted(MATCH * min(size, np.count_nonzero(known[at] == words)), size)
+        most = min(size, int(np.count_nonzero(known[at] == words)))
+        return accepted(MATCH * most, size, most)
 
     def search(self, runs: np.ndarray, places: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
         """(item id, score, first word, words) of one text: the best place of each item in it.
@@ -118,8 +129,8 @@ class Items:
             for low, high in windows:
                 if not self._may_reach(owner, words[low:high]):
                     continue
-                score, item_end, end = align(item, words[low:high])
-                if score > best[0] and accepted(score, size):
+                score, matching, item_end, end = align_most(item, words[low:high])
+                if score > best[0] and accepted(score, size, matching):
                     # The same alignment backwards from its end gives its first word.
                     _, _, back = align(item[:item_end][::-1], words[low : low + end][::-1])
                     best = (score, low + end - back, back)
@@ -135,7 +146,8 @@ def find(
 
     `score` is the share of the item's own alignment score, `first_word` and `words` the place
     in the text counted in words (letters and digits, any case). Null or empty texts hold
-    nothing; an item without three words is in no text; a repeated text or item gives its
+    nothing; an item without three words is in no text, as such words are in texts that do not
+    stem from it; an item with a null id is searched like any other; a repeated text or item gives its
     rows again. Every word of every text is read; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -147,7 +159,8 @@ def find(
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     found = []
     for block in range(blocks):
-        rows = sorted((r["item_id"], r["text"]) for r in items.where(F.col("block") == block).collect())
+        rows = [(r["item_id"], r["text"]) for r in items.where(F.col("block") == block).collect()]
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))  # a null id first
         found.append(_find_block(texts, Items(rows), spark))
     return reduce(DataFrame.unionByName, found)
 

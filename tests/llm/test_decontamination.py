@@ -112,3 +112,19 @@ def test_words_that_can_reach_the_score_are_aligned(item, text):
     held = decontamination.Items([(1, " ".join(f"w{x}" for x in item)), (2, " ".join(f"w{x}" for x in text))])
     if decontamination.accepted(plain_align(item, text), len(item)):
         assert held._may_reach(0, held.words[1])
+
+
+def test_short_items_with_a_changed_or_an_added_word(spark, documents):
+    nine, eight = [f"n{i}" for i in range(9)], [f"e{i}" for i in range(8)]
+    benchmark = items(spark, [(9, " ".join(nine)), (8, " ".join(eight))])
+    changed = [(i, f"{FILLER} {' '.join([*nine[:i], 'changed', *nine[i + 1 :]])} {FILLER}") for i in range(9)]
+    added = [(10 + i, f"{FILLER} {' '.join([*eight[:i], 'added', *eight[i:]])} {FILLER}") for i in range(1, 8)]
+    others = [(30, " ".join(eight[:7])), (31, " ".join(nine[:7]) + " x y")]
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find(documents(changed + added + others), benchmark).collect()}
+    assert found == {(i, 9) for i in range(9)} | {(10 + i, 8) for i in range(1, 8)}
+
+
+def test_items_with_null_ids(spark, documents):
+    benchmark = items(spark, [(None, ITEM), (None, "one more item without any number at all here"), (1, ITEM), (2, "x y z")])
+    rows = [(1, ITEM), (2, FILLER)]
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find(documents(rows), benchmark).collect()} == {(1, None), (1, 1)}
