@@ -13,21 +13,39 @@ from pyspark.sql import functions as F
 
 from ridecast.llm.scratch import written
 
+#: A key with more than one of so many rows is hot; there are fewer than so many hot keys.
+HOT = 1000
 
-def _large_star(links: DataFrame) -> DataFrame:
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, other: str, count: str) -> DataFrame:
+    """Inner join of `rows` with a written table of unique keys, `other`, and their numbers of rows, `count`.
+
+    The fewer than `HOT` keys that have more than that share of the rows each are broadcast, so
+    the rows of a hot key stay where they are; the others meet their key by a shuffle.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT > total
+    on = F.col(key) == F.col(other)
+    few = F.broadcast(keyed.where(hot))
+    rest = rows.join(few.select(other), on, "left_anti").join(keyed.where(~hot), on)
+    return rows.join(few, on).unionByName(rest)
+
+
+def _large_star(links: DataFrame, name: str) -> DataFrame:
     """Join every larger neighbour of a node to the node's smallest neighbour (or itself)."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("_node")).agg(F.least(F.min("b"), F.first("a")).alias("_least"))
-    return (
-        both.where("b > a").join(least, F.col("a") == F.col("_node")).select(F.col("b").alias("a"), F.col("_least").alias("b"))
-    )
+    larger = F.count(F.when(F.col("b") > F.col("a"), 1)).alias("_rows")
+    least = both.groupBy(F.col("a").alias("_node")).agg(F.least(F.min("b"), F.first("a")).alias("_least"), larger)
+    least = written(least.where("_rows > 0"), f"{name}-least")
+    return join_counted(both.where("b > a"), least, "a", "_node", "_rows").select(F.col("b").alias("a"), F.col("_least").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, name: str) -> DataFrame:
     """Join a node and its smaller neighbours to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-    least = down.groupBy(F.col("a").alias("_node")).agg(F.min("b").alias("_least"))
-    joined = down.join(least, F.col("a") == F.col("_node"))
+    least = down.groupBy(F.col("a").alias("_node")).agg(F.min("b").alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    least = written(least, f"{name}-smallest")
+    joined = join_counted(down, least, "a", "_node", "_rows")
     moved = joined.where("b > _least").select(F.col("b").alias("a"), F.col("_least").alias("b"))
     return moved.unionByName(least.select(F.col("_node").alias("a"), F.col("_least").alias("b")))
 
@@ -37,7 +55,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     now = written(links.select("a", "b").where("a <> b").distinct(), f"{name}-links")
     summary = None
     while True:
-        now = written(_small_star(_large_star(now)).distinct(), f"{name}-star")
+        now = written(_small_star(written(_large_star(now, name), f"{name}-large"), name).distinct(), f"{name}-star")
         # All stars: each node has one link, and no link leads to a node that has one itself.
         row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == summary:

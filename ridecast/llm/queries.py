@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridecast.llm import decontamination, graph_search, language, line_dedup, ngram_join, packing, quality, sharding, token_files, toxicity
+from ridecast.llm import (
+    decontamination, graph_search, language, line_dedup, ngram_join, packing, periodic, quality, resampling, sharding, simhash, token_files, toxicity,
+)
 from ridecast.llm.scratch import held_out_remainder, read_table, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +107,34 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ngram_join")
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(read_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+@query("op11_simhash")
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = simhash.near_copies(read_table(spark, sf_dir, "documents"), words=3, distance=2)
+    return placed.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query("op12_resampling")
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    drawn = resampling.resample(docs, benchmark, resampling.Draw(least_words=20, percent=10, seed=2024), run=1, buckets=10_000)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_runs(read_table(spark, sf_dir, "documents"))
+    found = periodic.find_runs(docs, times=4, least=6)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    start, length, period = (F.col(f"greatest.{x}") for x in ("start", "length", "period"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )

@@ -11,7 +11,7 @@ from .test_tokens import check_pieces
 
 def test_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_deduplication", "near_duplicates", "benchmark_decontamination", "best_fit_packing"]
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert public_tokenizers.path("byte_bpe_50k.json")
 
 
