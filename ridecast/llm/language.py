@@ -4,10 +4,10 @@ A text is the mean of the embeddings of its subwords: runs of two to four bytes
 its edges marked, hashed to a fixed number of rows. Embeddings and softmax are trained by
 stochastic gradient descent in numpy on a bounded sample of labelled rows; part of the
 sample is kept back to calibrate the temperature of the probabilities and the bounds below
-which a text is rejected: of its probability, and of its familiarity, the mean logarithm of its
-subwords' shares in the learned texts of its language. A softmax can be sure of a text of no
+which a text is rejected: of its probability, and of its familiarity, the largest over the languages
+of the mean logarithm of its subwords' shares in their learned texts. A softmax can be sure of a text of no
 learned language, so the second bound is set between the kept-back texts in their own
-language and the same texts in the best other one. Scoring reads whole texts, and two small
+language and the same texts in the best other one, and lies lower for texts of few subwords. Scoring reads whole texts, and two small
 tables (row by language: the product of embeddings and softmax weights, the logarithms of
 the shares) go to the tasks.
 """
@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -71,6 +72,10 @@ def subwords(data: np.ndarray, offsets: np.ndarray, bits: int = ROWS_BITS) -> It
         yield (value >> np.uint32(32 - bits)).astype(np.int32), place
 
 
+#: How far a short text's mean may lie below the bound: deviations of its mean, and the subwords a byte is in.
+DEVIATIONS, OVERLAP = 3.0, 3
+
+
 def _sums(table: np.ndarray, data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """For each text the sum of its subwords' table rows, and their number."""
     n = len(offsets) - 1
@@ -92,15 +97,21 @@ class LanguageModel:
     temperature: float = 1.0
     least: float = 0.0  # a text with a lower probability is rejected
     familiar: np.ndarray | None = None  # hashed row by language: logarithm of its share
-    least_familiar: float = -np.inf  # a text with a lower mean of them is rejected
+    least_familiar: float = -np.inf  # a long text with a lower mean of them in each language is rejected
+    spread: float = 0.0  # deviation of the logarithms of one text's subwords
     bits: int = ROWS_BITS
     report: dict = field(default_factory=dict)
 
-    def logits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text its logits and its familiarity, by language."""
+    def logits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text its logits and its familiarity, by language, and its number of subwords."""
         total, count = _sums(np.hstack([self.table, self.familiar]), data, offsets, self.bits)
         means = total / np.maximum(count, 1)[:, None]
-        return means[:, : len(self.languages)] + self.bias, means[:, len(self.languages) :]
+        return means[:, : len(self.languages)] + self.bias, means[:, len(self.languages) :], count
+
+    def strange(self, familiar: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Whether texts are familiar in no learned language; the mean of few subwords may be lower by chance."""
+        chance = DEVIATIONS * self.spread * np.sqrt(OVERLAP / np.maximum(count, 1))
+        return familiar.max(1) < self.least_familiar - chance
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -162,10 +173,13 @@ def fit_arrays(
     outside = float(np.quantile(others.max(1), 1 - HIGH))
     # Half way between the two, and never above what right answers have.
     model.least_familiar = min(inside, (inside + outside) / 2)
+    squares = [(model.familiar[rows[i], labels[i]].astype(float) ** 2 * (counts[i] / counts[i].sum())).sum() for i in check]
+    model.spread = float(np.sqrt(np.maximum(np.array(squares) - own**2, 0)).mean())
+    sizes = np.array([counts[i].sum() for i in check])
     model.report = {
         "checked": len(check), "right": float(right.mean()), "loss": float(losses[model.temperature]), "least": model.least,
-        "least_familiar": model.least_familiar, "own_rejected": float((own < model.least_familiar).mean()),
-        "other_rejected": float((others.max(1) < model.least_familiar).mean()),
+        "least_familiar": model.least_familiar, "own_rejected": float(model.strange(known, sizes).mean()),
+        "other_rejected": float(model.strange(others, sizes).mean()),
     }
     return model
 
@@ -192,7 +206,7 @@ def fit(
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column(0).to_pylist()
-            for first, end, data, offsets in text_chunks(batch.column(1)):
+            for first, end, data, offsets in text_chunks(pc.utf8_lower(batch.column(1))):
                 pieces: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] for _ in range(end - first)]
                 for hashed, place in subwords(data, offsets, bits):
                     edges = np.searchsorted(place, offsets)
@@ -209,7 +223,7 @@ def fit(
 
     sample = (
         labelled.where(draw < F.element_at(shares, label))
-        .select(label.alias("label"), F.lower(text).alias("text"))
+        .select(label.alias("label"), text.alias("text"))
         .mapInArrow(features, "label string, rows array<int>, counts array<int>")
         .toArrow()
     )
@@ -231,8 +245,8 @@ def predict(
 ) -> DataFrame:
     """All rows and columns of `docs`, with the language, its probability and whether it is rejected.
 
-    A null text, or one without a letter, is "und" with score 0 and rejected, as is every row
-    if there is no model. Any other text gets a learned language; it is rejected if its
+    A null text, or one without a letter, is "und" with score 0 and rejected. Without a model, every
+    text is "und" with score 0 and rejected. Any other text gets a learned language; it is rejected if its
     calibrated probability or its familiarity is below the model's bound. Columns of `docs` that have a
     result's name are replaced.
     """
@@ -241,16 +255,17 @@ def predict(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
+            lettered = batch.column(batch.num_columns - 1)
             plain = batch.select(list(range(batch.num_columns - 1)))
-            known = np.asarray(column.is_valid())
+            known = np.asarray(lettered.fill_null(False))
+            column = pc.if_else(lettered, pc.utf8_lower(plain.column(place)), None)
             names, chances, strange = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
             if model is not None and known.any():
                 for first, end, data, offsets in text_chunks(column):
-                    logits, familiar = model.logits(data, offsets)
+                    logits, familiar, count = model.logits(data, offsets)
                     p = _softmax(logits / model.temperature)
                     best = p.argmax(1)
-                    strange[first:end] = familiar[np.arange(len(best)), best] < model.least_familiar
+                    strange[first:end] = model.strange(familiar, count)
                     for i in np.flatnonzero(known[first:end]):
                         names[first + i] = model.languages[best[i]]
                         chances[first + i] = p[i, best[i]]
@@ -263,8 +278,8 @@ def predict(
 
     new = [lang_column, score_column, rejected_column]
     kept = docs.drop(*new)
-    text = F.when(F.col(text_column).rlike(r"\p{L}"), F.lower(F.col(text_column)))
-    source = kept.withColumn("_lower_case_text", text)
+    place = kept.columns.index(text_column)
+    source = kept.select("*", F.col(text_column).rlike(r"\p{L}"))
     schema = StructType(list(kept.schema.fields))
     for name, kind in zip(new, ("string", "double", "boolean"), strict=True):
         schema = schema.add(name, kind)

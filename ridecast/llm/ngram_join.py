@@ -6,7 +6,8 @@ intersection is at least num / den of the size of their union.
 1. Equal sets are one class, represented by its smallest document.
 2. Candidates. Linked sets of sizes a and b differ in at most (a + b)(den - num)/(den + num)
    runs. Hash the runs into more groups than that, and at least one group that is not empty is
-   the same in both. Each set emits a key for each of its groups, in the group counts of
+   the same in both. (A set with more empty groups than the number of groups allows for emits those as well.)
+   Each set emits a key for each of its groups, in the group counts of
    its own band of sizes and of the band below; sets with an equal key are joined into
    candidate groups (components of the keys). This loses no link at any data.
 3. In a candidate group runs are hashed into a power of two of groups, and each set becomes
@@ -16,7 +17,12 @@ intersection is at least num / den of the size of their union.
    the bound is verified on the sets themselves.
 4. Components of the verified links.
 
-A candidate group of more than `BLOCK` sets or `BLOCK_RUNS` runs is cut by the bands of its sizes,
+Candidate groups grow where many texts share a passage. The sets of those beyond `BLOCK` sets are grouped anew
+by their rarest runs: of a linked set of size a at least a * num / den runs are in the other set, so the
+a - ceil(a * num / den) + 1 rarest of either, in one order of all runs, have one in common. Texts with a common
+passage and else different words part there; no link is lost.
+
+A group that is still beyond `BLOCK` sets or `BLOCK_RUNS` runs is cut by the bands of its sizes,
 and a large band into parts by a hash. Links are within a band or between neighbours, so each
 such pair of parts is a task of its own, and sets of far sizes never meet. Texts are read
 again for candidates alone; a filter of fixed size over the candidates' ids keeps most others
@@ -37,7 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridecast.llm import hashing
-from ridecast.llm.components import components
+from ridecast.llm.components import components, join_counted
 from ridecast.llm.scratch import text_chunks, written
 
 #: Sets and runs of a candidate group that one task takes whole; sets of small groups, which are
@@ -45,12 +51,24 @@ from ridecast.llm.scratch import text_chunks, written
 BLOCK, BLOCK_RUNS = 2048, 2_000_000
 SMALL, RUNS_PER_TASK = 128, 500_000
 LEAF = 8
+#: Share of sets of a band's least size that may have more empty groups than is allowed for.
+RARE = 1e-4
 #: Bits of the filter that keeps most texts out of the shuffle of candidates (two megabytes).
 FILTER_BITS = 1 << 24
 
 _SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
+def _more_empty(groups: int, runs: int, spare: int) -> float:
+    """About the chance that more than `spare` groups stay empty when runs are hashed into them."""
+    mean = groups * math.exp(-runs / groups)
+    term = total = math.exp(-mean)
+    for k in range(1, spare + 1):
+        term *= mean / k
+        total += term
+    return 1 - total
+
+
 class Bands:
     """Bands of sizes such that linked sets are in the same band or in neighbouring ones.
 
@@ -70,13 +88,12 @@ class Bands:
             after = low * self.den // self.num + 1
             most = after - 1  # the largest size of this band
             differ = (most + most * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-            # Groups that are empty in a set of the least size, as hashing would have it, and some.
-            groups, spare = differ + 1, 0
-            for _ in range(8):
-                mean = groups * math.exp(-low / groups)
-                spare = math.ceil(mean + 4 * math.sqrt(mean)) + 1
-                groups = differ + 1 + spare
-            self.groups.append(groups if differ else 0)  # no difference: only equal sets link
+            # As few groups as leave hardly any set with more empty ones than it may have: the more runs
+            # a group has, the fewer sets share it that do not link.
+            spare = 0
+            while spare <= differ and _more_empty(differ + 1 + spare, low, spare) > RARE:
+                spare += 1
+            self.groups.append(differ + 1 + spare if differ else 0)  # no difference: only equal sets link
             self.empties.append(spare)
             self.lower.append(after)
 
@@ -277,6 +294,29 @@ def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.groupBy("kind", "task", "low", "high").applyInPandas(run, "a long, b long")
 
 
+def _combined(rows: DataFrame) -> DataFrame:
+    """(linked, key, rep) of rows (rep, keys): each key once a batch, with the batch's least set that has it.
+
+    The batch's other sets of that key are linked with that set at once: their `key` is its number. So a key
+    that a third of all sets have is met once a batch in the shuffle, not once a set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            key = np.asarray(lists.flatten())
+            rep = np.repeat(np.asarray(batch.column(0)), np.asarray(lists.value_lengths()))
+            order = np.lexsort((rep, key))
+            key, rep = key[order], rep[order]
+            first = np.append(True, key[1:] != key[:-1])[: len(key)]
+            least = rep[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            fresh = first | (rep != least)
+            columns = [pa.array(~first[fresh]), pa.array(np.where(first, key, least)[fresh]), pa.array(rep[fresh])]
+            yield pa.RecordBatch.from_arrays(columns, ["linked", "key", "rep"])
+
+    return rows.select("rep", "keys").mapInArrow(run, "linked boolean, key long, rep long")
+
+
 def join_documents(
     docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -301,10 +341,10 @@ def join_documents(
     ids = IdFilter(copies)
     maybe, single = (_sketched(known, words, num, den, True, ids, flag).where("n_shingles > 0") for flag in (True, False))
     classes = maybe.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).select("rep", "keys")
-    keyed = classes.unionByName(single.select(F.col("doc_id").alias("rep"), "keys")).select("rep", F.explode("keys").alias("key"))
-    least = F.min("rep").over(W.partitionBy("key").orderBy("rep"))
+    keyed = _combined(classes.unionByName(single.select(F.col("doc_id").alias("rep"), "keys")))
+    least = F.when(F.col("linked"), F.col("key")).otherwise(F.min("rep").over(W.partitionBy("linked", "key").orderBy("rep")))
     stars = keyed.withColumn("least", least).where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    candidates = components(stars, "candidates")
+    candidates = _regrouped(known, components(stars, "candidates"), words, num, den)
     links = written(_links(known, marks, candidates, words, num, den), "links")
     # Equal sets are linked through their class.
     reached = components(links, "linked")
@@ -368,14 +408,54 @@ def _dealt(members: DataFrame, num: int, den: int) -> DataFrame:
     return alone.select(*columns).unionByName(cut.select("*", "_target.*").select(*columns))
 
 
-def _links(known: DataFrame, marks: DataFrame, candidates: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    lengths = marks.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("n_shingles").alias("length"))
-    members = written(candidates.join(lengths, F.col("node") == F.col("_doc")).drop("_doc"), "candidate-sets")
-    ids = IdFilter(members.select("node"))
+def _texts_of(known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) whose ids are in the written table of nodes."""
+    ids = IdFilter(nodes.select("node"))
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return ids.select(batches, True)
 
+    texts = IdFilter.marked(known).mapInArrow(maybe, "doc_id long, text string")
+    return texts.join(nodes.select("node"), F.col("doc_id") == F.col("node"), "left_semi")
+
+
+def _regrouped(known: DataFrame, candidates: DataFrame, words: int, num: int, den: int, most: int = 0) -> DataFrame:
+    """Candidates (node, component) with the members of groups of more than `most` grouped by their rarest runs."""
+    candidates = written(candidates, "candidates")
+    sizes = candidates.groupBy(F.col("component").alias("_component")).agg(F.count(F.lit(1)).alias("members"))
+    large = written(sizes.where(F.col("members") > (most or BLOCK)), "large-candidates")
+    if large.isEmpty():
+        return candidates
+    on = F.col("component") == F.col("_component")
+    members = written(candidates.join(large, on, "left_semi"), "large-candidate-sets")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in text_chunks(batch.column(1)):
+                runs, of = sets_of(data, offsets, words)
+                rep = np.asarray(batch.column(0).slice(first, end - first))
+                size = np.bincount(of, minlength=end - first)
+                columns = [pa.array(rep[of]), pa.array(runs.view(np.int64)), pa.array(size[of])]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "run", "size"])
+
+    # Rows of one id are one set with all their runs.
+    runs = written(_texts_of(known, members).mapInArrow(listed, "rep long, run long, size long"), "candidate-runs")
+    counts = written(runs.groupBy(F.col("run").alias("_run")).agg(F.count(F.lit(1)).alias("_sets")), "run-counts")
+    placed = join_counted(runs, counts, "run", "_run", "_sets")
+    rank = F.row_number().over(W.partitionBy("rep", "size").orderBy("_sets", "run"))
+    prefix = F.col("size") - F.ceil(F.col("size") * num / den) + 1
+    rare = written(placed.withColumn("_rank", rank).where(F.col("_rank") <= prefix).select("rep", "run"), "rare-runs")
+    least = rare.groupBy(F.col("run").alias("_run")).agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("_sets"))
+    least = written(least.where("_sets > 1"), "rare-run-sets")
+    stars = join_counted(rare, least, "run", "_run", "_sets").where("least < rep")
+    again = components(stars.select(F.col("least").alias("a"), F.col("rep").alias("b")), "regrouped")
+    return candidates.join(large, on, "left_anti").unionByName(again)
+
+
+def _links(known: DataFrame, marks: DataFrame, candidates: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    lengths = marks.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("n_shingles").alias("length"))
+    members = written(candidates.join(lengths, F.col("node") == F.col("_doc")).drop("_doc"), "candidate-sets")
+
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch.column(1)):
@@ -384,8 +464,6 @@ def _links(known: DataFrame, marks: DataFrame, candidates: DataFrame, words: int
                 own = [runs[a:b].astype("<u8").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(own, pa.binary())], ["rep", "runs"])
 
-    texts = IdFilter.marked(known).mapInArrow(maybe, "doc_id long, text string")
-    texts = texts.join(members.select("node"), F.col("doc_id") == F.col("node"), "left_semi")
-    sets = texts.mapInArrow(shingled, "rep long, runs binary")
+    sets = _texts_of(known, members).mapInArrow(shingled, "rep long, runs binary")
     dealt = _dealt(members, num, den).join(sets, F.col("node") == F.col("rep"))
     return _verified(dealt.select("kind", "task", "low", "high", "side", "component", "rep", "runs"), num, den)

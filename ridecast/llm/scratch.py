@@ -19,6 +19,7 @@ from ridecast.session import materialise, new_shared_path
 
 _shipped: set[str] = set()
 ROWS_SETTING, ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+BYTES_SETTING, BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -29,9 +30,11 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, once an application, so that they need no copy of their own.
 
-    Rows of text are wide: unless the session has its own bound, batches between the JVM and
-    the workers get fewer rows, which bounds the memory of both.
+    Rows of text are wide: unless the session has its own bounds, batches between the JVM and
+    the workers get fewer rows and bytes, which bounds the memory of both.
     """
+    if spark.conf.get(BYTES_SETTING) in ("67108864", "67108864b", "64MB", "-1"):  # Spark's defaults
+        spark.conf.set(BYTES_SETTING, BYTES_PER_BATCH)
     if spark.conf.get(ROWS_SETTING) == "10000":  # Spark's default
         spark.conf.set(ROWS_SETTING, ROWS_PER_BATCH)
     application = spark.sparkContext.applicationId
@@ -87,3 +90,4 @@ def text_chunks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[i
         end = min(end, n)
         yield first, end, flat[ends[first] : ends[end]], ends[first : end + 1] - ends[first]
         first = end
+    pa.default_memory_pool().release_unused()

@@ -129,3 +129,23 @@ def test_components_of_a_long_chain_and_a_star(spark):
     found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert {found[i] for i in range(100, 161)} == {100} and {found[x] for x in range(20, 60)} == {7}
     assert found[3] == found[2] == 2 and 5 not in found
+
+
+def test_common_passages_part_by_rare_runs(spark, documents, monkeypatch):
+    random = np.random.default_rng(8)
+    shared = [f"common{k}" for k in range(9)]
+    rows = [(i, " ".join([f"w{x}" for x in random.integers(0, 10**6, 5)] + shared + [f"w{x}" for x in random.integers(0, 10**6, 4)])) for i in range(400)]
+    rows += [(1000 + i, " ".join(t.split()[:-1] + ["end"])) for i, t in rows[:60]] + [(2000 + i, t) for i, t in rows[:40]]
+    monkeypatch.setattr(ngram_join, "BLOCK", 30)
+    grouped = []
+    plain = ngram_join._regrouped
+
+    def seen(*args):
+        before, after = args[1], plain(*args)
+        sizes = [df.groupBy("component").count().agg({"count": "max"}).first()[0] or 0 for df in (before, after)]
+        grouped.append(sizes)
+        return after
+
+    monkeypatch.setattr(ngram_join, "_regrouped", seen)
+    assert got(ngram_join.join_documents(documents(rows), 4, 80, 100)) == brute(rows, 4, 80, 100)
+    assert grouped[0][0] > 200 and grouped[0][1] < 30
