@@ -84,12 +84,26 @@ def kept_path(spark: SparkSession, name: str, source: str, build: Callable[[str]
     return _kept[key]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(spark: SparkSession, written: DataFrame) -> None:
+    """Delete a materialised table that nothing reads any more."""
+    handed_out = _handed_out.get(spark.sparkContext.applicationId, [])
+    names = {path.rpartition("/")[2]: path for path in handed_out}
+    for folder in {file.rpartition("/")[0].rpartition("/")[2] for file in written.inputFiles()}:
+        if folder in names:
+            _delete(spark, names[folder])
+            handed_out.remove(names[folder])
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Delete what this process has written below the shared folder; DataFrames that read it end."""
     application = spark.sparkContext.applicationId
     for path in _handed_out.pop(application, []):
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
     for key in [k for k in _kept if k[0] == application]:
         del _kept[key]
 
