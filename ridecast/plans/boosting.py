@@ -139,6 +139,10 @@ class BoostedModel:
         """`df` with the prediction; a null feature follows each split's side for nulls."""
         return self.staged(df, [len(self.trees)], [column])
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        """As a fitted pipeline does, so that the scoring of requests takes either."""
+        return self.predict(df)
+
     def first(self, n: int) -> BoostedModel:
         """The model after `n` trees: what a fit with `n_estimators = n` gives."""
         return replace(self, trees=self.trees[:n], params=replace(self.params, n_estimators=n))
@@ -299,10 +303,11 @@ def fit(
     spark = train.sparkSession
     cuts = cut_points(train.where(F.col(target).isNotNull()), features, max_bins)
     binned = materialise(_binned(train, features, cuts, target, key), "binned-rows")
-    middle = F.floor(F.avg("y") + 0.5) if params.loss == "squared" else F.percentile_approx("y", 0.5, MEDIAN_ACCURACY)
-    base = binned.agg(middle.cast("bigint")).first()[0]
-    if base is None:
+    total, rows, base = binned.agg(F.sum("y"), F.count(F.lit(1)), F.percentile_approx("y", 0.5, MEDIAN_ACCURACY)).first()
+    if not rows:
         raise ValueError(f"no row has {target}")
+    if params.loss == "squared":
+        base = (2 * total + rows) // (2 * rows)  # the nearest whole unit
     model = BoostedModel(list(features), cuts, base, params)
     table = binned.withColumn("margin", F.lit(base).cast("bigint"))
     residual = F.col("margin") - F.col("y")

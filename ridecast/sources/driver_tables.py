@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from ridecast.functions.times import floor_to_hour
 from ridecast.schemas import REQUEST, REQUEST_FIELDS, TRIPS, WEATHER, struct
 
-# Days at either end of the events that the weather does not cover.
-DAYS_BEFORE, DAYS_AFTER = 2, 6
-
-
 # The columns used here; a declared schema spares the job that reads the file footers.
 TABLES = {
     "events": struct(
@@ -72,15 +68,8 @@ def weather_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reading per hour with a purchase, without the first and the last days of the events."""
-    events = table(spark, sf_dir, "events")
-    # A global aggregate is one row, whatever the input.
-    period = events.agg(
-        F.date_add(F.min("ts").cast("date"), DAYS_BEFORE).alias("_from"), F.date_sub(F.max("ts").cast("date"), DAYS_AFTER).alias("_to")
-    )
-    day = F.col("ts").cast("date")
-    events = events.where(F.col("event_type") == "purchase").crossJoin(F.broadcast(period))
-    events = events.where((day >= F.col("_from")) & (day <= F.col("_to")))
+    """One reading per hour with a purchase; hours without one have no reading."""
+    events = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
     cents = F.sum(F.floor(F.col("value")).cast("bigint"))
     hourly = events.groupBy(floor_to_hour(F.col("ts")).alias("DATE")).agg(
         cents.alias("_cents"), F.count(F.lit(1)).alias("_events")

@@ -43,8 +43,6 @@ VIEWS = {
                CASE WHEN count(*) = 1 THEN 1 ELSE 0 END AS has_trace
         FROM events
         WHERE event_type = 'purchase'
-          AND CAST(ts AS DATE) >= (SELECT CAST(min(ts) AS DATE) + 2 FROM events)
-          AND CAST(ts AS DATE) <= (SELECT CAST(max(ts) AS DATE) - 6 FROM events)
         GROUP BY 1""",
     "days90": """
         SELECT strt_statn, start_date_trunc, sum(duration_min) AS tot, count(duration_min) AS n

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridecast.plans import boosting
+from ridecast.operators import sampling
+from ridecast.operators.metrics import regression_scores
+from ridecast.plans import boosting, search
 from ridecast.plans.training import BoostParams
 
 UNIT = boosting.UNIT
@@ -156,3 +158,34 @@ def test_odd_tables(spark):
     assert model.cuts[0] == [1.0] or model.cuts[0] == []
     assert {r["prediction"] for r in model.predict(table(spark, rows)).collect()} == {1.5}
     assert boosting.fit(table(spark, rows), BoostParams(0, 3, 0.5), NAMES, "y").predict(table(spark, rows)).agg(F.min("prediction")).first()[0] == 1.5
+
+
+def test_staged_search_shares_fits_and_goes_on(spark, tmp_path, monkeypatch):
+    df = table(spark, sample(160)).withColumnRenamed("y", "duration_min")
+    folds = sampling.hash_folds(df, ["seq_id"], 2).cache()
+    grid = search.parameter_grid(spark, {
+        "n_estimators": [1, 3], "max_depth": [2], "learning_rate": [0.3, 0.6], "subsample": [1.0], "gamma": [0], "min_child_weight": [1],
+    })
+    fits, plain = [], boosting.fit
+
+    def counted(*args, **kwargs):
+        fits.append(args[1])
+        return plain(*args, **kwargs)
+
+    monkeypatch.setattr(boosting, "fit", counted)
+    path = str(tmp_path / "scores")
+    some = grid.where("learning_rate = 0.3")
+    first = search.staged_search(folds, some, path, features=NAMES, max_bins=8)
+    assert first.count() == 4 and [f.n_estimators for f in fits] == [3, 3]
+    scores = search.staged_search(folds, grid, path, features=NAMES, max_bins=8)
+    assert scores.count() == 8 and len(fits) == 4
+    assert search.staged_search(folds, grid, path, features=NAMES, max_bins=8).count() == 8 and len(fits) == 4
+    assert search.staged_search(folds, some, path, features=NAMES, max_bins=8).count() == 4
+    for row in scores.where("learning_rate = 0.6 AND fold = 1").collect():
+        model = plain(folds.where("fold <> 1"), BoostParams(row["n_estimators"], 2, 0.6), NAMES, max_bins=8)
+        direct = regression_scores(model.predict(folds.where("fold = 1")), "duration_min", "prediction").first()
+        assert (row["mae"], row["r2"]) == pytest.approx((direct["mae"], direct["r2"]))
+    results = search.search_results(scores)
+    best = search.refit_best_boosted(df, results, features=NAMES)
+    least = min(results.collect(), key=lambda r: r["mae_avg"])
+    assert (len(best.trees), best.params.learning_rate) == (least["regressor__n_estimators"], least["regressor__learning_rate"])
