@@ -56,6 +56,9 @@ RARE = 1e-4
 #: Bits of the filter that keeps most texts out of the shuffle of candidates (two megabytes).
 FILTER_BITS = 1 << 24
 
+#: Places of a fixed-size table of counts by which the runs of large groups are ordered (32 megabytes).
+COUNTS = 1 << 22
+
 _SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -419,8 +422,29 @@ def _texts_of(known: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.join(nodes.select("node"), F.col("doc_id") == F.col("node"), "left_semi")
 
 
+def _shingled(words: int):
+    """Rows (doc_id, text) to (rep, runs): the set as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in text_chunks(batch.column(1)):
+                runs, of = sets_of(data, offsets, words)
+                edges = np.searchsorted(of, np.arange(end - first + 1))
+                own = [runs[a:b].astype("<u8").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(own, pa.binary())], ["rep", "runs"])
+
+    return run
+
+
+def _place(runs: np.ndarray) -> np.ndarray:
+    return (hashing.mix(runs) % np.uint64(COUNTS)).astype(np.int64)
+
+
 def _regrouped(known: DataFrame, candidates: DataFrame, words: int, num: int, den: int, most: int = 0) -> DataFrame:
-    """Candidates (node, component) with the members of groups of more than `most` grouped by their rarest runs."""
+    """Candidates (node, component) with the members of groups of more than `most` grouped by their rarest runs.
+
+    Any one order of all runs loses no link; this one is by counts in a table of fixed size.
+    """
     candidates = written(candidates, "candidates")
     sizes = candidates.groupBy(F.col("component").alias("_component")).agg(F.count(F.lit(1)).alias("members"))
     large = written(sizes.where(F.col("members") > (most or BLOCK)), "large-candidates")
@@ -429,22 +453,33 @@ def _regrouped(known: DataFrame, candidates: DataFrame, words: int, num: int, de
     on = F.col("component") == F.col("_component")
     members = written(candidates.join(large, on, "left_semi"), "large-candidate-sets")
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets = written(_texts_of(known, members).mapInArrow(_shingled(words), "rep long, runs binary"), "large-sets")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTS, np.int64)
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(1)):
-                runs, of = sets_of(data, offsets, words)
-                rep = np.asarray(batch.column(0).slice(first, end - first))
-                size = np.bincount(of, minlength=end - first)
-                columns = [pa.array(rep[of]), pa.array(runs.view(np.int64)), pa.array(size[of])]
-                yield pa.RecordBatch.from_arrays(columns, ["rep", "run", "size"])
-
-    # Rows of one id are one set with all their runs.
-    runs = written(_texts_of(known, members).mapInArrow(listed, "rep long, run long, size long"), "candidate-runs")
-    counts = written(runs.groupBy(F.col("run").alias("_run")).agg(F.count(F.lit(1)).alias("_sets")), "run-counts")
-    placed = join_counted(runs, counts, "run", "_run", "_sets")
-    rank = F.row_number().over(W.partitionBy("rep", "size").orderBy("_sets", "run"))
-    prefix = F.col("size") - F.ceil(F.col("size") * num / den) + 1
-    rare = written(placed.withColumn("_rank", rank).where(F.col("_rank") <= prefix).select("rep", "run"), "rare-runs")
+            total += np.bincount(_place(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")), minlength=COUNTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["place", "n"])
+
+    counts = np.zeros(COUNTS, np.int64)
+    found = sets.select("runs").mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counts[np.asarray(found["place"])] = np.asarray(found["n"])  # at most COUNTS rows
+    held = known.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = held.value
+        for batch in batches:
+            reps, out = np.asarray(batch.column(0)), []
+            for value in batch.column(1):
+                runs = np.frombuffer(value.as_buffer(), "<u8")
+                often = counts[_place(runs)]
+                prefix = np.lexsort((runs, often))[: len(runs) + len(runs) * num // -den + 1]
+                out.append(runs[prefix[often[prefix] > 1]])  # what is there once is in no other set
+            rep = np.repeat(reps, [len(x) for x in out])
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate(out).view(np.int64))], ["rep", "run"])
+
+    rare = written(sets.mapInArrow(rarest, "rep long, run long"), "rare-runs")
     least = rare.groupBy(F.col("run").alias("_run")).agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("_sets"))
     least = written(least.where("_sets > 1"), "rare-run-sets")
     stars = join_counted(rare, least, "run", "_run", "_sets").where("least < rep")
@@ -455,15 +490,6 @@ def _regrouped(known: DataFrame, candidates: DataFrame, words: int, num: int, de
 def _links(known: DataFrame, marks: DataFrame, candidates: DataFrame, words: int, num: int, den: int) -> DataFrame:
     lengths = marks.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("n_shingles").alias("length"))
     members = written(candidates.join(lengths, F.col("node") == F.col("_doc")).drop("_doc"), "candidate-sets")
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(1)):
-                runs, of = sets_of(data, offsets, words)
-                edges = np.searchsorted(of, np.arange(end - first + 1))
-                own = [runs[a:b].astype("<u8").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(own, pa.binary())], ["rep", "runs"])
-
-    sets = _texts_of(known, members).mapInArrow(shingled, "rep long, runs binary")
+    sets = _texts_of(known, members).mapInArrow(_shingled(words), "rep long, runs binary")
     dealt = _dealt(members, num, den).join(sets, F.col("node") == F.col("rep"))
     return _verified(dealt.select("kind", "task", "low", "high", "side", "component", "rep", "runs"), num, den)
