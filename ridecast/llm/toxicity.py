@@ -43,7 +43,10 @@ SYMBOLS = 28  # the edge of a word, a to z, and a byte of any letter beyond ASCI
 BEYOND = 27
 #: Costs in natural logarithms: a look-alike, a sign that is no letter, a repeated letter dropped.
 SIGN_COST, EDGE_COST, REPEAT_COST = 1.0, 14.0, 0.5
-REMEMBERED = 200_000
+#: Restored strings that a worker remembers, and the longest of them.
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 100
+#: Steps of a lattice after which the part that all paths share is settled.
+SETTLE_STEPS = 4096
 
 FEATURE_BITS = 20
 #: Bounds of the training sample, in rows.
@@ -98,6 +101,29 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3)
 
 
+def _steps(last: list | None) -> list[list]:
+    """The steps of a path, first to last."""
+    steps = []
+    while last is not None:
+        steps.append(last)
+        last = last[0]
+    return steps[::-1]
+
+
+def _text(steps: list[list]) -> str:
+    return "".join(letters for _, letters in steps)
+
+
+def _settle(ends: list[list]) -> tuple[str, int]:
+    """Cut off the steps that all paths share: their text, and how many steps each path keeps."""
+    paths = [_steps(last) for last in ends]
+    size = len(paths[0])
+    shared = next((k for k in range(size) if any(p[k] is not paths[0][k] for p in paths)), size - 1)
+    for path in paths:
+        path[shared][0] = None
+    return _text(paths[0][:shared]), size - shared
+
+
 class Restorer:
     """Replaces the disguised strings of lower-case texts by their likeliest originals."""
 
@@ -106,9 +132,8 @@ class Restorer:
         self.known: dict[str, str] = {}
 
     @staticmethod
-    def lattice(string: str) -> list[list[tuple[str, float]]]:
+    def lattice(string: str) -> Iterator[list[tuple[str, float]]]:
         """For each run of one character what it may stand for, with costs."""
-        steps = []
         for run in re.finditer(r"(.)\1*", string):
             sign, n = run[1], len(run[0])
             letters = LOOKALIKES.get(sign, "")
@@ -119,14 +144,19 @@ class Restorer:
                 options = [(sign, REPEAT_COST), (sign * 2, REPEAT_COST)]
             else:
                 options = [(sign * n, 0.0)]
-            steps.append(options)
-        return steps
+            yield options
 
     def decode(self, string: str) -> str:
-        model, paths = self.model, {(0, 0): (0.0, "")}
+        """The likeliest original, in time and memory linear in the string.
+
+        A path is its last step and a pointer to the step before. What all paths have in
+        common is settled from time to time, so the pointers kept do not grow with the string.
+        """
+        model, settled, unsettled, due = self.model, [], 0, SETTLE_STEPS
+        paths: dict[tuple[int, int], tuple[float, list | None]] = {(0, 0): (0.0, None)}
         for options in self.lattice(string):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in paths.items():
+            after: dict[tuple[int, int], tuple[float, list | None]] = {}
+            for (a, b), (cost, last) in paths.items():
                 for letters, more in options:
                     x, y, total = a, b, cost + more
                     for letter in letters:
@@ -135,10 +165,16 @@ class Restorer:
                             total -= model[x][y][code]
                             x, y = y, code
                     if (x, y) not in after or total < after[x, y][0]:
-                        after[x, y] = (total, text + letters)
+                        after[x, y] = (total, [last, letters])
             paths = after
+            unsettled += 1
+            if unsettled >= due:
+                text, unsettled = _settle([last for _, last in paths.values()])
+                settled.append(text)
+                due = max(SETTLE_STEPS, 2 * unsettled)
         # The word ends here: the edge is the last symbol.
-        return min((cost - model[x][y][0] * (y > 0), text) for (x, y), (cost, text) in paths.items())[1]
+        ends = ((cost - model[x][y][0] * (y > 0), _text(_steps(last))) for (x, y), (cost, last) in paths.items())
+        return "".join([*settled, min(ends)[1]])
 
     def _original(self, found: re.Match) -> str:
         string = found[0]
@@ -148,7 +184,9 @@ class Restorer:
         if known is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            known = self.known[string] = self.decode(string)
+            known = self.decode(string)
+            if len(string) <= REMEMBERED_LENGTH:
+                self.known[string] = known
         return f" {known} " if found["gap"] else known
 
     def restore(self, text: str) -> str:

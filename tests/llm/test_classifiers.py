@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -178,6 +179,29 @@ def test_viterbi_equals_trying_every_path(string):
     assert min(cost(t, c) for t, c in every_path(restorer.lattice(string)) if t == decoded) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("steps", [1, 2, 5])
+def test_settled_steps_change_nothing(monkeypatch, steps):
+    random = np.random.default_rng(5)
+    restorer = toxicity.Restorer(toxicity.language_model(random.integers(0, 50, toxicity.SYMBOLS**3)))
+    strings = ["".join(random.choice(list("abz0112!*"), n)) for n in random.integers(1, 60, 200)]
+    whole = [restorer.decode(s) for s in strings]
+    monkeypatch.setattr(toxicity, "SETTLE_STEPS", steps)
+    assert [restorer.decode(s) for s in strings] == whole
+
+
+def test_one_unbroken_string_takes_linear_time():
+    random = np.random.default_rng(6)
+    restorer = toxicity.Restorer(toxicity.language_model(random.integers(0, 50, toxicity.SYMBOLS**3)))
+    small, large = ("".join(random.choice(list("0123456789abcdef"), n)) + "a" for n in (50_000, 800_000))
+    seconds = []
+    for string in (small, large):
+        before = time.process_time()
+        assert restorer.restore(string)
+        seconds.append(time.process_time() - before)
+    assert seconds[1] < 48 * seconds[0] + 1  # 16 times the string
+    assert not restorer.known  # long strings are not remembered
+
+
 def test_character_counts_cover_all_texts(documents):
     rows = [(1, "Ab a"), (2, None), (3, "ab"), (4, "")]
     counts = {r["at"]: r["n"] for r in toxicity.count_characters(documents(rows)).collect()}
