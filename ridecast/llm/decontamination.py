@@ -36,6 +36,9 @@ UNIT = 1 << 32
 NO_WORD = hashing.NO_LETTER.copy()
 NO_WORD[48:58] = False
 
+#: The column in which lower-case texts travel beside the rows they decide.
+LOWER = "_lower_case_text"
+
 SCHEMA = "doc_id long, item_id long, score double, first_word long, words long"
 
 
@@ -152,36 +155,44 @@ def find(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.lower(F.col(text_column)).alias("text"))
+    found = [_find_block(texts, items, spark) for items in _blocks(benchmark, item_column, item_text_column, block_bytes)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _blocks(benchmark: DataFrame, item_column: str, item_text_column: str, block_bytes: int) -> Iterator[Items]:
+    """The benchmark in blocks of about the given bytes, at least one."""
     items = benchmark.select(F.col(item_column).cast("long").alias("item_id"), F.lower(F.col(item_text_column)).alias("text"))
     items = items.where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    found = []
     for block in range(blocks):
         rows = [(r["item_id"], r["text"]) for r in items.where(F.col("block") == block).collect()]
         rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))  # a null id first
-        found.append(_find_block(texts, Items(rows), spark))
-    return reduce(DataFrame.unionByName, found)
+        yield Items(rows)
+
+
+def _held(items: Items, column: pa.Array) -> Iterator[tuple]:
+    """(row, item id, score, first word, words) of the lower-case texts of an Arrow column that hold an item."""
+    for first, end, data, offsets in text_chunks(column):
+        words, text, _, _ = hashing.words(data, offsets, NO_WORD, lower=False)
+        runs, of, at = hashing.runs(words, text, end - first, items.size, short=False)
+        hit = items.hits(runs)
+        begin = np.searchsorted(text, np.arange(end - first + 1))
+        numbers, starts = np.unique(of[hit], return_index=True)  # hits ascend by text
+        for number, mine in zip(numbers, np.split(hit, starts[1:]), strict=False):
+            own = words[begin[number] : begin[number + 1]]
+            for found in items.search(runs[mine], at[mine] - begin[number], own):
+                yield first + int(number), *found
 
 
 def _find_block(texts: DataFrame, items: Items, spark) -> DataFrame:
     held = spark.sparkContext.broadcast(items)  # one block of the benchmark
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = held.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out: list[tuple] = []
-            for first, end, data, offsets in text_chunks(batch.column(1)):
-                words, text, _, _ = hashing.words(data, offsets, NO_WORD, lower=False)
-                runs, of, at = hashing.runs(words, text, end - first, items.size, short=False)
-                hit = items.hits(runs)
-                begin = np.searchsorted(text, np.arange(end - first + 1))
-                numbers, starts = np.unique(of[hit], return_index=True)  # hits ascend by text
-                for number, mine in zip(numbers, np.split(hit, starts[1:]), strict=False):
-                    own = words[begin[number] : begin[number + 1]]
-                    out += [(ids[first + number], *x) for x in items.search(runs[mine], at[mine] - begin[number], own)]
+            out = [(ids[row], *found) for row, *found in _held(held.value, batch.column(1))]
             if out:
                 columns = list(zip(*out, strict=True))
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
@@ -191,7 +202,33 @@ def _find_block(texts: DataFrame, items: Items, spark) -> DataFrame:
     return texts.mapInArrow(search, SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **columns: str) -> DataFrame:
-    """The rows of `docs` whose text holds no benchmark item; rows with a null id stay."""
-    held = written(find(docs, benchmark, id_column, **columns).select(F.col("doc_id").alias("_held")).distinct(), "contaminated")
-    return docs.join(held, docs[id_column] == F.col("_held"), "left_anti")
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+    item_column: str = "item_id", item_text_column: str = "text", block_bytes: int = BLOCK_BYTES, keep_null_ids: bool = True,
+) -> DataFrame:
+    """The rows of `docs` whose text holds no benchmark item, with all their columns.
+
+    Each row is decided by its own text: a clean row stays whatever other rows have its id, a
+    repeated contaminated row goes each time. Rows with a null id stay, unless `keep_null_ids` is
+    false: then their texts decide as well. Rows are filtered where they are read, without a
+    join; each block of the benchmark is one more pass over the rows still left.
+    """
+    spark, lower = docs.sparkSession, LOWER
+    while lower in {name.lower() for name in docs.columns}:
+        lower += "_"
+    blocks = _blocks(benchmark, item_column, item_text_column, block_bytes)
+    decided = F.lit(True) if not keep_null_ids else F.col(id_column).isNotNull()
+    for number, items in enumerate(blocks):
+        held = spark.sparkContext.broadcast(items)  # one block of the benchmark
+
+        def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, *_ in _held(held.value, batch.column(batch.num_columns - 1))]] = False
+                yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(keep))
+
+        if number:
+            docs = written(docs, "left-of-a-block")  # one block in a worker at a time
+        text = F.when(decided, F.lower(F.col(text_column)))
+        docs = docs.withColumn(lower, text).mapInArrow(clean, docs.schema)
+    return docs

@@ -1,6 +1,7 @@
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ridecast.llm import decontamination
 from ridecast.llm.queries import QUERIES
@@ -65,6 +66,25 @@ def test_odd_tables(spark, documents):
     assert [r["doc_id"] for r in decontamination.decontaminate(documents(rows), items(spark)).collect()] == [None]
 
 
+def test_rows_are_decided_by_their_own_text(spark, documents):
+    rows = [(1, ITEM), (1, FILLER), (2, ITEM), (2, ITEM), (None, ITEM), (None, FILLER), (3, None), (4, ""), (4, FILLER), (4, FILLER)]
+    docs = documents(rows).withColumn("item_id", F.lit(7)).withColumn("_held", F.lit("h"))
+    two = items(spark, [(1, ITEM), (2, "some other item with words that are in no text of this table")])
+
+    def left(**options):
+        kept = decontamination.decontaminate(docs, two, **options)
+        assert kept.dtypes == docs.dtypes
+        return sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+
+    clean = [(0, FILLER), (1, FILLER), (3, ""), (4, ""), (4, FILLER), (4, FILLER)]
+    assert left(keep_null_ids=False) == left(keep_null_ids=False, block_bytes=60) == sorted(clean)
+    assert left() == sorted([*clean, (0, ITEM)])
+    assert decontamination.decontaminate(docs, two.where("false")).count() == len(rows)
+    assert decontamination.decontaminate(docs.where("false"), two).collect() == []
+    clashing = docs.withColumn(decontamination.LOWER, F.lit(1))
+    assert decontamination.decontaminate(clashing, two, keep_null_ids=False).count() == len(clean)
+
+
 def test_a_passage_in_most_texts_is_still_found(spark, documents):
     rows = [(i, f"own{i} words{i} {ITEM} more{i}") for i in range(60)] + [(100 + i, f"{FILLER} only{i}") for i in range(20)]
     assert {r["doc_id"] for r in decontamination.find(documents(rows), items(spark)).collect()} == set(range(60))

@@ -1,5 +1,6 @@
 import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from ridecast.llm.queries import QUERIES
 
@@ -46,6 +47,40 @@ def test_every_stage_against_plain_python(spark, documents):
     check_pieces(stages["best_fit_packing"](spark, docs, SF_SMALL).collect(), list(after.items()))
 
 
+ROWS = [
+    (1, "The old bridge over the river was closed for repairs until spring", "en"),
+    (1, "A second text with the same number but quite other words in it", "en"),
+    (None, "Without a number this text is still a document like any other", "en"),
+    (None, "Another one without a number and with words of its own here", None),
+]
+
+
+def test_stages_take_odd_tables(spark, documents):
+    odd = documents([*ROWS, (5, None), (6, "")]).withColumn("line_no", F.lit(1)).withColumn("_held", F.lit(2)).withColumn("component_id", F.lit(3))
+    odd = odd.withColumn("item_id", F.lit(4)).withColumn("first", F.lit(5))
+    texts = {text for _, text, _ in ROWS}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, odd, SF_SMALL)
+        assert left.columns == corpus_pipeline.COLUMNS and texts <= {r["text"] for r in left.collect()}, name
+        assert stage(spark, odd.where("false"), SF_SMALL).collect() == [], name
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert {r["doc_id"] for r in stage(spark, odd, SF_SMALL).collect()} == {1, None, 5, 6}
+    assert stage(spark, odd.where("false"), SF_SMALL).collect() == []
+
+
+def test_without_a_language_to_learn_all_rows_stay(spark, documents):
+    docs = documents([(i, text) for i, text, _ in ROWS])
+    kept = corpus_pipeline.language_id(spark, docs, SF_SMALL).collect()
+    assert sorted(r["text"] for r in kept) == sorted(text for _, text, _ in ROWS)
+
+
+def test_a_contaminated_row_without_an_id_goes(spark, documents):
+    item = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").first()["text"]
+    docs = documents([*ROWS, (None, f"before {item} after"), (1, item)])
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, SF_SMALL).collect()
+    assert sorted(r["text"] for r in kept) == sorted(text for _, text, _ in ROWS)
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF_SMALL)
     assert rows.count() > 50 and rows.columns[:2] == ["doc_id", "piece"]
