@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five written stages.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read
-again as the next stage's documents. The first four return the columns of `documents`.
+again as the next stage's documents. The first four return the columns of `documents`; other
+columns of a stage's input go. An empty table stays one. Rows without an id are documents like
+any other but for near_duplicates, which leaves them as they are.
 """
 
 from __future__ import annotations
@@ -17,9 +19,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the model learns from four fifths of them."""
+    """Documents whose language is recognised; the model learns from four fifths of them.
+
+    Where no row has a language to learn from, nothing can be rejected and all rows stay.
+    """
     ship(spark)
     model = language.fit(docs, held_out_remainder(F.col("doc_id"), 5) != 0)
+    if model is None:
+        return docs.select(*COLUMNS)
     return language.predict(docs, model).where(~F.col("rejected")).select(*COLUMNS)
 
 
@@ -41,9 +48,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, each decided by its own text."""
     ship(spark)
-    return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    items = read_table(spark, sf_dir, "benchmark")
+    return decontamination.decontaminate(docs.select(*COLUMNS), items, keep_null_ids=False)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
