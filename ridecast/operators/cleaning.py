@@ -6,10 +6,10 @@ averages last, the exploratory study drops nulls first and trims after.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ridecast.operators.projection import any_null
@@ -89,8 +89,8 @@ def clean(df: DataFrame, steps: Sequence[Step] = TRAINING_STEPS) -> DataFrame:
     return df
 
 
-def audit(df: DataFrame, steps: Sequence[Step] = TRAINING_STEPS) -> DataFrame:
-    """Rows removed by each step out of the rows it saw, counted in one pass."""
+def _counted(df: DataFrame, steps: Sequence[Step]) -> tuple[DataFrame, list[Column], Column]:
+    """The rows with the steps' bounds, the counts of the audit, and whether a row passes all steps."""
     marked, kept, passed = df, df, F.lit(True)
     counts: list[Column] = []
     for i, step in enumerate(steps):
@@ -101,7 +101,10 @@ def audit(df: DataFrame, steps: Sequence[Step] = TRAINING_STEPS) -> DataFrame:
         ]
         passed = passed & condition
         kept = clean(kept, [step])
-    row = marked.agg(*counts)
+    return marked, counts, passed
+
+
+def _audit_rows(row: DataFrame, steps: Sequence[Step]) -> DataFrame:
     entries = [
         F.struct(
             F.lit(i + 1).alias("step"),
@@ -112,3 +115,27 @@ def audit(df: DataFrame, steps: Sequence[Step] = TRAINING_STEPS) -> DataFrame:
         for i, step in enumerate(steps)
     ]
     return row.select(F.inline(F.array(*entries)))
+
+
+def audit(df: DataFrame, steps: Sequence[Step] = TRAINING_STEPS) -> DataFrame:
+    """Rows removed by each step out of the rows it saw, counted in one pass."""
+    marked, counts, _ = _counted(df, steps)
+    return _audit_rows(marked.agg(*counts), steps)
+
+
+def clean_and_audit(
+    df: DataFrame, write: Callable[[DataFrame], None], steps: Sequence[Step] = TRAINING_STEPS
+) -> DataFrame:
+    """Write the cleaned rows and return their audit, counted while the rows pass to the writer.
+
+    `write` must write the DataFrame it is given exactly once. Where it shuffles, the counts
+    lie before the shuffle and a stage that runs again counts its rows again; a writer that
+    does not shuffle (`files_per_month=None`) counts each row once whatever is lost.
+    """
+    marked, counts, passed = _counted(df, steps)
+    seen = Observation()
+    write(marked.observe(seen, *counts).where(passed).select(*df.columns))
+    found = seen.get  # two numbers a step
+    names = [name for i in range(len(steps)) for name in (f"removed{i}", f"total{i}")]
+    row = df.sparkSession.range(1).select(*[F.lit(found[name]).cast("long").alias(name) for name in names])
+    return _audit_rows(row, steps)

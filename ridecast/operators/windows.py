@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridecast.functions.times import floor_to_hour, hours_between
@@ -20,6 +20,7 @@ STATION = "strt_statn"
 DAY = "start_date_trunc"
 TOTAL = "daily_trips_total_duration"
 COUNT = "daily_trips_count"
+STATE_SCHEMA = f"{STATION} INT, {DAY} DATE, {TOTAL} DOUBLE, {COUNT} BIGINT"
 
 
 def station_day_totals(
@@ -69,6 +70,40 @@ def station_trailing_avg(
     return trailing_ratio(days, window_days, out).select(STATION, DAY, out)
 
 
+def empty_station_state(spark: SparkSession) -> DataFrame:
+    """The state before the first trip; see `advance_stations`."""
+    return spark.createDataFrame([], STATE_SCHEMA)
+
+
+def advance_stations(
+    state: DataFrame,
+    arrivals: DataFrame,
+    window_days: int = 7,
+    max_trip_duration: float | None = 90.0,
+    out: str = "avg_duration_prev_7days",
+) -> tuple[DataFrame, DataFrame]:
+    """(feature of every station-day that arrived, state after it), without reading older trips.
+
+    The state holds the last `window_days` active days of each station, so a step costs what
+    arrived and a few rows a station. Arrivals are trips of whole days later than the state's
+    days of their station; an earlier or repeated day is refused, since averages that follow it
+    have been given out. Over any cut of the trips into such steps the features are those of
+    `station_trailing_avg`. Write both results before the next step.
+    """
+    arrived = station_day_totals(arrivals, max_trip_duration or None).withColumn("_new", F.lit(True))
+    days = state.select(STATION, DAY, TOTAL, COUNT, F.lit(False).alias("_new")).unionByName(arrived)
+    station = Window.partitionBy(STATION)
+    through = F.max(F.when(~F.col("_new"), F.col(DAY))).over(station)
+    late = F.raise_error(F.concat(F.lit("a day that is not after the state: "), F.col(DAY).cast("string")))
+    days = days.withColumn("_through", through).withColumn(
+        DAY, F.when(F.col("_new") & (F.col(DAY) <= F.col("_through")), late.cast("date")).otherwise(F.col(DAY))
+    )
+    features = trailing_ratio(days, window_days, out).where("_new").select(STATION, DAY, out)
+    age = F.row_number().over(station.orderBy(F.desc(DAY)))
+    after = days.withColumn("_age", age).where(F.col("_age") <= window_days).select(STATION, DAY, TOTAL, COUNT)
+    return features, after
+
+
 def daily_station_features(
     trips: DataFrame,
     day: dt.date,

@@ -84,7 +84,8 @@ def kept_path(spark: SparkSession, name: str, source: str, build: Callable[[str]
     return _kept[key]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever it lies; nothing happens if it is absent."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -95,7 +96,7 @@ def forget(spark: SparkSession, written: DataFrame) -> None:
     names = {path.rpartition("/")[2]: path for path in handed_out}
     for folder in {file.rpartition("/")[0].rpartition("/")[2] for file in written.inputFiles()}:
         if folder in names:
-            _delete(spark, names[folder])
+            delete_path(spark, names[folder])
             handed_out.remove(names[folder])
 
 
@@ -103,7 +104,7 @@ def clear_shared(spark: SparkSession) -> None:
     """Delete what this process has written below the shared folder; DataFrames that read it end."""
     application = spark.sparkContext.applicationId
     for path in _handed_out.pop(application, []):
-        _delete(spark, path)
+        delete_path(spark, path)
     for key in [k for k in _kept if k[0] == application]:
         del _kept[key]
 

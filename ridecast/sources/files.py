@@ -13,7 +13,7 @@ from ridecast import schemas
 # Files written by other tools store a whole number with missing values as `23.0`.
 _LOOSE = {"strt_statn", "end_statn", "birth_date", "has_trace", "has_precip_data", "is_registered"}
 _CSV_TIME = "yyyy-MM-dd HH:mm:ss"
-RAW = "raw"
+RAW, EXTRA = "raw", "extra"
 _REQUEST_AND_RAW = T.StructType([*schemas.REQUEST.fields, T.StructField(RAW, T.StringType())])
 # Quotes are doubled and blanks kept. Empty text is written as `""` and null as nothing; the reader's
 # mark for null must then be no text that occurs.
@@ -162,6 +162,26 @@ def parse_request_bodies(df: DataFrame, body: str = "body") -> DataFrame:
     return _with_raw(df.select(*rest, parsed.alias("_request")).select(*rest, "_request.*"))
 
 
+def parse_request_variants(df: DataFrame, body: str = "body") -> DataFrame:
+    """Request bodies of any shape -> raw request fields and `extra`, the unknown fields as variants.
+
+    A field of a wrong type (an object, say) keeps its JSON text, which the validation refuses;
+    a JSON null is a missing field. A number's text is that of its value: `1.50` gives `1.5`.
+    A body that is no JSON object, or that has a field twice, is kept in `raw`; its fields and
+    `extra` are null, and for a null body `raw` is too.
+    """
+    rest = [name for name in df.columns if name != body]
+    whole = df.withColumn("_fields", F.try_variant_get(F.try_parse_json(body), "$", "map<string,variant>"))
+    known = list(schemas.REQUEST_FIELDS)
+    texts = [F.try_variant_get(F.col("_fields")[name], "$", "string").alias(name) for name in known]
+    return whole.select(
+        *rest,
+        *texts,
+        F.when(F.col("_fields").isNull(), F.col(body)).alias(RAW),
+        F.map_filter("_fields", lambda name, _: ~name.isin(known)).alias(EXTRA),
+    )
+
+
 def rows_to_frame(spark: SparkSession, rows: Sequence[dict], schema: T.StructType) -> DataFrame:
     """A few rows given as dictionaries; a missing key becomes null."""
     return spark.createDataFrame([tuple(row.get(name) for name in schema.names) for row in rows], schema)

@@ -3,7 +3,7 @@
 Importing the modules registers their queries.
 """
 
-from ridecast_queries import boosting, models, preparation, profiling, scoring, tables
+from ridecast_queries import boosting, increments, models, preparation, profiling, scoring, tables
 from ridecast_queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "boosting", "models", "preparation", "profiling", "scoring", "tables"]
+__all__ = ["ORACLES", "QUERIES", "boosting", "increments", "models", "preparation", "profiling", "scoring", "tables"]

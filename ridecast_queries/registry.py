@@ -145,13 +145,15 @@ def fp(expression: str, name: str | None = None) -> str:
     return f'{text} AS "{name}"' if name else text
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query; without SQL only its rows can be checked."""
+def query(name: str, sql: str | None = None, like: str | None = None) -> Callable[[Query], Query]:
+    """Register a query with its SQL or that of another query (`like`); without, only its rows can be checked."""
 
     def register(function: Query) -> Query:
         QUERIES[name] = function
         if sql is not None:
             ORACLES[name] = with_views(sql)
+        elif like is not None:
+            ORACLES[name] = ORACLES[like]
         return function
 
     return register
