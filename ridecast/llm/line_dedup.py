@@ -71,6 +71,8 @@ def _emitted(lines: DataFrame) -> DataFrame:
 
     A sequence's hash is the sum of its words' hashes with their places, in two halves of
     32 bits, so a deletion changes the sum by what running sums know."""
+    # Whole lines are shuffled, and the windows below take their words where they are.
+    lines = lines.repartition("line")
     words = lines.select("line", F.size("words").alias("size"), F.posexplode("words").alias("at", "word"))
     here, before = F.xxhash64("word", F.col("at")), F.xxhash64("word", F.col("at") - 1)
     parts = {"h1": F.shiftrightunsigned(here, 32), "h2": here.bitwiseAND(F.lit(0xFFFFFFFF)),
