@@ -112,12 +112,44 @@ def _maybe(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(row), set_bit, "left_semi").drop("_word", "_bit")
 
 
-def _earlier(rows: DataFrame, key: str, targets: DataFrame) -> DataFrame:
-    """(line, match): rows joined by key with the earliest target of the key, if it is earlier."""
-    least = targets.groupBy(F.col("key").alias("_key")).agg(F.min("line").alias("match"))
+def _earlier(rows: DataFrame, key: str, least: DataFrame) -> DataFrame:
+    """(line, match): rows joined by key with the earliest line of the key, if it is earlier."""
+    least = least.select(F.col(key).alias("_key"), "match")
     return rows.join(least, F.col(key) == F.col("_key")).where(F.col("match") < F.col("line")).select("line", "match")
 
 
+def _pairs(keys: DataFrame) -> DataFrame:
+    """(line, match): lines with the earliest line before them that has an equal key.
+
+    Keys are grouped first. Most groups with a pair have no third line, and give it at once;
+    the rows of larger groups alone are joined with the earliest line.
+    """
+    holes = keys.select("hole", "line")
+    of_hole = holes.groupBy("hole").agg(F.min("line").alias("match"), F.max("line").alias("last"), F.count(F.lit(1)).alias("n"))
+    of_hole = written(of_hole.where("match < last"), "shared-holes")
+    rests = keys.select(F.col("rest").alias("key"), "line")
+    wholes = keys.where("whole IS NOT NULL").select(F.col("whole").alias("key"), "line")
+    null = F.lit(None).cast("bigint")
+    both = wholes.select("key", F.col("line").alias("whole"), null.alias("rest"))
+    both = both.unionByName(rests.select("key", null.alias("whole"), F.col("line").alias("rest"))).groupBy("key")
+    both = both.agg(*[f(c).alias(f"{n}_{c}") for c in ("whole", "rest") for n, f in (("first", F.min), ("last", F.max))])
+    both = written(both.where("first_whole IS NOT NULL AND first_rest IS NOT NULL"), "shared-sequences")
+
+    def matched(line: str, match: str, rows: DataFrame) -> DataFrame:
+        one = both.where(F.col(f"first_{line}") == F.col(f"last_{line}"))
+        one = one.where(F.col(f"first_{match}") < F.col(f"first_{line}"))
+        more = both.where(F.col(f"first_{line}") < F.col(f"last_{line}")).withColumn("match", F.col(f"first_{match}"))
+        return one.select(F.col(f"first_{line}").alias("line"), F.col(f"first_{match}").alias("match")).unionByName(_earlier(rows, "key", more))
+
+    return (
+        of_hole.where("n = 2").select(F.col("last").alias("line"), "match")
+        .unionByName(_earlier(holes, "hole", of_hole.where("n > 2")))
+        .unionByName(matched("rest", "whole", rests))
+        .unionByName(matched("whole", "rest", wholes))
+        .distinct()
+    )
+
+
 def _distance(a: Column, b: Column) -> Column:
     """0 or 1 edits between two arrays of words, or 2 for more."""
     longer, shorter = F.when(F.size(a) >= F.size(b), a).otherwise(b), F.when(F.size(a) >= F.size(b), b).otherwise(a)
@@ -175,13 +207,7 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # Numbers in the order of the lines stand for their places from here on.
     ordered = written(candidates.orderBy("first").withColumn("line", F.monotonically_increasing_id()), "ordered-lines")
     keys = written(_emitted(ordered), "line-keys")
-    wholes = keys.where("whole IS NOT NULL").select("line", F.col("whole").alias("key"))
-    pairs = (
-        _earlier(keys, "hole", keys.select("line", F.col("hole").alias("key")))
-        .unionByName(_earlier(keys, "rest", wholes))
-        .unionByName(_earlier(wholes, "key", keys.select("line", F.col("rest").alias("key"))))
-        .distinct()
-    )
+    pairs = _pairs(keys)
     own = ordered.select(F.col("line").alias("_line"), "first", F.col("words").alias("own"))
     other = ordered.select(F.col("line").alias("_other"), F.col("first").alias("match_first"), "words")
     checked = (
