@@ -14,7 +14,7 @@ the shares) go to the tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -72,18 +72,21 @@ def subwords(data: np.ndarray, offsets: np.ndarray, bits: int = ROWS_BITS) -> It
         yield (value >> np.uint32(32 - bits)).astype(np.int32), place
 
 
+#: Bytes of texts that are scored at once; a subword takes some 50 bytes meanwhile.
+CHUNK_BYTES = 256 << 10
 #: How far a short text's mean may lie below the bound: deviations of its mean, and the subwords a byte is in.
 DEVIATIONS, OVERLAP = 3.0, 3
 
 
-def _sums(table: np.ndarray, data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the sum of its subwords' table rows, and their number."""
-    n = len(offsets) - 1
-    total, count = np.zeros((n, table.shape[1])), np.zeros(n)
+def _sums(tables: Sequence[np.ndarray], data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the sum of its subwords' rows of the tables, side by side, and their number."""
+    n, columns = len(offsets) - 1, [table[:, k] for table in tables for k in range(table.shape[1])]
+    total, count = np.zeros((n, len(columns))), np.zeros(n)
     for rows, place in subwords(data, offsets, bits):
         edges = np.searchsorted(place, offsets)
-        for k in range(table.shape[1]):
-            running = np.concatenate([[0.0], np.cumsum(table[:, k][rows], dtype=np.float64)])
+        running = np.zeros(len(rows) + 1)
+        for k, column in enumerate(columns):
+            np.cumsum(column[rows], dtype=np.float64, out=running[1:])
             total[:, k] += running[edges[1:]] - running[edges[:-1]]
         count += np.diff(edges)
     return total, count
@@ -104,7 +107,7 @@ class LanguageModel:
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text its logits and its familiarity, by language, and its number of subwords."""
-        total, count = _sums(np.hstack([self.table, self.familiar]), data, offsets, self.bits)
+        total, count = _sums([self.table, self.familiar], data, offsets, self.bits)
         means = total / np.maximum(count, 1)[:, None]
         return means[:, : len(self.languages)] + self.bias, means[:, len(self.languages) :], count
 
@@ -261,7 +264,7 @@ def predict(
             column = pc.if_else(lettered, pc.utf8_lower(plain.column(place)), None)
             names, chances, strange = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
             if model is not None and known.any():
-                for first, end, data, offsets in text_chunks(column):
+                for first, end, data, offsets in text_chunks(column, CHUNK_BYTES):
                     logits, familiar, count = model.logits(data, offsets)
                     p = _softmax(logits / model.temperature)
                     best = p.argmax(1)
