@@ -70,9 +70,8 @@ def _emitted(lines: DataFrame) -> DataFrame:
     and `rest`, the sequence without it; and `whole`, the sequence itself, once a line.
 
     A sequence's hash is the sum of its words' hashes with their places, in two halves of
-    32 bits, so a deletion changes the sum by what running sums know."""
-    # Whole lines are shuffled, and the windows below take their words where they are.
-    lines = lines.repartition("line")
+    32 bits, so a deletion changes the sum by what running sums know. Where `lines` are dealt by
+    `line` already, the windows take their words where they are."""
     words = lines.select("line", F.size("words").alias("size"), F.posexplode("words").alias("at", "word"))
     here, before = F.xxhash64("word", F.col("at")), F.xxhash64("word", F.col("at") - 1)
     parts = {"h1": F.shiftrightunsigned(here, 32), "h2": here.bitwiseAND(F.lit(0xFFFFFFFF)),
@@ -194,22 +193,23 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     halves = distinct.select("first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("half").alias("_half"))
     wanted = halves.join(shared, F.col("half") == F.col("_half"), "left_semi").select("first").distinct()
-    wanted = wanted.select(*[F.col(f"first.{c}").alias(f"_{c}") for c in ("doc_id", "doc_hash", "line_no")])
+    # Numbers in the order of the lines stand for their places; only places are sorted, not texts.
+    number = F.monotonically_increasing_id().alias("number")
+    fields = ("doc_id", "doc_hash", "line_no")
+    wanted = written(wanted.orderBy("first").select(number, *[F.col(f"first.{c}").alias(f"_{c}") for c in fields]), "wanted-lines")
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("doc_hash") == F.col("_doc_hash")) & (F.col("line_no") == F.col("_line_no"))
-    wanted = written(wanted, "wanted-lines")
     candidates = written(
         _maybe(lines, wanted)
-        .join(wanted, same, "left_semi")
-        .select(place.alias("first"), F.split(_canonical(line), " ").alias("words"))
-        .dropDuplicates(["first"]),
+        .join(wanted, same)
+        .select(F.col("number").alias("line"), place.alias("first"), F.split(_canonical(line), " ").alias("words")),
         "candidate-lines",
     )
-    # Numbers in the order of the lines stand for their places from here on.
-    ordered = written(candidates.orderBy("first").withColumn("line", F.monotonically_increasing_id()), "ordered-lines")
-    keys = written(_emitted(ordered), "line-keys")
+    # Rows repeated whole give a line once; the lines are dealt by number, as the windows and joins below want them.
+    texts = candidates.dropDuplicates(["line"])
+    keys = written(_emitted(texts), "line-keys")
     pairs = _pairs(keys)
-    own = ordered.select(F.col("line").alias("_line"), "first", F.col("words").alias("own"))
-    other = ordered.select(F.col("line").alias("_other"), F.col("first").alias("match_first"), "words")
+    own = texts.select(F.col("line").alias("_line"), "first", F.col("words").alias("own"))
+    other = texts.select(F.col("line").alias("_other"), F.col("first").alias("match_first"), "words")
     checked = (
         pairs.join(own, F.col("line") == F.col("_line"))
         .join(other, F.col("match") == F.col("_other"))
