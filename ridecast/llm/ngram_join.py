@@ -185,16 +185,16 @@ class IdFilter:
 
 
 def _sketched(
-    docs: DataFrame, words: int, num: int, den: int, with_keys: bool, ids: IdFilter | None = None, known: bool = True
+    docs: DataFrame, words: int, num: int, den: int, with_keys: bool, ids: IdFilter | None = None
 ) -> DataFrame:
     """(doc_id, n_shingles, f1, f2) of rows, with the candidate keys if asked for.
 
-    With a filter, of those rows alone whose ids it knows, or does not know.
+    With a filter, of those rows alone whose ids it knows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
-        for batch in ids.select(batches, known) if ids else batches:
+        for batch in ids.select(batches, True) if ids else batches:
             for first, end, data, offsets in text_chunks(batch.column(1)):
                 n = end - first
                 runs, of = sets_of(data, offsets, words)
@@ -297,27 +297,52 @@ def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.groupBy("kind", "task", "low", "high").applyInPandas(run, "a long, b long")
 
 
-def _combined(rows: DataFrame) -> DataFrame:
-    """(linked, key, rep) of rows (rep, keys): each key once a batch, with the batch's least set that has it.
+def _once_a_batch(key: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+    """(linked, key, rep): each key once, with the least set of the batch that has it.
 
     The batch's other sets of that key are linked with that set at once: their `key` is its number. So a key
     that a third of all sets have is met once a batch in the shuffle, not once a set.
     """
+    order = np.lexsort((rep, key))
+    key, rep = key[order], rep[order]
+    first = np.append(True, key[1:] != key[:-1])[: len(key)]
+    least = rep[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    fresh = first | (rep != least)
+    columns = [pa.array(~first[fresh]), pa.array(np.where(first, key, least)[fresh]), pa.array(rep[fresh])]
+    return pa.RecordBatch.from_arrays(columns, COMBINED)
+
+
+COMBINED = ["linked", "key", "rep"]
+COMBINED_TYPES = "linked boolean, key long, rep long"
+
+
+def _combined(rows: DataFrame) -> DataFrame:
+    """(linked, key, rep) of rows (rep, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            key = np.asarray(lists.flatten())
-            rep = np.repeat(np.asarray(batch.column(0)), np.asarray(lists.value_lengths()))
-            order = np.lexsort((rep, key))
-            key, rep = key[order], rep[order]
-            first = np.append(True, key[1:] != key[:-1])[: len(key)]
-            least = rep[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            fresh = first | (rep != least)
-            columns = [pa.array(~first[fresh]), pa.array(np.where(first, key, least)[fresh]), pa.array(rep[fresh])]
-            yield pa.RecordBatch.from_arrays(columns, ["linked", "key", "rep"])
+            yield _once_a_batch(np.asarray(lists.flatten()), np.repeat(np.asarray(batch.column(0)), np.asarray(lists.value_lengths())))
+
+    return rows.select("rep", "keys").mapInArrow(run, COMBINED_TYPES)
+
+
+def _combined_single(docs: DataFrame, words: int, num: int, den: int, ids: IdFilter) -> DataFrame:
+    """(linked, key, rep) of the rows (doc_id, text) whose ids the filter does not know, in one step of one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for batch in ids.select(batches, False):
+            reps, keys, of_keys = np.asarray(batch.column(0)), [], []
+            for first, end, data, offsets in text_chunks(batch.column(1)):
+                runs, of = sets_of(data, offsets, words)
+                own = keys_of(runs, of, end - first, bands)
+                keys += own
+                of_keys.append(np.repeat(reps[first:end], [len(k) for k in own]))
+            if keys:
+                yield _once_a_batch(np.concatenate(keys).view(np.int64), np.concatenate(of_keys))
 
-    return rows.select("rep", "keys").mapInArrow(run, "linked boolean, key long, rep long")
+    return IdFilter.marked(docs).mapInArrow(run, COMBINED_TYPES)
 
 
 def join_documents(
@@ -342,9 +367,9 @@ def join_documents(
     copies = marks.join(repeated, of_class, "left_semi").select(F.col("doc_id").alias("node")).where("node IS NOT NULL")
     # Keys of sets that other documents have as well meet by set first; the rest go straight on.
     ids = IdFilter(copies)
-    maybe, single = (_sketched(known, words, num, den, True, ids, flag).where("n_shingles > 0") for flag in (True, False))
+    maybe = _sketched(known, words, num, den, True, ids).where("n_shingles > 0")
     classes = maybe.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).select("rep", "keys")
-    keyed = _combined(classes.unionByName(single.select(F.col("doc_id").alias("rep"), "keys")))
+    keyed = _combined(classes).unionByName(_combined_single(known, words, num, den, ids))
     least = F.when(F.col("linked"), F.col("key")).otherwise(F.min("rep").over(W.partitionBy("linked", "key").orderBy("rep")))
     stars = keyed.withColumn("least", least).where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b"))
     candidates = _regrouped(known, components(stars, "candidates"), words, num, den)

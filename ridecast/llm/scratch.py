@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import re
 import zipfile
@@ -67,6 +68,13 @@ def held_out_remainder(doc_id: Column, modulus: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
+def give_back_memory() -> None:
+    """Return what a worker no longer uses to the system: workers live on between tasks, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc alone has it
+        trim(0)
+
+
 def text_chunks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow text column into runs of rows of about `most_bytes` bytes.
 
@@ -90,4 +98,4 @@ def text_chunks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[i
         end = min(end, n)
         yield first, end, flat[ends[first] : ends[end]], ends[first : end + 1] - ends[first]
         first = end
-    pa.default_memory_pool().release_unused()
+    give_back_memory()
