@@ -3,31 +3,20 @@
 from __future__ import annotations
 
 import ctypes
-import io
 import re
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import ridecast
-from ridecast.session import materialise, new_shared_path
+from ridecast.session import materialise, ship_package
 
-_shipped: set[str] = set()
 ROWS_SETTING, ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 BYTES_SETTING, BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
 
 
-def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of an address, or of a plain path."""
-    return fs.FileSystem.from_uri(uri) if uri.startswith("file:") or "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, once an application, so that they need no copy of their own.
 
@@ -38,20 +27,7 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(BYTES_SETTING, BYTES_PER_BATCH)
     if spark.conf.get(ROWS_SETTING) == "10000":  # Spark's default
         spark.conf.set(ROWS_SETTING, ROWS_PER_BATCH)
-    application = spark.sparkContext.applicationId
-    if application in _shipped:
-        return
-    data, root = io.BytesIO(), Path(ridecast.__file__).parent
-    with zipfile.ZipFile(data, "w") as archive:
-        for file in sorted(root.rglob("*.py")):
-            archive.write(file, str(file.relative_to(root.parent)))
-    address = f"{new_shared_path(spark, 'code')}.zip"
-    system, path = file_system(address)
-    system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(path) as out:
-        out.write(data.getvalue())
-    spark.sparkContext.addPyFile(address)
-    _shipped.add(application)
+    ship_package(spark)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

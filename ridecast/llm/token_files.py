@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridecast.llm.scratch import file_system, written
+from ridecast.llm.scratch import written
 from ridecast.llm.token_ids import encoder
-from ridecast.session import new_shared_path
+from ridecast.session import file_system, new_shared_path
 
 MAGIC = b"RIDEIDS1"
 BLOCK = 4096

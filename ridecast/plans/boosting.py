@@ -1,10 +1,11 @@
 """Boosted trees with second-order gains over binned features.
 
-Training rows are binned once by exact quantiles of each feature and written with their margin (the
-prediction so far). A level of a tree is one job: rows walk the tree so far, and sums of
-gradients and numbers of rows by node, feature and bin are aggregated, first within the tasks. That
-histogram is bounded by nodes x features x bins whatever the table, and the driver chooses the splits
-from it. After each tree the margins are written anew.
+Training rows are binned once by exact quantiles of each feature and written in blocks of `BLOCK_ROWS`
+rows: their bins, labels, draws and margins (the prediction so far) as arrays. A level of a tree is
+one job: the rows of a block walk the tree so far, and sums of gradients and numbers of rows by node,
+feature and bin are added up, first within the tasks, then by Spark. That histogram is bounded by
+nodes x features x bins whatever the table, and the driver chooses the splits from it. After each tree
+the margins are written anew.
 
 Labels, margins and leaf values are whole numbers of `1 / UNIT`. Sums of gradients are sums of
 integers, so a fit gives the same trees after any repartitioning, retry or order of the rows.
@@ -21,13 +22,14 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridecast.operators.ranks import value_counts_of, values_at_ranks
 from ridecast.plans.training import SEED, BoostParams
 from ridecast.schemas import FEATURES, TARGET
-from ridecast.session import forget, materialise
+from ridecast.session import forget, materialise, ship_package
 
 UNIT = 1 << 16
 MAX_BINS = 256
@@ -36,6 +38,10 @@ REG_LAMBDA = 1.0
 LEAST_GAIN = 1e-6
 #: Ranks of a leaf's median under the absolute loss are exact to this share of its rows.
 MEDIAN_ACCURACY = 10_000
+#: Rows of a block.
+BLOCK_ROWS = 1 << 16
+#: Cells of a histogram that one task adds up.
+CELLS_PER_TASK = 1 << 15
 
 NODE_DDL = "tree INT, node INT, feature STRING, threshold DOUBLE, nulls_left BOOLEAN, child INT, value DOUBLE, rows BIGINT"
 
@@ -59,32 +65,32 @@ class Tree:
         return left, left + 1
 
 
-def _numbers(values: Sequence, kind: str) -> Column:
-    """A constant array, folded once by the optimiser."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+def _bins(values: np.ndarray, known: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A value's bin is the number of cuts below it; -1 is null. NaN is above every number, as in Spark."""
+    return np.where(known, np.searchsorted(cuts, values, "left"), -1).astype(np.int32)
 
 
-def _walk(root: Column, steps: int, go: Sequence[Column], right: Callable[[Column], Column]) -> Column:
-    """The node that a row reaches from `root` in `steps` levels; `go` has the children."""
-    if not steps:
-        return root
+def _columns(arrays: Sequence[pa.Array], cuts: Sequence[Sequence[float]]) -> np.ndarray:
+    """The bins (features x rows) of columns of doubles."""
+    values = [(np.asarray(a.fill_null(0.0)), np.asarray(a.is_valid())) for a in arrays]
+    return np.stack([_bins(x, known, np.array(c, float)) for (x, known), c in zip(values, cuts, strict=True)])
 
-    def down(node: Column, _: Column) -> Column:
-        left = F.get(go, node)
-        return F.when(left < 0, node).otherwise(left + F.when(right(node), 1).otherwise(0))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), root, down)
-
-
-def _walk_bins(tree: Tree, steps: int) -> Column:
-    """The node of a binned row (column bins; -1 is null)."""
-    feature, cut, left = _numbers(tree.feature, "int"), _numbers(tree.cut, "int"), _numbers([int(x) for x in tree.nulls_left], "int")
-
-    def right(node: Column) -> Column:
-        here = F.get(F.col("bins"), F.get(feature, node))
-        return F.when(here < 0, F.get(left, node) == 0).otherwise(here > F.get(cut, node))
-
-    return _walk(F.lit(0), steps, _numbers(tree.child, "int"), right)
+def _reached(tree: Tree, steps: int, bins: np.ndarray) -> np.ndarray:
+    """The node that each row (a column of `bins`) reaches from the root in `steps` levels."""
+    feature, cut, child = (np.array(x, np.int32) for x in (tree.feature, tree.cut, tree.child))
+    nulls_right = ~np.array(tree.nulls_left, bool)
+    rows = bins.shape[1]
+    node, flat, at = np.zeros(rows, np.int32), bins.ravel(), np.arange(rows)
+    missing = bool((bins < 0).any())
+    for _ in range(steps):
+        left = child[node]
+        here = flat[feature[node] * rows + at]
+        right = here > cut[node]
+        if missing:
+            right = np.where(here < 0, nulls_right[node], right)
+        node = np.where(left < 0, node, left + right)
+    return node
 
 
 @dataclass
@@ -97,43 +103,29 @@ class BoostedModel:
     params: BoostParams
     trees: list[Tree] = field(default_factory=list)
 
-    def _tree_values(self) -> Column:
-        """The value of each tree for a row, in whole units."""
-        starts, flat = [], Tree([], [], [], [], [], [])
-        thresholds: list[float] = []
-        for tree in self.trees:
-            shift = len(flat.child)
-            starts.append(shift)
-            flat.child += [c + shift if c >= 0 else -1 for c in tree.child]
-            flat.feature += tree.feature
-            flat.nulls_left += tree.nulls_left
-            flat.value += tree.value
-            thresholds += [self.cuts[f][c] if k >= 0 else 0.0 for f, c, k in zip(tree.feature, tree.cut, tree.child, strict=True)]
-        feature, threshold = _numbers(flat.feature, "int"), _numbers(thresholds, "double")
-        left, value = _numbers([int(x) for x in flat.nulls_left], "int"), _numbers(flat.value, "bigint")
-        child = _numbers(flat.child, "int")
-        x = F.array(*[F.col(c).cast("double") for c in self.features])
-
-        def right(node: Column) -> Column:
-            here = F.get(F.col("_x"), F.get(feature, node))
-            return F.when(here.isNull(), F.get(left, node) == 0).otherwise(here > F.get(threshold, node))
-
-        depth = self.params.max_depth
-        self._inputs = x
-        return F.transform(_numbers(starts, "int"), lambda root: F.get(value, _walk(root, depth, child, right)))
-
     def staged(self, df: DataFrame, counts: Sequence[int], columns: Sequence[str]) -> DataFrame:
         """Predictions of the first trees, for several numbers of them, from one walk down each tree."""
         if not self.trees:
             return df.withColumns({c: F.lit(self.base / UNIT) for c in columns})
-        values = self._tree_values()
-        walked = df.withColumn("_x", self._inputs).withColumn("_values", values)
-
-        def total(n: int) -> Column:
-            units = F.aggregate(F.slice("_values", 1, n), F.lit(self.base).cast("bigint"), lambda a, v: a + v)
-            return units / F.lit(float(UNIT))
-
-        return walked.withColumns({c: total(n) for n, c in zip(counts, columns, strict=True)}).drop("_x", "_values")
+        ship_package(df.sparkSession)
+        model, wanted = self, [min(n, len(self.trees)) for n in counts]
+
+        @F.arrow_udf("array<double>")
+        def walked(*features: pa.Array) -> pa.Array:
+            bins = _columns(features, model.cuts)
+            total, out = np.full(bins.shape[1], model.base, np.int64), np.empty((bins.shape[1], len(wanted)))
+            for i in range(len(model.trees) + 1):
+                for k, n in enumerate(wanted):
+                    if n == i:
+                        out[:, k] = total / float(UNIT)
+                if i < max(wanted):
+                    tree = model.trees[i]
+                    total += np.array(tree.value, np.int64)[_reached(tree, model.params.max_depth, bins)]
+            ends = np.arange(0, out.size + 1, len(wanted), dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
+
+        stages = df.withColumn("_stages", walked(*[F.col(c).cast("double") for c in self.features]))
+        return stages.withColumns({c: F.get("_stages", F.lit(k)) for k, c in enumerate(columns)}).drop("_stages")
 
     def predict(self, df: DataFrame, column: str = "prediction") -> DataFrame:
         """`df` with the prediction; a null feature follows each split's side for nulls."""
@@ -191,36 +183,126 @@ def cut_points(df: DataFrame, features: Sequence[str], max_bins: int = MAX_BINS)
     cuts: list[list[float]] = [[] for _ in features]
     for feature, value in found.select("feature", "value").distinct().collect():  # at most features x bins
         cuts[feature].append(float(value))
-    return [sorted(c) for c in cuts]
+    return [np.sort(np.array(c, float)).tolist() for c in cuts]
 
 
-def _binned(df: DataFrame, features: Sequence[str], cuts: list[list[float]], target: str, key: str) -> DataFrame:
-    """(key, bins, y): a value's bin is the number of cuts below it."""
+BLOCK_DDL = "rows INT, bins BINARY, y BINARY, drawn BINARY, margin BINARY"
 
-    def bin_of(name: str, cut: list[float]) -> Column:
-        value = F.col(name).cast("double")
-        below = F.size(F.filter(_numbers(cut, "double"), lambda c: c < value)) if cut else F.lit(0)
-        return F.when(value.isNull(), -1).otherwise(below).cast("int")
 
-    units = F.floor(F.col(target) * UNIT + F.lit(0.5)).cast("bigint")
-    return df.where(F.col(target).isNotNull()).select(
-        F.col(key).alias("key"), F.array(*[bin_of(n, c) for n, c in zip(features, cuts, strict=True)]).alias("bins"), units.alias("y")
-    )
+@dataclass
+class Block:
+    """Rows side by side: bins (features x rows), labels, the trees that drew a row (a bit each) and margins."""
 
+    bins: np.ndarray
+    y: np.ndarray
+    drawn: np.ndarray
+    margin: np.ndarray
 
-def _histogram(rows: DataFrame, tree: Tree, depth: int, open_nodes: list[int], bins: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Iterator[Block]:
+        for rows, bins, y, drawn, margin in zip(*(c.to_pylist() if i == 0 else c for i, c in enumerate(batch.columns)), strict=True):
+            yield cls(
+                np.frombuffer(bins.as_buffer(), np.int32).reshape(-1, rows), np.frombuffer(y.as_buffer(), np.int64),
+                np.frombuffer(drawn.as_buffer(), np.uint8).reshape(rows, -1), np.frombuffer(margin.as_buffer(), np.int64),
+            )
+
+    def seen_by(self, number: int) -> Block:
+        """The rows that a tree sees."""
+        if not self.drawn.shape[1]:
+            return self
+        some = (self.drawn[:, number >> 3] >> (7 - (number & 7))) & 1 == 1
+        return Block(self.bins[:, some], self.y[some], self.drawn[some], self.margin[some])
+
+    def gradient(self, loss: str) -> np.ndarray:
+        residual = self.margin - self.y
+        return residual if loss == "squared" else np.sign(residual) * UNIT
+
+    def batch(self) -> pa.RecordBatch:
+        parts = (self.bins, self.y, self.drawn, self.margin)
+        columns = [pa.array([len(self.y)], pa.int32()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts]]
+        return pa.RecordBatch.from_arrays(columns, ["rows", "bins", "y", "drawn", "margin"])
+
+
+def _blocks(df: DataFrame, features: Sequence[str], cuts: list[list[float]], target: str, key: str, params: BoostParams, seed: int) -> DataFrame:
+    """The labelled rows in blocks, with margins of zero."""
+    units = F.floor(F.col(target) * UNIT + F.lit(0.5)).cast("bigint")
+    trees = F.sequence(F.lit(0), F.lit(params.n_estimators - 1)) if params.subsample < 1 and params.n_estimators else F.array().cast("array<int>")
+
+    def draws(number: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), number, "_key"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < params.subsample
+
+    columns = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)]
+    rows = df.where(F.col(target).isNotNull()).select(*columns, units.alias("_y"), F.col(key).alias("_key"))
+    rows = rows.withColumn("_drawn", F.transform(trees, draws)).drop("_key")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Block] = []
+        for batch in batches:
+            n, y, drawn = batch.num_rows, np.asarray(batch.column(len(cuts))), batch.column(len(cuts) + 1)
+            if n:
+                bits = np.packbits(np.asarray(drawn.flatten().cast(pa.uint8())).reshape(n, -1), axis=1)
+                held.append(Block(_columns(batch.columns[: len(cuts)], cuts), y, bits, np.zeros(n, np.int64)))
+            if sum(len(b.y) for b in held) >= BLOCK_ROWS:
+                yield _joined(held).batch()
+                held = []
+        if held:
+            yield _joined(held).batch()
+
+    return rows.mapInArrow(packed, BLOCK_DDL)
+
+
+def _joined(blocks: list[Block]) -> Block:
+    bins = np.concatenate([b.bins for b in blocks], axis=1)
+    return Block(bins, *[np.concatenate([getattr(b, name) for b in blocks]) for name in ("y", "drawn", "margin")])
+
+
+def _summed(blocks: DataFrame, cells: int, counted: Callable[[Block], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of numbers and numbers of rows by cell; `counted` gives the cells and numbers of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, number = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+        for batch in batches:
+            for block in Block.of(batch):
+                cell, value = counted(block)
+                # Sums of whole numbers, exact as doubles within a block.
+                total += np.bincount(cell, value, cells).astype(np.int64)
+                number += np.bincount(cell, minlength=cells)
+        some = np.flatnonzero(number)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some]), pa.array(number[some])], ["cell", "g", "n"])
+
+    # Tasks give a cell once, so the sums need few partitions, by the number of cells alone.
+    parts = blocks.mapInArrow(run, "cell BIGINT, g BIGINT, n BIGINT").repartition(1 + cells // CELLS_PER_TASK, "cell")
+    found = parts.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).toArrow()
+    total, number = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    at = np.asarray(found["cell"])
+    total[at], number[at] = np.asarray(found["g"]), np.asarray(found["n"])
+    return total, number
+
+
+def _histogram(blocks: DataFrame, tree: Tree, number: int, depth: int, open_nodes: list[int], bins: list[int], loss: str) -> tuple[np.ndarray, np.ndarray]:
     """Sums of gradients and numbers of rows by open node, feature and bin (the first one: nulls)."""
-    place = [-1] * len(tree.child)
-    for i, node in enumerate(open_nodes):
-        place[node] = i
-    at = rows.select(F.get(_numbers(place, "int"), _walk_bins(tree, depth)).alias("place"), "g", "bins").where("place >= 0")
-    cells = at.select("place", "g", F.posexplode("bins").alias("feature", "bin")).groupBy("place", "feature", "bin")
-    found = cells.agg(F.sum("g").alias("g"), F.count(F.lit(1)).alias("n")).toArrow()
-    gradient = np.zeros((len(open_nodes), len(bins), max(bins) + 1), np.int64)
-    number = np.zeros_like(gradient)
-    where = tuple(np.asarray(found[c]) for c in ("place", "feature")) + (np.asarray(found["bin"]) + 1,)
-    gradient[where], number[where] = np.asarray(found["g"]), np.asarray(found["n"])
-    return gradient, number
+    place = np.full(len(tree.child), -1)
+    place[open_nodes] = np.arange(len(open_nodes))
+    width = max(bins) + 1
+    # One row of cells a node; a feature takes only as many as it has bins.
+    first = np.concatenate([[0], np.cumsum([b + 1 for b in bins])])
+
+    def counted(block: Block) -> tuple[np.ndarray, np.ndarray]:
+        block = block.seen_by(number)
+        at, g, own = place[_reached(tree, depth, block.bins)], block.gradient(loss), block.bins
+        if depth:
+            some = at >= 0
+            at, g, own = at[some], g[some], own[:, some]
+        return (at * first[-1] + 1 + first[:-1, None] + own).ravel(), np.tile(g.astype(float), len(bins))
+
+    sums = _summed(blocks, len(open_nodes) * int(first[-1]), counted)
+    out = []
+    for cells in sums:
+        cells, full = cells.reshape(len(open_nodes), -1), np.zeros((len(open_nodes), len(bins), width), np.int64)
+        for feature in range(len(bins)):
+            full[:, feature, : bins[feature] + 1] = cells[:, first[feature] : first[feature + 1]]
+        out.append(full)
+    return out[0], out[1]
 
 
 def best_splits(
@@ -258,16 +340,16 @@ def best_splits(
         yield choice
 
 
-def _grow(rows: DataFrame, cuts: list[int], params: BoostParams, reg_lambda: float) -> Tree:
-    """One tree on rows (bins, g); leaf values are Newton steps."""
+def _grow(blocks: DataFrame, number: int, cuts: list[int], params: BoostParams, reg_lambda: float) -> Tree:
+    """The tree `number` on its rows; leaf values are Newton steps."""
     tree = Tree()
     open_nodes, sums = [0], {}
     for depth in range(params.max_depth):
-        gradient, number = _histogram(rows, tree, depth, open_nodes, [c + 1 for c in cuts])
+        gradient, rows = _histogram(blocks, tree, number, depth, open_nodes, [c + 1 for c in cuts], params.loss)
         if not depth:
-            sums[0] = (int(gradient[0, 0].sum()), int(number[0, 0].sum()))
+            sums[0] = (int(gradient[0, 0].sum()), int(rows[0, 0].sum()))
         below = []
-        for node, choice in zip(open_nodes, best_splits(gradient, number, cuts, params, reg_lambda), strict=True):
+        for node, choice in zip(open_nodes, best_splits(gradient, rows, cuts, params, reg_lambda), strict=True):
             if choice is not None:
                 feature, cut, nulls_left, *sides = choice
                 children = tree.split(node, feature, cut, nulls_left)
@@ -282,14 +364,32 @@ def _grow(rows: DataFrame, cuts: list[int], params: BoostParams, reg_lambda: flo
     return tree
 
 
-def _medians(rows: DataFrame, tree: Tree, params: BoostParams) -> None:
+def _medians(blocks: DataFrame, tree: Tree, number: int, params: BoostParams) -> None:
     """Leaf values under the absolute loss: the shrunk median of what is left in each leaf."""
-    median = F.percentile_approx(F.col("y") - F.col("margin"), 0.5, MEDIAN_ACCURACY)
-    leaf = _walk_bins(tree, params.max_depth)
-    for node, value in rows.select(leaf.alias("leaf"), "y", "margin").groupBy("leaf").agg(median).collect():  # one row a leaf
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in Block.of(batch):
+                block = block.seen_by(number)
+                leaf = _reached(tree, params.max_depth, block.bins)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(block.y - block.margin)], ["leaf", "left"])
+
+    median = F.percentile_approx("left", 0.5, MEDIAN_ACCURACY)
+    for node, value in blocks.mapInArrow(left, "leaf INT, left BIGINT").groupBy("leaf").agg(median).collect():  # one row a leaf
         tree.value[node] = int(np.floor(value * params.learning_rate + 0.5))
 
 
+def _moved(blocks: DataFrame, by: Callable[[Block], np.ndarray]) -> DataFrame:
+    """The blocks with margins moved by whole units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in Block.of(batch):
+                yield replace(block, margin=block.margin + by(block)).batch()
+
+    return blocks.mapInArrow(run, BLOCK_DDL)
+
+
 def fit(
     train: DataFrame, params: BoostParams, features: Sequence[str] = FEATURES, target: str = TARGET, key: str = "seq_id",
     seed: int = SEED, max_bins: int = MAX_BINS, reg_lambda: float = REG_LAMBDA,
@@ -301,31 +401,25 @@ def fit(
     Without a labelled row there is nothing to fit and a ValueError is raised.
     """
     spark = train.sparkSession
-    cuts = cut_points(train.where(F.col(target).isNotNull()), features, max_bins)
-    binned = materialise(_binned(train, features, cuts, target, key), "binned-rows")
-    total, rows, base = binned.agg(F.sum("y"), F.count(F.lit(1)), F.percentile_approx("y", 0.5, MEDIAN_ACCURACY)).first()
+    ship_package(spark)
+    labelled = train.where(F.col(target).isNotNull())
+    units = F.floor(F.col(target) * UNIT + F.lit(0.5)).cast("bigint")
+    total, rows, base = labelled.agg(F.sum(units), F.count(F.lit(1)), F.percentile_approx(units, 0.5, MEDIAN_ACCURACY)).first()
     if not rows:
         raise ValueError(f"no row has {target}")
+    cuts = cut_points(labelled, features, max_bins)
     if params.loss == "squared":
         base = (2 * total + rows) // (2 * rows)  # the nearest whole unit
     model = BoostedModel(list(features), cuts, base, params)
-    table = binned.withColumn("margin", F.lit(base).cast("bigint"))
-    residual = F.col("margin") - F.col("y")
-    gradient = residual if params.loss == "squared" else (F.signum(residual.cast("double")) * UNIT).cast("bigint")
-    numbers, before = [len(c) for c in cuts], binned
+    table = materialise(_moved(_blocks(train, features, cuts, target, key, params, seed), lambda block: np.int64(base)), "binned-rows")
     for number in range(params.n_estimators):
-        drawn = table.withColumn("g", gradient)
-        if params.subsample < 1:
-            chance = F.pmod(F.xxhash64(F.lit(seed), F.lit(number), "key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-            drawn = drawn.where(chance < params.subsample)
-        tree = _grow(drawn, numbers, params, reg_lambda)
+        tree = _grow(table, number, [len(c) for c in cuts], params, reg_lambda)
         if params.loss == "absolute":
-            _medians(drawn, tree, params)
+            _medians(table, tree, number, params)
         model.trees.append(tree)
         if number + 1 < params.n_estimators:
-            value = F.get(_numbers(tree.value, "bigint"), _walk_bins(tree, params.max_depth))
-            table = materialise(table.withColumn("margin", F.col("margin") + value), "margins")
+            before, value = table, np.array(tree.value, np.int64)
+            table = materialise(_moved(before, lambda block: value[_reached(tree, params.max_depth, block.bins)]), "margins")
             forget(spark, before)
-            before = table
-    forget(spark, before)
+    forget(spark, table)
     return model

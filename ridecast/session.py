@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DEFAULTS = {
@@ -27,6 +31,8 @@ SESSION_DEFAULTS = {
 _handed_out: dict[str, list[str]] = {}
 # Tables that are written once and read by many jobs, by application and name.
 _kept: dict[tuple, DataFrame | str] = {}
+# Applications whose workers have this package.
+_shipped: set[str] = set()
 
 
 def build_session(app_name: str = "ridecast", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,6 +61,29 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of an address, or of a plain path."""
+    return fs.FileSystem.from_uri(uri) if uri.startswith("file:") or "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once an application, so that they need no copy of their own."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    data, root = io.BytesIO(), Path(__file__).parent
+    with zipfile.ZipFile(data, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, str(file.relative_to(root.parent)))
+    address = f"{new_shared_path(spark, 'code')}.zip"
+    system, path = file_system(address)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(path) as out:
+        out.write(data.getvalue())
+    spark.sparkContext.addPyFile(address)
+    _shipped.add(application)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 

@@ -189,3 +189,30 @@ def test_staged_search_shares_fits_and_goes_on(spark, tmp_path, monkeypatch):
     best = search.refit_best_boosted(df, results, features=NAMES)
     least = min(results.collect(), key=lambda r: r["mae_avg"])
     assert (len(best.trees), best.params.learning_rate) == (least["regressor__n_estimators"], least["regressor__learning_rate"])
+
+
+def test_blocks_hold_bins_labels_and_draws(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 1)
+    values = [None, float("nan"), -1.0, 0.0, -0.0, 2.0, 7.0]
+    df = spark.createDataFrame([(i, v, float(i)) for i, v in enumerate(values)] + [(99, 1.0, None)], "seq_id LONG, a DOUBLE, y DOUBLE").coalesce(1)
+    params = BoostParams(11, 2, 0.5, subsample=0.5)
+    found = boosting._blocks(df, ["a"], [[0.0, 2.0]], "y", "seq_id", params, 7).toArrow().combine_chunks().to_batches()
+    (block,) = [b for batch in found for b in boosting.Block.of(batch)]
+    assert block.bins.tolist() == [[-1, 2, 0, 0, 0, 1, 2]] and block.y.tolist() == [i * UNIT for i in range(7)]
+    for number in range(11):
+        chance = F.pmod(F.xxhash64(F.lit(7), F.lit(number), "seq_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        drawn = [int(r["y"]) for r in df.where("y IS NOT NULL").where(chance < 0.5).select("y").collect()]
+        assert (block.seen_by(number).y // UNIT).tolist() == sorted(drawn)
+
+
+def test_a_level_sums_its_cells_in_few_partitions(spark, monkeypatch):
+    df, seen = table(spark, sample(90)), []
+    plain = type(df).repartition
+
+    def repartition(self, *args):
+        seen.append(args)
+        return plain(self, *args)
+
+    monkeypatch.setattr(type(df), "repartition", repartition)
+    boosting.fit(df, BoostParams(1, 2, 0.5), NAMES, "y", max_bins=8)
+    assert seen == [(1, "cell"), (1, "cell")]
