@@ -264,3 +264,21 @@ def test_preparation_of_arriving_trips(spark, tmp_path):
     columns = ["seq_id", "start_date", "strt_statn", "duration_min", "is_registered"]
     rows = lambda df: sorted(map(str, df.select(*columns).collect()))
     assert rows(spark.read.parquet(sink)) == rows(prepare.typed_trips(raw))
+
+
+def test_training_rows_of_one_file_are_dealt_to_tasks(parts, monkeypatch):
+    seen, fit = [], ml.GBTRegressor.fit
+
+    def counted(self, dataset, params=None):
+        seen.append(dataset.rdd.getNumPartitions())
+        return fit(self, dataset)
+
+    monkeypatch.setattr(ml.GBTRegressor, "fit", counted)
+    train = parts[0].coalesce(1)
+    plain = ml.fit_trees(train, ml.BoostParams(2, 2, 0.5))
+    rows = train.count()
+    monkeypatch.setattr(ml, "TASK_ROWS", -(-rows // 6))
+    dealt = ml.fit_trees(train, ml.BoostParams(2, 2, 0.5))
+    assert seen == [1, 6]
+    assert [type(s) for s in dealt.stages] == [type(s) for s in plain.stages]
+    assert ml.predict(train, dealt).count() == rows
