@@ -411,7 +411,10 @@ def fit(
     if params.loss == "squared":
         base = (2 * total + rows) // (2 * rows)  # the nearest whole unit
     model = BoostedModel(list(features), cuts, base, params)
-    table = materialise(_moved(_blocks(train, features, cuts, target, key, params, seed), lambda block: np.int64(base)), "binned-rows")
+    table = _moved(_blocks(train, features, cuts, target, key, params, seed), lambda block: np.int64(base))
+    if rows > BLOCK_ROWS:  # blocks are dealt evenly, whatever files the rows came from
+        table = table.repartition(min(-(-rows // BLOCK_ROWS), 4 * spark.sparkContext.defaultParallelism))
+    table = materialise(table, "binned-rows")
     for number in range(params.n_estimators):
         tree = _grow(table, number, [len(c) for c in cuts], params, reg_lambda)
         if params.loss == "absolute":

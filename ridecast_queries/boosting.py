@@ -9,7 +9,7 @@ from ridecast.operators.metrics import regression_scores
 from ridecast.plans import boosting, scoring
 from ridecast.plans import training as ml
 from ridecast.schemas import FEATURES, TARGET
-from ridecast.session import kept_path, new_shared_path, written_once
+from ridecast.session import kept_path, materialise, new_shared_path, written_once
 from ridecast.sources import driver_tables as src
 from ridecast.streaming.requests import score_stream
 from ridecast_queries.models import _KEY, _SETS, split
@@ -160,7 +160,7 @@ def fitted(spark, sf, name) -> boosting.BoostedModel:
 
 def _scores_of(spark, sf, name):
     parts = sampling.with_split(written_once(spark, "model-table", sf, lambda: cleaned(spark, sf).select("seq_id", *FEATURES, TARGET)), _KEY, 0.2, ml.SEED)
-    scored = fitted(spark, sf, name).predict(parts).select("split", TARGET, "prediction")
+    scored = materialise(fitted(spark, sf, name).predict(parts).select("split", TARGET, "prediction"), "boosted-scores")
     scores = regression_scores(scored, TARGET, "prediction", ["split"])
     return scores.select(F.lit(name).alias("model"), *scores.columns)
 

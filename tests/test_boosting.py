@@ -216,3 +216,18 @@ def test_a_level_sums_its_cells_in_few_partitions(spark, monkeypatch):
     monkeypatch.setattr(type(df), "repartition", repartition)
     boosting.fit(df, BoostParams(1, 2, 0.5), NAMES, "y", max_bins=8)
     assert seen == [(1, "cell"), (1, "cell")]
+
+
+def test_blocks_of_one_file_are_dealt_to_tasks(spark, monkeypatch):
+    tables, written = {}, boosting.materialise
+
+    def kept(df, name):
+        tables[name] = df.rdd.getNumPartitions()
+        return written(df, name)
+
+    monkeypatch.setattr(boosting, "materialise", kept)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 40)
+    df = table(spark, sample(200))
+    model = boosting.fit(df.coalesce(1), BoostParams(1, 2, 0.5), NAMES, "y", max_bins=8)
+    assert tables["binned-rows"] == 5
+    assert model == boosting.fit(df, BoostParams(1, 2, 0.5), NAMES, "y", max_bins=8)
