@@ -164,8 +164,8 @@ class IdFilter:
         words = ids.select(F.floor(bit / 32).cast("int").alias("at"), (bit % 32).cast("int").alias("bit"))
         words = words.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
         held = np.zeros(FILTER_BITS // 32, np.uint32)
-        for row in words.collect():  # at most FILTER_BITS / 32 rows
-            held[row["at"]] = row["bits"]
+        found = words.toArrow()  # at most FILTER_BITS / 32 rows; as arrays, not as an object a row
+        held[np.asarray(found["at"])] = np.asarray(found["bits"]).astype(np.uint32)
         self.held = ids.sparkSession.sparkContext.broadcast(held)
 
     @staticmethod
@@ -173,6 +173,10 @@ class IdFilter:
         """Rows (doc_id, text) with the bit of their id."""
         return texts.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
 
+    def done(self) -> None:
+        """Give its memory back, once no table has still to be computed with it."""
+        self.held.destroy()
+
     def select(self, batches: Iterator[pa.RecordBatch], known: bool) -> Iterator[pa.RecordBatch]:
         """Rows (doc_id, text) of marked rows that are known, or that are not."""
         bits = self.held.value
@@ -372,7 +376,9 @@ def join_documents(
     keyed = _combined(classes).unionByName(_combined_single(known, words, num, den, ids))
     least = F.when(F.col("linked"), F.col("key")).otherwise(F.min("rep").over(W.partitionBy("linked", "key").orderBy("rep")))
     stars = keyed.withColumn("least", least).where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    candidates = _regrouped(known, components(stars, "candidates"), words, num, den)
+    candidates = components(stars, "candidates")  # written, so the filter has done its work
+    ids.done()
+    candidates = _regrouped(known, candidates, words, num, den)
     links = written(_links(known, marks, candidates, words, num, den), "links")
     # Equal sets are linked through their class.
     reached = components(links, "linked")
@@ -490,6 +496,7 @@ def _regrouped(known: DataFrame, candidates: DataFrame, words: int, num: int, de
     counts = np.zeros(COUNTS, np.int64)
     found = sets.select("runs").mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     counts[np.asarray(found["place"])] = np.asarray(found["n"])  # at most COUNTS rows
+    del found
     held = known.sparkSession.sparkContext.broadcast(counts)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -505,6 +512,7 @@ def _regrouped(known: DataFrame, candidates: DataFrame, words: int, num: int, de
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate(out).view(np.int64))], ["rep", "run"])
 
     rare = written(sets.mapInArrow(rarest, "rep long, run long"), "rare-runs")
+    held.destroy()
     least = rare.groupBy(F.col("run").alias("_run")).agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("_sets"))
     least = written(least.where("_sets > 1"), "rare-run-sets")
     stars = join_counted(rare, least, "run", "_run", "_sets").where("least < rep")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ridecast.llm import ngram_join
 from ridecast.llm.components import components
@@ -149,3 +150,19 @@ def test_common_passages_part_by_rare_runs(spark, documents, monkeypatch):
     monkeypatch.setattr(ngram_join, "_regrouped", seen)
     assert got(ngram_join.join_documents(documents(rows), 4, 80, 100)) == brute(rows, 4, 80, 100)
     assert grouped[0][0] > 200 and grouped[0][1] < 30
+
+
+def test_filter_reaches_the_driver_as_arrays(spark, monkeypatch):
+    ids = spark.range(0, 5000, 7).select(F.col("id").alias("node"))
+
+    def no_rows(self):
+        raise AssertionError("an object a row in the driver")
+
+    monkeypatch.setattr(type(ids), "collect", no_rows)
+    kept = ngram_join.IdFilter(ids)
+    monkeypatch.undo()
+    bits = [r["bit"] for r in ids.select(F.pmod(F.xxhash64("node"), F.lit(ngram_join.FILTER_BITS)).alias("bit")).collect()]
+    held = kept.held.value
+    assert all(held[b >> 5] >> (b & 31) & 1 for b in bits)
+    assert int(sum(bin(int(w)).count("1") for w in held[held > 0])) == len(set(bits))
+    kept.done()
