@@ -1,13 +1,15 @@
 """Boosted trees with second-order gains over binned features.
 
 Training rows are binned once by exact quantiles of each feature and written in blocks of `BLOCK_ROWS`
-rows: their bins, labels, draws and margins (the prediction so far) as arrays. A level of a tree is
+rows: their bins, draws and what their labels have left (less the prediction so far) as arrays. A level of a tree is
 one job: the rows of a block walk the tree so far, and sums of gradients and numbers of rows by node,
 feature and bin are added up, first within the tasks, then by Spark. That histogram is bounded by
-nodes x features x bins whatever the table, and the driver chooses the splits from it. After each tree
-the margins are written anew.
+nodes x features x bins whatever the table, and the driver chooses the splits from it. Of two children
+the one with fewer rows is counted; the other has the rest of their parent's sums. A level has a task
+a core however many rows there are, so what is shuffled has a bound as well. After each tree
+the blocks are written anew. Every level reads all blocks, so they are narrow, and no array of one is large for a JVM.
 
-Labels, margins and leaf values are whole numbers of `1 / UNIT`. Sums of gradients are sums of
+Labels, predictions and leaf values are whole numbers of `1 / UNIT`. Sums of gradients are sums of
 integers, so a fit gives the same trees after any repartitioning, retry or order of the rows.
 
 Parameters have their usual meaning: a split must reduce the loss, summed over the node's rows, by at least `gamma`;
@@ -36,12 +38,14 @@ MAX_BINS = 256
 REG_LAMBDA = 1.0
 #: A smaller reduction of the loss is rounding.
 LEAST_GAIN = 1e-6
-#: Ranks of a leaf's median under the absolute loss are exact to this share of its rows.
+#: The rank of the first prediction under the absolute loss, the median label, is exact to this share of the rows.
 MEDIAN_ACCURACY = 10_000
+#: Cells of all leaves, and at least of one, in which a pass counts what is left to find the leaves' medians.
+MEDIAN_CELLS, LEAST_CELLS = 1 << 18, 1 << 8
 #: Rows of a block.
-BLOCK_ROWS = 1 << 16
-#: Cells of a histogram that one task adds up.
-CELLS_PER_TASK = 1 << 15
+BLOCK_ROWS = 1 << 14
+#: Cells of a histogram that one task adds up, and of them that lie side by side in a row.
+CELLS_PER_TASK, CELLS_PER_ROW = 1 << 15, 1 << 12
 
 NODE_DDL = "tree INT, node INT, feature STRING, threshold DOUBLE, nulls_left BOOLEAN, child INT, value DOUBLE, rows BIGINT"
 
@@ -67,13 +71,14 @@ class Tree:
 
 def _bins(values: np.ndarray, known: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """A value's bin is the number of cuts below it; -1 is null. NaN is above every number, as in Spark."""
-    return np.where(known, np.searchsorted(cuts, values, "left"), -1).astype(np.int32)
+    return np.where(known, np.searchsorted(cuts, values, "left"), -1)
 
 
 def _columns(arrays: Sequence[pa.Array], cuts: Sequence[Sequence[float]]) -> np.ndarray:
     """The bins (features x rows) of columns of doubles."""
     values = [(np.asarray(a.fill_null(0.0)), np.asarray(a.is_valid())) for a in arrays]
-    return np.stack([_bins(x, known, np.array(c, float)) for (x, known), c in zip(values, cuts, strict=True)])
+    kind = np.int16 if max(map(len, cuts), default=0) < 1 << 15 else np.int32
+    return np.stack([_bins(x, known, np.array(c, float)) for (x, known), c in zip(values, cuts, strict=True)]).astype(kind)
 
 
 def _reached(tree: Tree, steps: int, bins: np.ndarray) -> np.ndarray:
@@ -186,24 +191,25 @@ def cut_points(df: DataFrame, features: Sequence[str], max_bins: int = MAX_BINS)
     return [np.sort(np.array(c, float)).tolist() for c in cuts]
 
 
-BLOCK_DDL = "rows INT, bins BINARY, y BINARY, drawn BINARY, margin BINARY"
+CELLS_DDL = "cell BIGINT, sums BINARY"
+BLOCK_DDL = "rows INT, features INT, bins BINARY, y BINARY, drawn BINARY"
 
 
 @dataclass
 class Block:
-    """Rows side by side: bins (features x rows), labels, the trees that drew a row (a bit each) and margins."""
+    """Rows side by side: bins (features x rows), what is left of the labels, and the trees that drew a row (a bit each)."""
 
     bins: np.ndarray
     y: np.ndarray
     drawn: np.ndarray
-    margin: np.ndarray
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Iterator[Block]:
-        for rows, bins, y, drawn, margin in zip(*(c.to_pylist() if i == 0 else c for i, c in enumerate(batch.columns)), strict=True):
+        for rows, features, bins, y, drawn in zip(*(c.to_pylist() if i < 2 else c for i, c in enumerate(batch.columns)), strict=True):
+            kind = np.int16 if len(bins.as_buffer()) == 2 * rows * features else np.int32
             yield cls(
-                np.frombuffer(bins.as_buffer(), np.int32).reshape(-1, rows), np.frombuffer(y.as_buffer(), np.int64),
-                np.frombuffer(drawn.as_buffer(), np.uint8).reshape(rows, -1), np.frombuffer(margin.as_buffer(), np.int64),
+                np.frombuffer(bins.as_buffer(), kind).reshape(features, rows), np.frombuffer(y.as_buffer(), np.int64),
+                np.frombuffer(drawn.as_buffer(), np.uint8).reshape(rows, -1),
             )
 
     def seen_by(self, number: int) -> Block:
@@ -211,20 +217,19 @@ class Block:
         if not self.drawn.shape[1]:
             return self
         some = (self.drawn[:, number >> 3] >> (7 - (number & 7))) & 1 == 1
-        return Block(self.bins[:, some], self.y[some], self.drawn[some], self.margin[some])
+        return Block(self.bins[:, some], self.y[some], self.drawn[some])
 
     def gradient(self, loss: str) -> np.ndarray:
-        residual = self.margin - self.y
-        return residual if loss == "squared" else np.sign(residual) * UNIT
+        return -self.y if loss == "squared" else np.sign(-self.y) * UNIT
 
     def batch(self) -> pa.RecordBatch:
-        parts = (self.bins, self.y, self.drawn, self.margin)
-        columns = [pa.array([len(self.y)], pa.int32()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts]]
-        return pa.RecordBatch.from_arrays(columns, ["rows", "bins", "y", "drawn", "margin"])
+        columns = [pa.array([n], pa.int32()) for n in (self.bins.shape[1], self.bins.shape[0])]
+        columns += [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (self.bins, self.y, self.drawn)]
+        return pa.RecordBatch.from_arrays(columns, ["rows", "features", "bins", "y", "drawn"])
 
 
 def _blocks(df: DataFrame, features: Sequence[str], cuts: list[list[float]], target: str, key: str, params: BoostParams, seed: int) -> DataFrame:
-    """The labelled rows in blocks, with margins of zero."""
+    """The labelled rows in blocks, with the whole labels left."""
     units = F.floor(F.col(target) * UNIT + F.lit(0.5)).cast("bigint")
     trees = F.sequence(F.lit(0), F.lit(params.n_estimators - 1)) if params.subsample < 1 and params.n_estimators else F.array().cast("array<int>")
 
@@ -241,7 +246,7 @@ def _blocks(df: DataFrame, features: Sequence[str], cuts: list[list[float]], tar
             n, y, drawn = batch.num_rows, np.asarray(batch.column(len(cuts))), batch.column(len(cuts) + 1)
             if n:
                 bits = np.packbits(np.asarray(drawn.flatten().cast(pa.uint8())).reshape(n, -1), axis=1)
-                held.append(Block(_columns(batch.columns[: len(cuts)], cuts), y, bits, np.zeros(n, np.int64)))
+                held.append(Block(_columns(batch.columns[: len(cuts)], cuts), y, bits))
             if sum(len(b.y) for b in held) >= BLOCK_ROWS:
                 yield _joined(held).batch()
                 held = []
@@ -253,30 +258,37 @@ def _blocks(df: DataFrame, features: Sequence[str], cuts: list[list[float]], tar
 
 def _joined(blocks: list[Block]) -> Block:
     bins = np.concatenate([b.bins for b in blocks], axis=1)
-    return Block(bins, *[np.concatenate([getattr(b, name) for b in blocks]) for name in ("y", "drawn", "margin")])
+    return Block(bins, *[np.concatenate([getattr(b, name) for b in blocks]) for name in ("y", "drawn")])
 
 
-def _summed(blocks: DataFrame, cells: int, counted: Callable[[Block], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of numbers and numbers of rows by cell; `counted` gives the cells and numbers of a block."""
+def _summed(blocks: DataFrame, cells: int, counted: Callable[[Block], tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of numbers and numbers of rows by cell; `counted` gives the cells and numbers, if any, of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, number = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+        total = np.zeros((2, cells), np.int64)
         for batch in batches:
             for block in Block.of(batch):
                 cell, value = counted(block)
                 # Sums of whole numbers, exact as doubles within a block.
-                total += np.bincount(cell, value, cells).astype(np.int64)
-                number += np.bincount(cell, minlength=cells)
-        some = np.flatnonzero(number)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some]), pa.array(number[some])], ["cell", "g", "n"])
-
-    # Tasks give a cell once, so the sums need few partitions, by the number of cells alone.
-    parts = blocks.mapInArrow(run, "cell BIGINT, g BIGINT, n BIGINT").repartition(1 + cells // CELLS_PER_TASK, "cell")
-    found = parts.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).toArrow()
-    total, number = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
-    at = np.asarray(found["cell"])
-    total[at], number[at] = np.asarray(found["g"]), np.asarray(found["n"])
-    return total, number
+                if value is not None:
+                    total[0] += np.bincount(cell, value, cells).astype(np.int64)
+                total[1] += np.bincount(cell, minlength=cells)
+        first = [i for i in range(0, cells, CELLS_PER_ROW) if total[1, i : i + CELLS_PER_ROW].any()]
+        sums = [total[:, i : i + CELLS_PER_ROW].tobytes() for i in first]
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(sums, pa.binary())], ["cell", "sums"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(x.as_buffer(), np.int64) for x in rows["sums"])
+        return pa.table({"cell": rows["cell"].slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    # A task gives a cell once and there is a task a core, so what is shuffled is bounded whatever the table.
+    few = blocks.coalesce(blocks.sparkSession.sparkContext.defaultParallelism)
+    parts = few.mapInArrow(run, CELLS_DDL).repartition(1 + cells // CELLS_PER_TASK, "cell")
+    total = np.zeros((2, cells), np.int64)
+    for batch in parts.groupBy("cell").applyInArrow(added, CELLS_DDL).toArrow().to_batches():
+        for cell, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            total[:, cell : cell + CELLS_PER_ROW] = np.frombuffer(sums.as_buffer(), np.int64).reshape(2, -1)
+    return total[0], total[1]
 
 
 def _histogram(blocks: DataFrame, tree: Tree, number: int, depth: int, open_nodes: list[int], bins: list[int], loss: str) -> tuple[np.ndarray, np.ndarray]:
@@ -340,21 +352,36 @@ def best_splits(
         yield choice
 
 
+def _both(parent: np.ndarray, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sums of pairs of nodes from those of their parents and of the ones at the places `at`, which are `own`."""
+    out = np.empty((2 * len(own), *own.shape[1:]), own.dtype)
+    out[at], out[at ^ 1] = own, parent - own
+    return out
+
+
 def _grow(blocks: DataFrame, number: int, cuts: list[int], params: BoostParams, reg_lambda: float) -> Tree:
     """The tree `number` on its rows; leaf values are Newton steps."""
     tree = Tree()
     open_nodes, sums = [0], {}
+    bins = [c + 1 for c in cuts]
     for depth in range(params.max_depth):
-        gradient, rows = _histogram(blocks, tree, number, depth, open_nodes, [c + 1 for c in cuts], params.loss)
         if not depth:
+            gradient, rows = _histogram(blocks, tree, number, depth, open_nodes, bins, params.loss)
             sums[0] = (int(gradient[0, 0].sum()), int(rows[0, 0].sum()))
-        below = []
-        for node, choice in zip(open_nodes, best_splits(gradient, rows, cuts, params, reg_lambda), strict=True):
+        else:
+            # Pairs of children: the one with fewer rows is counted, the other has the rest.
+            fewer = np.array([int(sums[right][1] < sums[left][1]) for left, right in zip(open_nodes[::2], open_nodes[1::2], strict=True)])
+            at = 2 * np.arange(len(fewer)) + fewer
+            counted = _histogram(blocks, tree, number, depth, [open_nodes[i] for i in at], bins, params.loss)
+            gradient, rows = (_both(parent[split], own, at) for parent, own in zip((gradient, rows), counted, strict=True))
+        below, split = [], []
+        for place, (node, choice) in enumerate(zip(open_nodes, best_splits(gradient, rows, cuts, params, reg_lambda), strict=True)):
             if choice is not None:
                 feature, cut, nulls_left, *sides = choice
                 children = tree.split(node, feature, cut, nulls_left)
                 sums.update(zip(children, sides, strict=True))
                 below += children
+                split.append(place)
         open_nodes = below
         if not open_nodes:
             break
@@ -364,28 +391,46 @@ def _grow(blocks: DataFrame, number: int, cuts: list[int], params: BoostParams,
     return tree
 
 
-def _medians(blocks: DataFrame, tree: Tree, number: int, params: BoostParams) -> None:
-    """Leaf values under the absolute loss: the shrunk median of what is left in each leaf."""
+def _medians(blocks: DataFrame, tree: Tree, number: int, params: BoostParams, low: int, high: int) -> None:
+    """Leaf values under the absolute loss: the shrunk median (the lower of two) of what is left in each leaf, exactly.
 
-    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in Block.of(batch):
-                block = block.seen_by(number)
-                leaf = _reached(tree, params.max_depth, block.bins)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(block.y - block.margin)], ["leaf", "left"])
-
-    median = F.percentile_approx("left", 0.5, MEDIAN_ACCURACY)
-    for node, value in blocks.mapInArrow(left, "leaf INT, left BIGINT").groupBy("leaf").agg(median).collect():  # one row a leaf
-        tree.value[node] = int(np.floor(value * params.learning_rate + 0.5))
+    What is left lies in `low` to `high`. A pass cuts the interval of each leaf into cells, counts the rows in them,
+    and goes on with the cell that has the median until cells are one unit wide: three passes for a day of minutes
+    and a thousand leaves. So no row leaves the task that walks it.
+    """
+    leaves = np.flatnonzero(np.array(tree.child) < 0)
+    place = np.zeros(len(tree.child), np.int64)
+    place[leaves] = np.arange(len(leaves))
+    cells = max(MEDIAN_CELLS // len(leaves), LEAST_CELLS)
+    start, width, rank = np.full(len(leaves), low, np.int64), high - low + 1, None
+    while width > 1 or rank is None:
+        width = -(-width // cells)
+
+        def counted(block: Block) -> tuple[np.ndarray, None]:
+            block = block.seen_by(number)
+            leaf = place[_reached(tree, params.max_depth, block.bins)]
+            cell = (block.y - start[leaf]) // width
+            inside = (cell >= 0) & (cell < cells)
+            return (leaf * cells + cell)[inside], None
+
+        found = _summed(blocks, len(leaves) * cells, counted)[1].reshape(len(leaves), cells).cumsum(1)
+        if rank is None:
+            rows = found[:, -1]
+            rank = (rows - 1) // 2
+        at = (found <= rank[:, None]).sum(1)
+        rank = rank - np.where(at > 0, found[np.arange(len(leaves)), at - 1], 0)
+        start = start + at * width
+    for node, value in zip(leaves[rows > 0], start[rows > 0], strict=True):
+        tree.value[node] = int(np.floor(int(value) * params.learning_rate + 0.5))
 
 
 def _moved(blocks: DataFrame, by: Callable[[Block], np.ndarray]) -> DataFrame:
-    """The blocks with margins moved by whole units."""
+    """The blocks with predictions moved by whole units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in Block.of(batch):
-                yield replace(block, margin=block.margin + by(block)).batch()
+                yield replace(block, y=block.y - by(block)).batch()
 
     return blocks.mapInArrow(run, BLOCK_DDL)
 
@@ -404,7 +449,8 @@ def fit(
     ship_package(spark)
     labelled = train.where(F.col(target).isNotNull())
     units = F.floor(F.col(target) * UNIT + F.lit(0.5)).cast("bigint")
-    total, rows, base = labelled.agg(F.sum(units), F.count(F.lit(1)), F.percentile_approx(units, 0.5, MEDIAN_ACCURACY)).first()
+    extent = F.sum(units), F.count(F.lit(1)), F.min(units), F.max(units)
+    total, rows, low, high, base = labelled.agg(*extent, F.percentile_approx(units, 0.5, MEDIAN_ACCURACY)).first()
     if not rows:
         raise ValueError(f"no row has {target}")
     cuts = cut_points(labelled, features, max_bins)
@@ -415,10 +461,13 @@ def fit(
     if rows > BLOCK_ROWS:  # blocks are dealt evenly, whatever files the rows came from
         table = table.repartition(min(-(-rows // BLOCK_ROWS), 4 * spark.sparkContext.defaultParallelism))
     table = materialise(table, "binned-rows")
+    low, high = low - base, high - base  # what is left of the labels
     for number in range(params.n_estimators):
         tree = _grow(table, number, [len(c) for c in cuts], params, reg_lambda)
         if params.loss == "absolute":
-            _medians(table, tree, number, params)
+            _medians(table, tree, number, params, low, high)
+            steps = [value for value, child in zip(tree.value, tree.child, strict=True) if child < 0]
+            low, high = low - max(steps), high - min(steps)
         model.trees.append(tree)
         if number + 1 < params.n_estimators:
             before, value = table, np.array(tree.value, np.int64)

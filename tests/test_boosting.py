@@ -231,3 +231,58 @@ def test_blocks_of_one_file_are_dealt_to_tasks(spark, monkeypatch):
     model = boosting.fit(df.coalesce(1), BoostParams(1, 2, 0.5), NAMES, "y", max_bins=8)
     assert tables["binned-rows"] == 5
     assert model == boosting.fit(df, BoostParams(1, 2, 0.5), NAMES, "y", max_bins=8)
+
+
+def test_medians_of_large_leaves_are_exact_whatever_the_partitions(spark):
+    rng = np.random.default_rng(4)
+    labels = {k: np.sort(np.unique(np.floor(rng.lognormal(3 + k, 1, 70_000) * UNIT) / UNIT)) for k in (0, 1)}
+    rows = [(float(k), float(y)) for k in labels for y in rng.permutation(labels[k])]
+    df = spark.createDataFrame(rows, "a DOUBLE, y DOUBLE").withColumns({"b": F.lit(0.0), "c": F.lit(0.0), "seq_id": F.monotonically_increasing_id()})
+    model = boosting.fit(df.repartition(5), BoostParams(1, 1, 1.0, loss="absolute"), NAMES, "y")
+    at = {r["a"]: r["prediction"] for r in model.predict(df).select("a", "prediction").distinct().collect()}
+    assert at == {float(k): labels[k][(len(labels[k]) - 1) // 2] for k in labels}
+    again = boosting.fit(df.repartition(2, "y"), BoostParams(1, 1, 1.0, loss="absolute"), NAMES, "y")
+    assert {r["a"]: r["prediction"] for r in again.predict(df).select("a", "prediction").distinct().collect()} == at
+
+
+@pytest.mark.parametrize("cells", [1, 5, 300])
+def test_absolute_trees_of_several_levels_have_the_medians_of_their_leaves(spark, monkeypatch, cells):
+    monkeypatch.setattr(boosting, "MEDIAN_CELLS", cells)
+    monkeypatch.setattr(boosting, "LEAST_CELLS", 2)
+    rows, params = sample(150), BoostParams(3, 3, 0.5, loss="absolute")
+    df = table(spark, rows)
+    model = boosting.fit(df, params, NAMES, "y", max_bins=8)
+    staged = model.staged(df, [0, 1, 2, 3], ["s0", "s1", "s2", "s3"]).collect()
+    units = {r["seq_id"]: math.floor(r["y"] * UNIT + 0.5) for r in staged}
+    for k in range(3):
+        leaves = {}
+        for r in staged:
+            step = round((r[f"s{k + 1}"] - r[f"s{k}"]) * UNIT)
+            leaves.setdefault(step, []).append(units[r["seq_id"]] - round(r[f"s{k}"] * UNIT))
+        for step, left in leaves.items():  # leaves with one step may be several
+            assert math.floor(sorted(left)[(len(left) - 1) // 2] * 0.5 + 0.5) == step or len(leaves) < model.trees[k].child.count(-1)
+    assert len({r["s3"] for r in staged}) > 4
+
+
+def test_the_smaller_of_two_children_is_counted(spark, monkeypatch):
+    seen, plain = [], boosting._histogram
+
+    def histogram(blocks, tree, number, depth, open_nodes, bins, loss):
+        out = plain(blocks, tree, number, depth, open_nodes, bins, loss)
+        seen.append((tree, depth, list(open_nodes), out[1][:, 0].sum(1).tolist()))
+        return out
+
+    monkeypatch.setattr(boosting, "_histogram", histogram)
+    boosting.fit(table(spark, sample(200)), BoostParams(1, 4, 0.5), NAMES, "y", max_bins=8)
+    assert len(seen) == 4 and len(seen[-1][2]) > 2
+    for tree, depth, nodes, rows in seen[1:]:
+        pairs = {tuple(sorted((left, left + 1))) for left in tree.child if left >= 0}
+        assert all(sum(n in pair for n in nodes) <= 1 for pair in pairs)
+        assert rows == [tree.rows[n] for n in nodes] and all(min(tree.rows[p] for p in pair) == tree.rows[n] for n in nodes for pair in pairs if n in pair)
+
+
+def test_arrays_of_a_block_are_narrow(spark):
+    df = table(spark, sample(90))
+    found = boosting._blocks(df, NAMES, [[1.0] * 255] * 3, "y", "seq_id", BoostParams(3, 2, 0.5), 7).toArrow()
+    assert sum(len(b) for b in found["bins"].to_pylist()) == 90 * 3 * 2
+    assert found.column_names == ["rows", "features", "bins", "y", "drawn"]
