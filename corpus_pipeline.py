@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridecast.llm import decontamination, language, line_dedup, ngram_join, packing
-from ridecast.llm.scratch import held_out_remainder, read_table, ship, written
+from ridecast.llm.scratch import give_back_memory, held_out_remainder, read_table, ship, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,6 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     model = language.fit(docs, held_out_remainder(F.col("doc_id"), 5) != 0)
+    give_back_memory()  # of the sample, which the driver has learned from
     if model is None:
         return docs.select(*COLUMNS)
     return language.predict(docs, model).where(~F.col("rejected")).select(*COLUMNS)

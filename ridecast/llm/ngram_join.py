@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ridecast.llm import hashing
 from ridecast.llm.components import components, join_counted
-from ridecast.llm.scratch import text_chunks, written
+from ridecast.llm.scratch import give_back_memory, text_chunks, written
 
 #: Sets and runs of a candidate group that one task takes whole; sets of small groups, which are
 #: dealt together, and their runs in one task on the average.
@@ -56,8 +56,10 @@ RARE = 1e-4
 #: Bits of the filter that keeps most texts out of the shuffle of candidates (two megabytes).
 FILTER_BITS = 1 << 24
 
-#: Places of a fixed-size table of counts by which the runs of large groups are ordered (32 megabytes).
+#: Places of a fixed-size table of counts by which the runs of large groups are ordered (8 megabytes), and the
+#: largest count it tells from others.
 COUNTS = 1 << 22
+MOST_COUNTED = (1 << 16) - 1
 
 _SECOND = np.uint64(0x5851F42D4C957F2D)
 
@@ -474,7 +476,8 @@ def _place(runs: np.ndarray) -> np.ndarray:
 def _regrouped(known: DataFrame, candidates: DataFrame, words: int, num: int, den: int, most: int = 0) -> DataFrame:
     """Candidates (node, component) with the members of groups of more than `most` grouped by their rarest runs.
 
-    Any one order of all runs loses no link; this one is by counts in a table of fixed size.
+    Any one order of all runs loses no link; this one is by counts in a table of fixed size, where all counts from
+    `MOST_COUNTED` on are the same, and those of one and none: the latter do not reach the driver.
     """
     candidates = written(candidates, "candidates")
     sizes = candidates.groupBy(F.col("component").alias("_component")).agg(F.count(F.lit(1)).alias("members"))
@@ -491,12 +494,14 @@ def _regrouped(known: DataFrame, candidates: DataFrame, words: int, num: int, de
         for batch in batches:
             total += np.bincount(_place(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")), minlength=COUNTS)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["place", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["place", "n"])
 
-    counts = np.zeros(COUNTS, np.int64)
-    found = sets.select("runs").mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    counts[np.asarray(found["place"])] = np.asarray(found["n"])  # at most COUNTS rows
+    counts = np.zeros(COUNTS, np.uint16)
+    found = sets.select("runs").mapInArrow(counted, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1")
+    found = found.select("place", F.least("n", F.lit(MOST_COUNTED)).cast("int").alias("n")).toArrow()  # at most COUNTS rows
+    counts[np.asarray(found["place"])] = np.asarray(found["n"])
     del found
+    give_back_memory()
     held = known.sparkSession.sparkContext.broadcast(counts)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

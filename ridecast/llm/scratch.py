@@ -45,7 +45,7 @@ def held_out_remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def give_back_memory() -> None:
-    """Return what a worker no longer uses to the system: workers live on between tasks, beside the JVM."""
+    """Return what a process no longer uses to the system: workers and the driver live on, beside the JVM."""
     pa.default_memory_pool().release_unused()
     if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc alone has it
         trim(0)

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ridecast.llm import components as component_module
 from ridecast.llm import ngram_join
 from ridecast.llm.components import components
 from ridecast.llm.queries import QUERIES
@@ -166,3 +167,61 @@ def test_filter_reaches_the_driver_as_arrays(spark, monkeypatch):
     assert all(held[b >> 5] >> (b & 31) & 1 for b in bits)
     assert int(sum(bin(int(w)).count("1") for w in held[held > 0])) == len(set(bits))
     kept.done()
+
+
+def test_rounds_of_components_are_counted_while_they_are_written(spark, monkeypatch):
+    links = spark.createDataFrame([(i, i + 1) for i in range(100, 130)] + [(7, x) for x in range(20, 40)], "a long, b long")
+    names, plain = [], component_module.written
+
+    def first(self):
+        raise AssertionError("a job to count a round")
+
+    def written(df, name):
+        names.append(name)
+        return plain(df, name)
+
+    monkeypatch.setattr(type(links), "first", first)
+    monkeypatch.setattr(component_module, "written", written)
+    stars = component_module.components(links)
+    monkeypatch.undo()
+    assert {tuple(r) for r in stars.collect()} == {(i, 100) for i in range(100, 131)} | {(7, 7)} | {(x, 7) for x in range(20, 40)}
+    # What is stars already takes no round but two tables.
+    names.clear()
+    monkeypatch.setattr(component_module, "written", written)
+    again = component_module.components(stars.select(F.col("component").alias("a"), F.col("node").alias("b")))
+    assert names == ["components-links", "components-least", "components-smallest"]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, stars.collect()))
+    assert component_module.components(links.where("a < 0")).collect() == []
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_components_with_and_without_hot_keys(spark, monkeypatch, few):
+    monkeypatch.setattr(component_module, "FEW_KEYS", few)
+    monkeypatch.setattr(component_module, "HOT", 8)
+    random = np.random.default_rng(6)
+    links = [tuple(map(int, x)) for x in random.integers(0, 300, (160, 2))] + [(3, x) for x in range(300, 340)]
+    union = Union()
+    for a, b in links:
+        if a != b:
+            union.join(a, b)
+    found = dict(map(tuple, component_module.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert found == {x: union.find(x) for ab in links if ab[0] != ab[1] for x in ab}
+
+
+def test_counts_reach_the_driver_small(spark, documents, monkeypatch):
+    random = np.random.default_rng(8)
+    shared = [f"common{k}" for k in range(9)]
+    rows = [(i, " ".join([f"w{x}" for x in random.integers(0, 10**6, 5)] + shared + [f"w{x}" for x in random.integers(0, 10**6, 4)])) for i in range(120)]
+    rows += [(1000 + i, " ".join(t.split()[:-1] + ["end"])) for i, t in rows[:30]]
+    monkeypatch.setattr(ngram_join, "BLOCK", 30)
+    monkeypatch.setattr(ngram_join, "MOST_COUNTED", 3)
+    tables, plain = [], type(spark.range(1)).toArrow
+
+    def arrow(self):
+        tables.append(plain(self))
+        return tables[-1]
+
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", arrow)
+    assert got(ngram_join.join_documents(documents(rows), 4, 80, 100)) == brute(rows, 4, 80, 100)
+    (counts,) = [t for t in tables if t.column_names == ["place", "n"]]
+    assert {str(t) for t in counts.schema.types} == {"int32"} and set(counts["n"].to_pylist()) <= {2, 3}
