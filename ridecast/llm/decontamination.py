@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridecast.llm import hashing
-from ridecast.llm.scratch import text_chunks, written
+from ridecast.llm.scratch import HASHED_BYTES, text_chunks, written
 
 SEED_WORDS = 3
 #: Least share of the item's own score, and least matching words (all of a shorter item's).
@@ -174,7 +174,7 @@ def _blocks(benchmark: DataFrame, item_column: str, item_text_column: str, block
 
 def _held(items: Items, column: pa.Array) -> Iterator[tuple]:
     """(row, item id, score, first word, words) of the lower-case texts of an Arrow column that hold an item."""
-    for first, end, data, offsets in text_chunks(column):
+    for first, end, data, offsets in text_chunks(column, HASHED_BYTES):
         words, text, _, _ = hashing.words(data, offsets, NO_WORD, lower=False)
         runs, of, at = hashing.runs(words, text, end - first, items.size, short=False)
         hit = items.hits(runs)

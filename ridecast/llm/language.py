@@ -72,7 +72,7 @@ def subwords(data: np.ndarray, offsets: np.ndarray, bits: int = ROWS_BITS) -> It
         yield (value >> np.uint32(32 - bits)).astype(np.int32), place
 
 
-#: Bytes of texts that are scored at once; a subword takes some 50 bytes meanwhile.
+#: Bytes of texts that are learned from or scored at once; a subword takes some 50 bytes meanwhile.
 CHUNK_BYTES = 256 << 10
 #: How far a short text's mean may lie below the bound: deviations of its mean, and the subwords a byte is in.
 DEVIATIONS, OVERLAP = 3.0, 3
@@ -209,7 +209,7 @@ def fit(
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column(0).to_pylist()
-            for first, end, data, offsets in text_chunks(pc.utf8_lower(batch.column(1))):
+            for first, end, data, offsets in text_chunks(pc.utf8_lower(batch.column(1)), CHUNK_BYTES):
                 pieces: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] for _ in range(end - first)]
                 for hashed, place in subwords(data, offsets, bits):
                     edges = np.searchsorted(place, offsets)

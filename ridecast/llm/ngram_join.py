@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ridecast.llm import hashing
 from ridecast.llm.components import components, join_counted
-from ridecast.llm.scratch import give_back_memory, text_chunks, written
+from ridecast.llm.scratch import HASHED_BYTES, give_back_memory, text_chunks, written
 
 #: Sets and runs of a candidate group that one task takes whole; sets of small groups, which are
 #: dealt together, and their runs in one task on the average.
@@ -60,6 +60,8 @@ FILTER_BITS = 1 << 24
 #: largest count it tells from others.
 COUNTS = 1 << 22
 MOST_COUNTED = (1 << 16) - 1
+#: Places of the table that a task hands on at once.
+PLACES_PER_BATCH = 1 << 16
 
 _SECOND = np.uint64(0x5851F42D4C957F2D)
 
@@ -201,7 +203,7 @@ def _sketched(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in ids.select(batches, True) if ids else batches:
-            for first, end, data, offsets in text_chunks(batch.column(1)):
+            for first, end, data, offsets in text_chunks(batch.column(1), HASHED_BYTES):
                 n = end - first
                 runs, of = sets_of(data, offsets, words)
                 edges = np.searchsorted(of, np.arange(n + 1))
@@ -340,7 +342,7 @@ def _combined_single(docs: DataFrame, words: int, num: int, den: int, ids: IdFil
         bands = Bands(num, den)
         for batch in ids.select(batches, False):
             reps, keys, of_keys = np.asarray(batch.column(0)), [], []
-            for first, end, data, offsets in text_chunks(batch.column(1)):
+            for first, end, data, offsets in text_chunks(batch.column(1), HASHED_BYTES):
                 runs, of = sets_of(data, offsets, words)
                 own = keys_of(runs, of, end - first, bands)
                 keys += own
@@ -444,29 +446,24 @@ def _dealt(members: DataFrame, num: int, den: int) -> DataFrame:
     return alone.select(*columns).unionByName(cut.select("*", "_target.*").select(*columns))
 
 
-def _texts_of(known: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows (doc_id, text) whose ids are in the written table of nodes."""
-    ids = IdFilter(nodes.select("node"))
-
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return ids.select(batches, True)
-
-    texts = IdFilter.marked(known).mapInArrow(maybe, "doc_id long, text string")
-    return texts.join(nodes.select("node"), F.col("doc_id") == F.col("node"), "left_semi")
-
+def _sets_of_known(known: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(rep, runs) of rows (doc_id, text), the set as bytes, for every id in the written table of nodes.
 
-def _shingled(words: int):
-    """Rows (doc_id, text) to (rep, runs): the set as bytes."""
+    The filter of ids lets some others through, which a join with the nodes has to leave out. That join comes
+    after the sets: one worker then knows the ids and makes the sets, where two in a row would hold
+    memory for each task, and texts are not shuffled.
+    """
+    ids = IdFilter(nodes.select("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(1)):
+        for batch in ids.select(batches, True):
+            for first, end, data, offsets in text_chunks(batch.column(1), HASHED_BYTES):
                 runs, of = sets_of(data, offsets, words)
                 edges = np.searchsorted(of, np.arange(end - first + 1))
                 own = [runs[a:b].astype("<u8").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(own, pa.binary())], ["rep", "runs"])
 
-    return run
+    return IdFilter.marked(known).mapInArrow(run, "rep long, runs binary")
 
 
 def _place(runs: np.ndarray) -> np.ndarray:
@@ -487,14 +484,19 @@ def _regrouped(known: DataFrame, candidates: DataFrame, words: int, num: int, de
     on = F.col("component") == F.col("_component")
     members = written(candidates.join(large, on, "left_semi"), "large-candidate-sets")
 
-    sets = written(_texts_of(known, members).mapInArrow(_shingled(words), "rep long, runs binary"), "large-sets")
+    sets = _sets_of_known(known, members, words).join(members.select("node"), F.col("rep") == F.col("node"), "left_semi")
+    sets = written(sets, "large-sets")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTS, np.int64)
+        total = np.zeros(COUNTS, np.uint32)  # of one task's runs
         for batch in batches:
-            total += np.bincount(_place(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")), minlength=COUNTS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["place", "n"])
+            for value in batch.column(0):
+                place, n = np.unique(_place(np.frombuffer(value.as_buffer(), "<u8")), return_counts=True)
+                total[place] += n.astype(np.uint32)
+        for first in range(0, COUNTS, PLACES_PER_BATCH):
+            n = total[first : first + PLACES_PER_BATCH]
+            if (some := np.flatnonzero(n)).size:
+                yield pa.RecordBatch.from_arrays([pa.array((some + first).astype(np.int32)), pa.array(n[some].astype(np.int64))], ["place", "n"])
 
     counts = np.zeros(COUNTS, np.uint16)
     found = sets.select("runs").mapInArrow(counted, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1")
@@ -528,6 +530,6 @@ def _regrouped(known: DataFrame, candidates: DataFrame, words: int, num: int, de
 def _links(known: DataFrame, marks: DataFrame, candidates: DataFrame, words: int, num: int, den: int) -> DataFrame:
     lengths = marks.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("n_shingles").alias("length"))
     members = written(candidates.join(lengths, F.col("node") == F.col("_doc")).drop("_doc"), "candidate-sets")
-    sets = _texts_of(known, members).mapInArrow(_shingled(words), "rep long, runs binary")
+    sets = _sets_of_known(known, members, words)
     dealt = _dealt(members, num, den).join(sets, F.col("node") == F.col("rep"))
     return _verified(dealt.select("kind", "task", "low", "high", "side", "component", "rep", "runs"), num, den)

@@ -15,6 +15,8 @@ from ridecast.session import materialise, ship_package
 
 ROWS_SETTING, ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 BYTES_SETTING, BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+#: Bytes of texts whose words are hashed at once; a byte takes some 50 bytes meanwhile, and a worker keeps some 16 of them.
+HASHED_BYTES = 256 << 10
 
 
 def ship(spark: SparkSession) -> None:

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ridecast.llm import hashing
+from ridecast.llm import decontamination, hashing
 from ridecast.llm.scratch import text_chunks
 
 TEXT = st.text(alphabet="ab Z\t\n\x0bé-", max_size=40)
@@ -62,3 +62,16 @@ def test_chunks_see_whole_texts():
     assert seen == ["aa", "", "", "b" * 50, "c"]
     assert [bytes(d) for _, _, d, _ in text_chunks(column.slice(3, 1))] == [b"b" * 50]
     assert list(text_chunks(pa.array([], pa.string()))) == []
+
+
+def test_words_are_hashed_in_few_bytes_at_once(monkeypatch):
+    most, plain = [], hashing.words
+
+    def seen(data, *args, **kwargs):
+        most.append(len(data))
+        return plain(data, *args, **kwargs)
+
+    monkeypatch.setattr(hashing, "words", seen)
+    texts = pa.array([f"some {i} words of a text " * 40 for i in range(2000)])
+    assert list(decontamination._held(decontamination.Items([(1, "an item of some other words than those")]), texts)) == []
+    assert sum(most) > 1 << 20 and max(most) <= 256 << 10

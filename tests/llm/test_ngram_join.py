@@ -225,3 +225,49 @@ def test_counts_reach_the_driver_small(spark, documents, monkeypatch):
     assert got(ngram_join.join_documents(documents(rows), 4, 80, 100)) == brute(rows, 4, 80, 100)
     (counts,) = [t for t in tables if t.column_names == ["place", "n"]]
     assert {str(t) for t in counts.schema.types} == {"int32"} and set(counts["n"].to_pylist()) <= {2, 3}
+
+
+@pytest.mark.parametrize("block", [ngram_join.BLOCK, 30])
+def test_no_task_runs_two_workers_in_a_row(spark, documents, monkeypatch, block):
+    random = np.random.default_rng(8)
+    shared = [f"common{k}" for k in range(9)]
+    rows = [(i, " ".join([f"w{x}" for x in random.integers(0, 10**6, 5)] + shared + [f"w{x}" for x in random.integers(0, 10**6, 4)])) for i in range(120)]
+    rows += [(1000 + i, " ".join(t.split()[:-1] + ["end"])) for i, t in rows[:30]]
+    # A filter of a few bits lets most other texts through: the join behind it has to leave them out.
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 64)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    plans, plain = {}, ngram_join.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(ngram_join, "written", seen)
+    assert got(ngram_join.join_documents(documents(rows), 4, 80, 100)) == brute(rows, 4, 80, 100)
+    assert plans["links"].count("MapInArrow") == 1
+    assert ("large-sets" in plans) == (block == 30)
+    assert plans.get("large-sets", "MapInArrow").count("MapInArrow") == 1
+
+
+def test_runs_are_counted_and_handed_on_in_parts(spark, documents, monkeypatch):
+    random = np.random.default_rng(8)
+    shared = [f"common{k}" for k in range(9)]
+    rows = [(i, " ".join([f"w{x}" for x in random.integers(0, 10**6, 5)] + shared)) for i in range(60)]
+    monkeypatch.setattr(ngram_join, "BLOCK", 30)
+    monkeypatch.setattr(ngram_join, "PLACES_PER_BATCH", 1 << 18)
+    sets, tables, plain_written, plain_arrow = [], [], ngram_join.written, type(spark.range(1)).toArrow
+
+    def seen(df, name):
+        sets.extend([plain_written(df, name)] if name == "large-sets" else [])
+        return sets[-1] if name == "large-sets" else plain_written(df, name)
+
+    def arrow(self):
+        tables.append(plain_arrow(self))
+        return tables[-1]
+
+    monkeypatch.setattr(ngram_join, "written", seen)
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", arrow)
+    assert got(ngram_join.join_documents(documents(rows), 4, 40, 100)) == brute(rows, 4, 40, 100)
+    (counts,) = [t for t in tables if t.column_names == ["place", "n"]]
+    expected = Counter(int(x) for r in sets[0].collect() for x in ngram_join._place(np.frombuffer(r["runs"], "<u8")))
+    assert dict(zip(counts["place"].to_pylist(), counts["n"].to_pylist(), strict=True)) == {k: n for k, n in expected.items() if n > 1}
