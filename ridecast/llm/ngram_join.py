@@ -17,6 +17,11 @@ intersection is at least num / den of the size of their union.
    the bound is verified on the sets themselves.
 4. Components of the verified links.
 
+Candidate groups also grow by chance: the longer two texts are, the likelier they share a run that is alone in its
+group in both, and with enough long texts nearly all of them hang together. The sets of groups beyond `BLOCK_RUNS` runs
+are grouped anew by keys of narrower bands that leave out groups of one run, wherever linked sets differ little enough
+for that (a share num / den of 0.78 or more).
+
 Candidate groups grow where many texts share a passage. The sets of those beyond `BLOCK` sets are grouped anew
 by their rarest runs: of a linked set of size a at least a * num / den runs are in the other set, so the
 a - ceil(a * num / den) + 1 rarest of either, in one order of all runs, have one in common. Texts with a common
@@ -53,6 +58,9 @@ SMALL, RUNS_PER_TASK = 128, 500_000
 LEAF = 8
 #: Share of sets of a band's least size that may have more empty groups than is allowed for.
 RARE = 1e-4
+#: Groups of two runs or more are 0.298 times as many as runs at most, so where linked sets may differ in a larger
+#: share of their runs there is no leaving out the others.
+MOST_DIFFERENT = 0.285
 #: Bits of the filter that keeps most texts out of the shuffle of candidates (two megabytes).
 FILTER_BITS = 1 << 24
 
@@ -83,27 +91,74 @@ class Bands:
     and `empties[k]`, how many of them may be empty in a set without losing its links.
     """
 
+    #: Bands below its own in whose groups a set may have links, and the groups with fewer runs than that which it may leave out.
+    back, spared = 1, 1
+
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.lower = [1]
         self.groups: list[int] = []
         self.empties: list[int] = []
+        self.reach: list[int] = []  # the largest size that links with one of the band
 
     def up_to(self, size: int) -> None:
         while self.lower[-1] <= size:
             low = self.lower[-1]
-            after = low * self.den // self.num + 1
+            after = self.after(low)
             most = after - 1  # the largest size of this band
-            differ = (most + most * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-            # As few groups as leave hardly any set with more empty ones than it may have: the more runs
-            # a group has, the fewer sets share it that do not link.
-            spare = 0
-            while spare <= differ and _more_empty(differ + 1 + spare, low, spare) > RARE:
-                spare += 1
+            reach = most * self.den // self.num
+            differ = (most + reach) * (self.den - self.num) // (self.den + self.num)
+            spare = self.spare(differ, low)
             self.groups.append(differ + 1 + spare if differ else 0)  # no difference: only equal sets link
             self.empties.append(spare)
+            self.reach.append(reach)
             self.lower.append(after)
 
+    def after(self, low: int) -> int:
+        return low * self.den // self.num + 1
+
+    def spare(self, differ: int, low: int) -> int:
+        # As few groups as leave hardly any set with more empty ones than it may have: the more runs
+        # a group has, the fewer sets share it that do not link.
+        spare = 0
+        while spare <= differ and _more_empty(differ + 1 + spare, low, spare) > RARE:
+            spare += 1
+        return spare
+
+
+class NarrowBands(Bands):
+    """Narrower bands with more groups, of which a set leaves out those with few runs.
+
+    Linked sets have more than `spare` groups in common. A set that leaves out the groups of fewer than c runs,
+    for the largest c that leaves out `spare` at most, never leaves out the fullest of these: were that left out, all of them
+    were. Groups of one run, which long sets share by chance, go that way, where bands are narrow enough.
+    """
+
+    spared = 4
+
+    def __init__(self, num: int, den: int):
+        super().__init__(num, den)
+        self.back = next((k for k in range(1, 4) if (den / num) ** (1 / k) * (den - num) / num < MOST_DIFFERENT), 4)
+
+    @staticmethod
+    def part_by(num: int, den: int) -> bool:
+        """Whether bands can be narrow enough for this share."""
+        return (den - num) / num < MOST_DIFFERENT
+
+    def after(self, low: int) -> int:
+        return int(low * (self.den / self.num) ** (1 / self.back)) + 1
+
+    def spare(self, differ: int, low: int) -> int:
+        # As few groups as leave hardly any set with more groups of one run and none than it may leave out, or else the
+        # number with the fewest such sets. Runs of a group are taken for a Poisson variable, the number of such groups for a normal one.
+        spare = np.arange(2 * differ + 2)
+        groups = differ + 1 + spare
+        mean = low / groups
+        few = np.exp(-mean) * (1 + mean)
+        spread = groups * (few * (1 - few) - mean * (mean * np.exp(-mean)) ** 2)
+        sure = (spare - groups * few) / np.sqrt(np.maximum(spread, 1e-9))
+        return int(np.argmax(sure > 3.7) if (sure > 3.7).any() else np.argmax(sure))
+
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct runs of texts laid end to end, ascending in each text: (hash, text number)."""
@@ -130,9 +185,9 @@ def keys_of(runs: np.ndarray, of: np.ndarray, n: int, bands: Bands) -> list[np.n
     band = np.searchsorted(np.array(bands.lower), counts, "right") - 1
     all_keys, all_of = [], []
     mixed = hashing.mix(runs)
-    for back in (0, 1):
-        at = band - back
-        groups = np.where(at >= 0, np.array([*bands.groups, 0])[at], 0)
+    for back in range(bands.back + 1):
+        at = np.maximum(band - back, -1)  # the last entry is no band
+        groups = np.where((at >= 0) & (counts <= np.array([*bands.reach, 0])[at]), np.array([*bands.groups, 0])[at], 0)
         spare = np.where(at >= 0, np.array([*bands.empties, 0])[at], 0)
         some = groups[of] > 0
         run, text, value = runs[some], of[some], mixed[some]
@@ -145,10 +200,16 @@ def keys_of(runs: np.ndarray, of: np.ndarray, n: int, bands: Bands) -> list[np.n
         begin = np.flatnonzero(first)
         label = (at[text[begin]].astype(np.uint64) << np.uint64(40)) | group[begin]
         content = _sums(value, np.append(begin, len(run)))
-        all_keys.append(hashing.mix(content + hashing.mix(label + np.uint64(1))))
-        all_of.append(text[begin])
-        used = np.bincount(text[begin], minlength=n)
-        for i in np.flatnonzero((groups > 0) & (groups - used > spare)):
+        held, owner = np.diff(begin, append=len(run)), text[begin]
+        under = groups - np.bincount(owner, minlength=n)
+        least = np.zeros(n, np.int64)  # runs of a group that counts
+        for c in range(1, bands.spared + 1):
+            least[under <= spare] = c
+            under = under + np.bincount(owner[held == c], minlength=n)
+        full = held >= least[owner]
+        all_keys.append(hashing.mix(content + hashing.mix(label + np.uint64(1)))[full])
+        all_of.append(owner[full])
+        for i in np.flatnonzero((groups > 0) & (least == 0)):
             # Too many are empty: empty groups count as well.
             empty = np.setdiff1d(np.arange(groups[i], dtype=np.uint64), group[text == i])
             label = (np.uint64(at[i]) << np.uint64(40)) | empty
@@ -335,12 +396,12 @@ def _combined(rows: DataFrame) -> DataFrame:
     return rows.select("rep", "keys").mapInArrow(run, COMBINED_TYPES)
 
 
-def _combined_single(docs: DataFrame, words: int, num: int, den: int, ids: IdFilter) -> DataFrame:
-    """(linked, key, rep) of the rows (doc_id, text) whose ids the filter does not know, in one step of one worker."""
+def _combined_single(docs: DataFrame, words: int, num: int, den: int, ids: IdFilter, inside: bool = False, kind: type[Bands] = Bands) -> DataFrame:
+    """(linked, key, rep) of the rows (doc_id, text) whose ids the filter does not know, or does, in one step of one worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
-        for batch in ids.select(batches, False):
+        bands = kind(num, den)
+        for batch in ids.select(batches, inside):
             reps, keys, of_keys = np.asarray(batch.column(0)), [], []
             for first, end, data, offsets in text_chunks(batch.column(1), HASHED_BYTES):
                 runs, of = sets_of(data, offsets, words)
@@ -378,10 +439,9 @@ def join_documents(
     maybe = _sketched(known, words, num, den, True, ids).where("n_shingles > 0")
     classes = maybe.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).select("rep", "keys")
     keyed = _combined(classes).unionByName(_combined_single(known, words, num, den, ids))
-    least = F.when(F.col("linked"), F.col("key")).otherwise(F.min("rep").over(W.partitionBy("linked", "key").orderBy("rep")))
-    stars = keyed.withColumn("least", least).where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    candidates = components(stars, "candidates")  # written, so the filter has done its work
+    candidates = components(_stars(keyed), "candidates")  # written, so the filter has done its work
     ids.done()
+    candidates = _parted(known, marks, candidates, words, num, den)
     candidates = _regrouped(known, candidates, words, num, den)
     links = written(_links(known, marks, candidates, words, num, den), "links")
     # Equal sets are linked through their class.
@@ -391,6 +451,39 @@ def join_documents(
     return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
 
+def _stars(keyed: DataFrame) -> DataFrame:
+    """Links (a, b) of rows (linked, key, rep): from the least set of a key to its others."""
+    least = F.when(F.col("linked"), F.col("key")).otherwise(F.min("rep").over(W.partitionBy("linked", "key").orderBy("rep")))
+    return keyed.withColumn("least", least).where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+
+
+def _lengths(marks: DataFrame) -> DataFrame:
+    return marks.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("n_shingles").alias("length"))
+
+
+def _parted(known: DataFrame, marks: DataFrame, candidates: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Candidates (node, component) with the members of groups of more than `BLOCK_RUNS` runs grouped by keys of several runs.
+
+    Two long sets are likely to share a run that is alone in its group in both, so with more and more of them most come
+    to be in one candidate group. Such keys are left out here. The filter of ids lets some others through, which may
+    join groups, never part them.
+    """
+    if not NarrowBands.part_by(num, den):
+        return candidates
+    candidates = written(candidates, "candidates")
+    on = F.col("component") == F.col("_component")
+    sizes = candidates.join(_lengths(marks), F.col("node") == F.col("_doc")).groupBy(F.col("component").alias("_component"))
+    heavy = written(sizes.agg(F.sum("length").alias("runs")).where(F.col("runs") > BLOCK_RUNS), "heavy-candidates")
+    if heavy.isEmpty():
+        return candidates
+    members = written(candidates.join(heavy, on, "left_semi").select(F.col("node").alias("_member")), "heavy-candidate-sets")
+    ids = IdFilter(members.select(F.col("_member").alias("node")))
+    again = components(_stars(_combined_single(known, words, num, den, ids, True, NarrowBands)), "parted")
+    ids.done()
+    again = again.join(members, F.col("node") == F.col("_member"), "left_semi")
+    return candidates.join(heavy, on, "left_anti").unionByName(again)
+
+
 def _dealt(members: DataFrame, num: int, den: int) -> DataFrame:
     """Members (node, component, length) with the tasks that compare them.
 
@@ -528,8 +621,7 @@ def _regrouped(known: DataFrame, candidates: DataFrame, words: int, num: int, de
 
 
 def _links(known: DataFrame, marks: DataFrame, candidates: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    lengths = marks.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("n_shingles").alias("length"))
-    members = written(candidates.join(lengths, F.col("node") == F.col("_doc")).drop("_doc"), "candidate-sets")
+    members = written(candidates.join(_lengths(marks), F.col("node") == F.col("_doc")).drop("_doc"), "candidate-sets")
     sets = _sets_of_known(known, members, words)
     dealt = _dealt(members, num, den).join(sets, F.col("node") == F.col("rep"))
     return _verified(dealt.select("kind", "task", "low", "high", "side", "component", "rep", "runs"), num, den)

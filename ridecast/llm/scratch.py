@@ -15,6 +15,7 @@ from ridecast.session import materialise, ship_package
 
 ROWS_SETTING, ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 BYTES_SETTING, BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of texts whose words are hashed at once; a byte takes some 50 bytes meanwhile, and a worker keeps some 16 of them.
 HASHED_BYTES = 256 << 10
 
@@ -23,8 +24,11 @@ def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, once an application, so that they need no copy of their own.
 
     Rows of text are wide: unless the session has its own bounds, batches between the JVM and
-    the workers get fewer rows and bytes, which bounds the memory of both.
+    the workers get fewer rows and bytes, which bounds the memory of both. Shuffle files go when their
+    query ends, not when the driver happens to collect its garbage.
     """
+    if spark.conf.get(CLEANUP_SETTING, None) is None:
+        spark.conf.set(CLEANUP_SETTING, "true")
     if spark.conf.get(BYTES_SETTING) in ("67108864", "67108864b", "64MB", "-1"):  # Spark's defaults
         spark.conf.set(BYTES_SETTING, BYTES_PER_BATCH)
     if spark.conf.get(ROWS_SETTING) == "10000":  # Spark's default

@@ -271,3 +271,95 @@ def test_runs_are_counted_and_handed_on_in_parts(spark, documents, monkeypatch):
     (counts,) = [t for t in tables if t.column_names == ["place", "n"]]
     expected = Counter(int(x) for r in sets[0].collect() for x in ngram_join._place(np.frombuffer(r["runs"], "<u8")))
     assert dict(zip(counts["place"].to_pylist(), counts["n"].to_pylist(), strict=True)) == {k: n for k, n in expected.items() if n > 1}
+
+
+def long_sets(seed, n, runs):
+    random = np.random.default_rng(seed)
+    return [np.unique(random.integers(1, 2**63, runs).astype(np.uint64) * np.uint64(2)) for _ in range(n)]
+
+
+def keys_by_set(sets, bands):
+    runs, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return [set(k.tolist()) for k in ngram_join.keys_of(runs, of, len(sets), bands)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.sampled_from([78, 80, 85, 90, 97]), st.integers(1, 500))
+def test_narrow_bands_lose_no_link(seed, num, size):
+    random = np.random.default_rng(seed)
+    sets = long_sets(seed, 1, size)
+    # As different as linked sets may be: runs go, runs come, and both.
+    for gone in (0.0, 0.5, 1.0):
+        base, most = sets[0], 0
+        for differ in range(size + 1):
+            out = int(differ * gone)
+            if (size - out) * 100 < num * (size + differ - out):
+                break
+            most = differ
+        out = int(most * gone)
+        sets.append(np.unique(np.concatenate([random.permutation(base)[out:], *long_sets(seed + 7, 1, most - out)])) if most else base)
+    bands = ngram_join.NarrowBands(num, 100)
+    keys = keys_by_set(sets, bands)
+    for a, one in enumerate(sets):
+        for b, other in enumerate(sets):
+            if not np.array_equal(one, other) and ngram_join.linked(one, other, num, 100):  # equal sets are one class before
+                assert keys[a] & keys[b]
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_runs_that_long_texts_share_by_chance_make_no_key(num):
+    random = np.random.default_rng(3)
+    sets = long_sets(5, 40, 3000)
+    some = long_sets(6, 1, 3000)[0]
+    sets = [np.unique(np.concatenate([s, random.choice(some, 300, False)])) for s in sets]
+
+    def sharing(bands):
+        keys = keys_by_set(sets, bands)
+        return sum(bool(keys[a] & keys[b]) for a in range(len(sets)) for b in range(a))
+
+    assert sharing(ngram_join.NarrowBands(num, 100)) * 4 < sharing(ngram_join.Bands(num, 100))
+
+
+def test_heavy_candidate_groups_part(spark, documents, monkeypatch):
+    random = np.random.default_rng(11)
+    common = [[f"c{g}x{k}" for k in range(5)] for g in range(200)]
+    rows = []
+    for i in range(100):  # long texts that share some runs, each in another place
+        words = [f"w{x}" for x in random.integers(0, 10**7, 1500)]
+        for at, g in zip(random.choice(290, 45, False) * 5, random.choice(200, 45, False), strict=True):
+            words[at : at + 5] = common[g]
+        rows.append((i, " ".join(words)))
+    for i in range(15):
+        words = rows[i][1].split()
+        for at in random.integers(0, 1500, 15):
+            words[at] = "changed"
+        rows.append((500 + i, " ".join(words)))
+    monkeypatch.setattr(ngram_join, "BLOCK_RUNS", 20_000)
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 64)
+    grouped, plain = [], ngram_join._parted
+
+    def seen(*args):
+        after = plain(*args)
+        grouped.extend(df.groupBy("component").count().agg({"count": "max"}).first()[0] or 0 for df in (args[2], after))
+        return after
+
+    monkeypatch.setattr(ngram_join, "_parted", seen)
+    assert got(ngram_join.join_documents(documents(rows), 5, 80, 100)) == brute(rows, 5, 80, 100)
+    assert grouped[0] > 50 and grouped[1] < 6
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    from ridecast.llm.scratch import CLEANUP_SETTING, ship
+
+    held = spark.conf.get(CLEANUP_SETTING, None)
+    try:
+        spark.conf.unset(CLEANUP_SETTING)
+        ship(spark)
+        assert spark.conf.get(CLEANUP_SETTING) == "true"
+        spark.conf.set(CLEANUP_SETTING, "false")  # a session's own choice stays
+        ship(spark)
+        assert spark.conf.get(CLEANUP_SETTING) == "false"
+    finally:
+        spark.conf.unset(CLEANUP_SETTING)
+        if held is not None:
+            spark.conf.set(CLEANUP_SETTING, held)
