@@ -352,15 +352,27 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int)
     return links
 
 
-def _verified(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of representatives from rows (kind, task, low, high, side, component, rep, runs)."""
+def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The distinct runs of each text, ascending."""
+    for first, end, data, offsets in text_chunks(texts, HASHED_BYTES):
+        runs, of = sets_of(data, offsets, words)
+        yield from np.split(runs, np.searchsorted(of, np.arange(1, end - first)))
+
+
+def _verified(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of representatives from rows (kind, task, low, high, side, component, rep, text).
+
+    Sets are made here: their hashes do not compress, and shuffled they take twice the room of their texts.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
+        frame = frame.sort_values("component", kind="stable", ignore_index=True)
+        sets = list(_sets(pa.array(frame.pop("text"), pa.large_string()), words))
         for _, group in frame.groupby("component", sort=False):
-            reps = group["rep"].to_numpy()
-            sets = [np.frombuffer(x, "<u8") for x in group["runs"]]
-            out += [(reps[a], reps[b]) for a, b in spanning_links(sets, group["side"].to_numpy(), num, den)]
+            reps, first = group["rep"].to_numpy(), group.index[0]
+            own = sets[first : first + len(group)]
+            out += [(reps[a], reps[b]) for a, b in spanning_links(own, group["side"].to_numpy(), num, den)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("kind", "task", "low", "high").applyInPandas(run, "a long, b long")
@@ -559,6 +571,17 @@ def _sets_of_known(known: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return IdFilter.marked(known).mapInArrow(run, "rep long, runs binary")
 
 
+def _texts_of_known(known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(rep, text) of rows (doc_id, text) for every id in the written table of nodes, and for some others."""
+    ids = IdFilter(nodes.select("node"))
+    return IdFilter.marked(known).mapInArrow(lambda batches: _named(ids.select(batches, True)), "rep long, text string")
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.rename_columns(["rep", "text"])
+
+
 def _place(runs: np.ndarray) -> np.ndarray:
     return (hashing.mix(runs) % np.uint64(COUNTS)).astype(np.int64)
 
@@ -622,6 +645,6 @@ def _regrouped(known: DataFrame, candidates: DataFrame, words: int, num: int, de
 
 def _links(known: DataFrame, marks: DataFrame, candidates: DataFrame, words: int, num: int, den: int) -> DataFrame:
     members = written(candidates.join(_lengths(marks), F.col("node") == F.col("_doc")).drop("_doc"), "candidate-sets")
-    sets = _sets_of_known(known, members, words)
-    dealt = _dealt(members, num, den).join(sets, F.col("node") == F.col("rep"))
-    return _verified(dealt.select("kind", "task", "low", "high", "side", "component", "rep", "runs"), num, den)
+    texts = _texts_of_known(known, members)
+    dealt = _dealt(members, num, den).join(texts, F.col("node") == F.col("rep"))
+    return _verified(dealt.select("kind", "task", "low", "high", "side", "component", "rep", "text"), words, num, den)

@@ -363,3 +363,17 @@ def test_shuffle_files_go_with_their_query(spark):
         spark.conf.unset(CLEANUP_SETTING)
         if held is not None:
             spark.conf.set(CLEANUP_SETTING, held)
+
+
+def test_texts_are_shuffled_for_the_last_comparison(documents, monkeypatch):
+    rows = near_copies(4, 6, 5, 60, 1) + [(900, None), (901, ""), (902, "a"), (903, "a b")]
+    columns, plain = [], ngram_join._verified
+
+    def seen(rows, *args):
+        columns.append(dict(rows.dtypes))
+        return plain(rows, *args)
+
+    monkeypatch.setattr(ngram_join, "_verified", seen)
+    assert got(ngram_join.join_documents(documents(rows), 4, 80, 100)) == brute(rows, 4, 80, 100)
+    # 64-bit hashes of runs take twice the room of the texts, and do not compress.
+    assert columns[0]["text"] == "string" and not {"binary", "array<bigint>"} & set(columns[0].values())
